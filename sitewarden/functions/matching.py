@@ -1,7 +1,8 @@
 """Rule tables compiled to expressions.
 
 Rules are literals in the plan, not rows of a joined table: a literal pattern is compiled once per task
-and the text is never copied per rule. Cheap ``contains`` tests decide which patterns have to run.
+and the text is never copied per rule. Cheap ``contains`` tests decide which patterns have to run. The
+wide expressions are written as SQL text, which is parsed in one step.
 """
 
 from __future__ import annotations
@@ -11,25 +12,37 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitewarden.functions.text import LINE_FEED_ONLY, around, bind, contains_any, extract_all, found, one_line
-from sitewarden.rules import secrets
+from sitewarden.functions.text import LINE_FEED_ONLY, around, bind, one_line
+from sitewarden.rules import builders, secrets, tech
 
 RULES = list(secrets.PATTERNS)
 
 
-def credential_matches(text: Column, lower: Column, anchored: bool = True) -> Column:
+def quoted(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def regex(pattern: str) -> str:
+    return quoted(LINE_FEED_ONLY + pattern)
+
+
+def any_of(column: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {quoted(w)})" for w in words) + ")"
+
+
+def credential_matches(text: str, lower: str, anchored: bool = True) -> Column:
     """``array<array<string>>``: all matches of each credential rule, in rule order (null: none)."""
     arrays = []
     for rule, pattern in secrets.PATTERNS.items():
-        matches = extract_all(text, pattern)
+        matches = f"regexp_extract_all({text}, {regex(pattern)}, 0)"
         if anchored and rule in secrets.ANCHORS:
-            folded = pattern.startswith("(?i)")
-            gate = contains_any(lower if folded else text, secrets.ANCHORS[rule])
+            gate = any_of(lower if pattern.startswith("(?i)") else text, secrets.ANCHORS[rule])
             if rule in secrets.TAILS:
-                gate = gate & found(text, secrets.TAILS[rule])
-            matches = F.when(gate, matches)
+                gate += f" AND rlike({text}, {regex(secrets.TAILS[rule])})"
+            matches = f"CASE WHEN {gate} THEN {matches} END"
         arrays.append(matches)
-    return F.array(*arrays)
+    return F.expr(f"array({', '.join(arrays)})")
 
 
 def credential_hits(text: Column, matches: Column) -> Column:
@@ -39,7 +52,7 @@ def credential_hits(text: Column, matches: Column) -> Column:
     The start of a match is the length of the gaps and matches before it.
     """
     keep = secrets.MATCH_CAP + 1
-    patterns = F.array(*[F.lit(LINE_FEED_ONLY + p) for p in secrets.PATTERNS.values()])
+    patterns = F.expr(f"array({', '.join(map(regex, secrets.PATTERNS.values()))})")
 
     def total(parts: Column, n: Column) -> Column:
         return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p))
@@ -62,13 +75,11 @@ def credential_hits(text: Column, matches: Column) -> Column:
             ),
         )
 
-    numbered = F.transform(
-        matches, lambda m, i: F.struct((i + 1).alias("o"), F.slice(m, 1, keep).alias("m"))
-    )
+    numbered = F.transform(matches, lambda m, i: F.struct((i + 1).alias("o"), F.slice(m, 1, keep).alias("m")))
     return F.flatten(F.transform(F.filter(numbered, lambda r: F.size(r["m"]) > 0), located))
 
 
-_LITERAL = re.compile(r"(?:[A-Za-z0-9 _/@\-\"=<>:]|\\[.()\[\]$])+")
+_LITERAL = re.compile(r"(?:[A-Za-z0-9 _/@\-\"=<>:]|\\[.()\[\]$\"])+")
 _LINE_SPAN = re.compile(r"(?P<head>.+?)\.\*\??(?P<tail>.+)")
 
 
@@ -77,15 +88,52 @@ def _literal(pattern: str) -> str | None:
     return re.sub(r"\\(.)", r"\1", pattern).lower() if _LITERAL.fullmatch(pattern) else None
 
 
-def signature_test(text: Column, lower: Column, pattern: str) -> Column:
+def signature_test(text: str, lower: str, pattern: str) -> str:
     """Does a case-insensitive fingerprint occur? Plain texts are ``contains`` tests; "a.*b" runs once per
     line from the first "a" instead of once per "a"."""
     literal = _literal(pattern)
     if literal is not None:
-        return F.contains(lower, F.lit(literal))
+        return f"contains({lower}, {quoted(literal)})"
     span = _LINE_SPAN.fullmatch(pattern)
     head = _literal(span["head"]) if span else None
     if head is not None:
-        once = rf"(?im)^(?>[^\n]*?{span['head']})[^\n]*?{span['tail'].replace('.*?', '[^\n]*?')}"
-        return F.contains(lower, F.lit(head)) & found(text, once)
-    return found(text, "(?i)" + pattern)
+        tail = span["tail"].replace(".*?", r"[^\n]*?")
+        once = rf"(?im)^(?>[^\n]*?{span['head']})[^\n]*?{tail}"
+        return f"(contains({lower}, {quoted(head)}) AND rlike({text}, {regex(once)}))"
+    return f"rlike({text}, {regex('(?i)' + pattern)})"
+
+
+def technologies(text: str, lower: str) -> Column:
+    """``array<string>``: technologies with at least one fingerprint in the text."""
+    tests = [
+        f"CASE WHEN {' OR '.join(signature_test(text, lower, p) for p in patterns)} THEN {quoted(name)} END"
+        for name, patterns in tech.SIGNATURES.items()
+    ]
+    return F.expr(f"filter(array({', '.join(tests)}), x -> x IS NOT NULL)")
+
+
+def builder_patterns(text: str, lower: str) -> Column:
+    """``array<struct<tool, n, pattern>>``: first fingerprint in list order of each builder that has one."""
+    tests = []
+    for tool, patterns in builders.SIGNATURES.items():
+        cases = " ".join(
+            f"WHEN {signature_test(text, lower, p)} THEN "
+            f"named_struct('tool', {quoted(tool)}, 'n', {n}L, 'pattern', {quoted(p)})"
+            for n, p in enumerate(patterns, 1)
+        )
+        tests.append(f"CASE {cases} END")
+    return F.expr(f"filter(array({', '.join(tests)}), x -> x IS NOT NULL)")
+
+
+def evidence(text: Column, pattern: Column) -> Column:
+    """First match of a case-insensitive pattern with its surroundings, on one line, cut."""
+    matcher = F.concat(F.lit(LINE_FEED_ONLY + "(?i)"), pattern)
+    value = F.regexp_substr(text, matcher)
+    return bind(
+        F.split(text, matcher, 2),
+        lambda p: F.substring(
+            one_line(around(text, F.length(p[0]), F.length(value), builders.EVIDENCE_RADIUS)),
+            1,
+            builders.EVIDENCE_KEEP,
+        ),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,10 +51,7 @@ def right(text: Column, n: int) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    test = F.lit(False)
-    for word in reversed(words):
-        test = F.contains(text, F.lit(word)) | test if word is not words[-1] else F.contains(text, F.lit(word))
-    return test
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def around(text: Column, start: Column, length: Column, radius: int) -> Column:
