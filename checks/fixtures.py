@@ -159,10 +159,27 @@ RELATIONS = {
         " UNION ALL SELECT page_id, 'https://cdn.example.com/a.js', 200, 'var a=3;' || repeat('z', 60) FROM pages"
     ),
 }
+# An inline script that names the framework data object and its build id (besides two that do not).
+RELATIONS["build_script"] = (
+    "SELECT page_id AS target_id, cast(2000000 as bigint) AS seq, 'inline' AS url, CASE page_id % 3 WHEN 0 THEN 'self.__NEXT_DATA__ = {\"buildId\" : \"b'"
+    f" || {ID} || '\"}}' WHEN 1 THEN 'var d = {{\"buildId\":\"none\"}}' ELSE 'self.__NEXT_DATA__ = 1' END AS content FROM pages"
+)
+
+# Pages that link one or two code repositories.
+RELATIONS["linked_pages"] = (
+    "SELECT page_id, url, html || '<a href=\"https://github.com/acme/app-' || cast(page_id % 4 as string) || '\">r</a>'"
+    " || CASE WHEN page_id % 4 = 0 THEN '<a href=\"https://github.com/acme/lib.js\">l</a>' ELSE '' END AS html FROM pages WHERE page_id % 2 = 0"
+)
+
 # ``numbered``: every page with the 25 keys of ``nation`` (0..24).
 NUMBERED_SQL = "SELECT pages.*, n_nationkey AS n FROM pages, nation"
 
 
+def planted_html(pages: DataFrame) -> DataFrame:
+    """Pages, batch or stream, with the planted snippets."""
+    return pages.withColumn("h", F.expr(MD5)).withColumn("html", F.expr(PLANTED_HTML)).drop("h")
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One planted relation as a DataFrame over the given tables."""
     pages = read_table(spark, sf_dir, "pages")

@@ -64,18 +64,20 @@ def unescape(value: Column) -> Column:
     return value
 
 
-def attribute(element: Column, name: str) -> Column:
-    """Value of an attribute of the open tag: null when absent, empty when it has no value. The last of
-    several equal names counts."""
-    inside = F.regexp_replace(open_tag(element), FLAGS + r"^<[a-z0-9]+", "")
-    listed = F.filter(
-        F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(0)),
-        lambda a: F.rlike(a, F.lit(rf"(?is)^{name}(?:\s*=|\z)")),
-    )
-    raw = F.regexp_replace(F.try_element_at(listed, F.lit(-1)), r"(?is)^[^=]*=?\s*", "")
-    return unescape(F.regexp_replace(raw, r"(?s)^([\"'])(.*)\1$", "$2"))
+def _raw_value(listed: Column, name: str) -> Column:
+    """Value of an attribute with its quotes; the last of several equal names counts."""
+    named = F.filter(listed, lambda a: F.rlike(a, F.lit(rf"(?is)^{name}(?:\s*=|\z)")))
+    return F.regexp_replace(F.try_element_at(named, F.lit(-1)), r"(?is)^[^=]*=?\s*", "")
 
 
 def attributes(element: Column, *names: str) -> Column:
-    """Struct of several attributes."""
-    return bind(element, lambda e: F.struct(*[attribute(e, n).alias(n) for n in names]))
+    """Struct of attributes of the open tag: null when absent, empty when without a value."""
+    inside = F.regexp_replace(open_tag(element), FLAGS + r"^<[a-z0-9]+", "")
+    listed = F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(0))
+    values = bind(
+        listed,
+        lambda a: F.transform(
+            F.array(*[_raw_value(a, n) for n in names]), lambda v: unescape(F.regexp_replace(v, r"(?s)^([\"'])(.*)\1$", "$2"))
+        ),
+    )
+    return bind(values, lambda v: F.struct(*[v[i].alias(n) for i, n in enumerate(names)]))

@@ -12,17 +12,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitewarden.functions.text import LINE_FEED_ONLY, around, bind, one_line
+from sitewarden.functions.text import LINE_FEED_ONLY, around, bind, one_line, quoted
 from sitewarden.rules import builders, secrets, tech
 
 RULES = list(secrets.PATTERNS)
 
 
-def quoted(text: str) -> str:
-    """A string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def regex(pattern: str) -> str:
     return quoted(LINE_FEED_ONLY + pattern)
 
@@ -45,11 +40,11 @@ def credential_matches(text: str, lower: str, anchored: bool = True) -> Column:
     return F.expr(f"array({', '.join(arrays)})")
 
 
-def credential_hits(text: Column, matches: Column) -> Column:
+def credential_hits(text: Column, matches: Column, drop_over_cap: bool = False) -> Column:
     """``array<struct<ord, pos, value, context>>`` for the matches of one text.
 
     Only cap + 1 matches of a rule are kept per text: that many already drop the rule for its target.
-    The start of a match is the length of the gaps and matches before it.
+    ``drop_over_cap`` drops such a rule at once. The start of a match is the length of the gaps and matches before it.
     """
     keep = secrets.MATCH_CAP + 1
     patterns = F.expr(f"array({', '.join(map(regex, secrets.PATTERNS.values()))})")
@@ -76,7 +71,8 @@ def credential_hits(text: Column, matches: Column) -> Column:
         )
 
     numbered = F.transform(matches, lambda m, i: F.struct((i + 1).alias("o"), F.slice(m, 1, keep).alias("m")))
-    return F.flatten(F.transform(F.filter(numbered, lambda r: F.size(r["m"]) > 0), located))
+    most = secrets.MATCH_CAP if drop_over_cap else keep
+    return F.flatten(F.transform(F.filter(numbered, lambda r: F.size(r["m"]).between(1, most)), located))
 
 
 _LITERAL = re.compile(r"(?:[A-Za-z0-9 _/@\-\"=<>:]|\\[.()\[\]$\"])+")
@@ -103,17 +99,30 @@ def signature_test(text: str, lower: str, pattern: str) -> str:
     return f"rlike({text}, {regex('(?i)' + pattern)})"
 
 
+def _any_signature(text: str, lower: str, patterns: list[str]) -> str:
+    """Any of the fingerprints; a literal that holds another one of the list need not be looked up."""
+    plain = [_literal(p) for p in patterns]
+    needed = [
+        p for p, own in zip(patterns, plain)
+        if own is None or not any(other and other != own and other in own for other in plain)
+    ]
+    return " OR ".join(signature_test(text, lower, p) for p in needed)
+
+
 def technologies(text: str, lower: str) -> Column:
     """``array<string>``: technologies with at least one fingerprint in the text."""
     tests = [
-        f"CASE WHEN {' OR '.join(signature_test(text, lower, p) for p in patterns)} THEN {quoted(name)} END"
+        f"CASE WHEN {_any_signature(text, lower, patterns)} THEN {quoted(name)} END"
         for name, patterns in tech.SIGNATURES.items()
     ]
     return F.expr(f"filter(array({', '.join(tests)}), x -> x IS NOT NULL)")
 
 
 def builder_patterns(text: str, lower: str) -> Column:
-    """``array<struct<tool, n, pattern>>``: first fingerprint in list order of each builder that has one."""
+    """``array<struct<tool, n, pattern>>``: first fingerprint in list order of each builder that has one.
+
+    The few gate words of a builder decide whether its list is tried at all.
+    """
     tests = []
     for tool, patterns in builders.SIGNATURES.items():
         cases = " ".join(
@@ -121,7 +130,7 @@ def builder_patterns(text: str, lower: str) -> Column:
             f"named_struct('tool', {quoted(tool)}, 'n', {n}L, 'pattern', {quoted(p)})"
             for n, p in enumerate(patterns, 1)
         )
-        tests.append(f"CASE {cases} END")
+        tests.append(f"CASE WHEN {any_of(lower, builders.GATES[tool])} THEN CASE {cases} END END")
     return F.expr(f"filter(array({', '.join(tests)}), x -> x IS NOT NULL)")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import sys
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,7 +51,8 @@ def right(text: Column, n: int) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """Does a short text hold any of the words?"""
+    return F.rlike(text, F.lit("|".join(re.escape(w) for w in words)))
 
 
 def around(text: Column, start: Column, length: Column, radius: int) -> Column:
@@ -65,19 +66,6 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def first_match_around(text: Column, pattern: str, radius: int) -> Column:
-    """First match of a pattern with its surroundings; null when there is no match."""
-    pieces = F.split(text, LINE_FEED_ONLY + pattern, 2)
-    return F.when(
-        found(text, pattern),
-        F.concat(
-            bind(pieces, lambda p: right(p[0], radius)),
-            F.regexp_extract(text, LINE_FEED_ONLY + pattern, 0),
-            bind(pieces, lambda p: left(p[1], radius)),
-        ),
-    )
-
-
 def mask(value: Column, longer_than: int, head: int, tail: int, short_head: int) -> Column:
     return F.when(
         F.length(value) > longer_than,
@@ -85,8 +73,18 @@ def mask(value: Column, longer_than: int, head: int, tail: int, short_head: int)
     ).otherwise(F.concat(left(value, short_head), F.lit("****")))
 
 
-def lookup(key: Column, table: dict, default=None) -> Column:
+def quoted(text: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(texts) -> Column:
+    """A fixed list as an array."""
+    return F.expr(f"array({', '.join(map(quoted, texts))})")
+
+
+def lookup(key: Column, table: dict, default: str | None = None) -> Column:
     """A small fixed table as an expression; no join."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    found_value = F.try_element_at(F.create_map(*pairs), key)
-    return found_value if default is None else F.coalesce(found_value, F.lit(default))
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items())
+    value = F.try_element_at(F.expr(f"map({pairs})"), key)
+    return value if default is None else F.coalesce(value, F.lit(default))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitewarden.functions import html, urls
 from sitewarden.functions.frames import first_k
-from sitewarden.functions.text import extract_all, found
+from sitewarden.functions.text import bind, extract_all, found
 from sitewarden.rules import javascript as js
 
 ARCHIVE_MIME = "application/javascript"
@@ -42,42 +42,48 @@ def redirect_flag(page_meta: DataFrame) -> DataFrame:
     return page_meta.select("target_id", "url", "final_url", (F.col("final_url") != F.col("url")).alias("redirected"))
 
 
-def resource_extract(pages: DataFrame) -> DataFrame:
-    """Scripts and style sheets of each page in document order.
+def resources(page: Column, page_url: Column) -> Column:
+    """``array<struct<seq, kind, external, url, content>>``: scripts and style sheets of a page.
 
     External ones carry the resolved address, inline ones the body. Style elements follow the linked
     sheets, as in the scan order.
     """
-    tokens = pages.filter(found(F.col("html"), r"(?i)<(?:script|style|link)")).select(
-        F.col("page_id").alias("target_id"),
-        F.col("url").alias("page_url"),
-        F.posexplode(
-            F.transform(
-                html.elements(F.col("html"), "script", "style", "link"),
-                lambda t: F.struct(
-                    F.lower(F.regexp_extract(t, r"^<([A-Za-z]+)", 1)).alias("tag"),
-                    html.attributes(t, "src", "href", "rel").alias("a"),
-                    F.when(~F.rlike(t, F.lit("(?i)^<link")), html.body(t)).alias("body"),
-                ),
-            )
-        ).alias("pos", "t"),
-    )
-    tag, attr = F.col("t.tag"), F.col("t.a")
-    linked = F.when((tag == "script") & (F.coalesce(attr["src"], F.lit("")) != ""), attr["src"]).when(
-        (tag == "link")
-        & F.array_contains(F.split(F.coalesce(attr["rel"], F.lit("")), r"\s+"), "stylesheet")
-        & (F.coalesce(attr["href"], F.lit("")) != ""),
-        attr["href"],
-    )
-    classified = tokens.select(
-        "target_id",
-        (F.col("pos") + F.when(tag == "style", F.lit(1_000_000)).otherwise(F.lit(0))).cast("bigint").alias("seq"),
-        F.when(tag == "script", F.lit("js")).otherwise(F.lit("css")).alias("kind"),
-        linked.isNotNull().alias("external"),
-        F.coalesce(urls.resolve(F.col("page_url"), linked), F.lit("inline")).alias("url"),
-        F.when(linked.isNull() & (tag != "link") & (F.col("t.body") != ""), F.col("t.body")).alias("content"),
-    )
-    return classified.filter(F.col("external") | F.col("content").isNotNull())
+    parsed = F.transform(
+        html.elements(page, "script", "style", "link"),
+        lambda t, i: F.struct(
+            i.alias("pos"),
+            F.lower(F.regexp_extract(t, r"^<([A-Za-z]+)", 1)).alias("tag"),
+            html.attributes(t, "src", "href", "rel").alias("a"),
+            t.alias("text"),
+        ),
+    )
+
+    def reference(e: Column) -> Column:
+        sheet = (e["tag"] == "link") & F.array_contains(F.split(F.coalesce(e["a"]["rel"], F.lit("")), r"\s+"), "stylesheet")
+        raw = F.when(e["tag"] == "script", e["a"]["src"]).when(sheet, e["a"]["href"])
+        return F.nullif(raw, F.lit(""))
+
+    def classified(e: Column) -> Column:
+        return bind(
+            reference(e),
+            lambda ref: F.struct(
+                (e["pos"] + F.when(e["tag"] == "style", F.lit(1_000_000)).otherwise(F.lit(0))).cast("bigint").alias("seq"),
+                F.when(e["tag"] == "script", F.lit("js")).otherwise(F.lit("css")).alias("kind"),
+                ref.isNotNull().alias("external"),
+                F.coalesce(urls.resolve(page_url, ref), F.lit("inline")).alias("url"),
+                F.when(ref.isNull() & (e["tag"] != "link"), F.nullif(html.body(e["text"]), F.lit(""))).alias("content"),
+            ),
+        )
+
+    kept = F.filter(F.transform(parsed, classified), lambda r: r["external"] | r["content"].isNotNull())
+    return F.when(found(page, r"(?i)<(?:script|style|link)"), kept)
+
+
+def resource_extract(pages: DataFrame) -> DataFrame:
+    """One row per script or style sheet, in document order."""
+    return pages.select(
+        F.col("page_id").alias("target_id"), F.inline(resources(F.col("html"), F.col("url")))
+    )
 
 
 def inline_resources(extracted: DataFrame) -> DataFrame:
@@ -121,30 +127,46 @@ def resource_inventory(pages: DataFrame, extracted: DataFrame, fetched: DataFram
     )
 
 
-def nextjs_build_id(inline_scripts: DataFrame) -> DataFrame:
-    """Build id of the first inline script that names the framework data and a build id."""
-    content = F.col("content")
-    return (
-        inline_scripts.filter((F.col("url") == "inline") & F.contains(content, F.lit("__NEXT_DATA__")))
-        .filter(found(content, js.BUILD_ID))
-        .groupBy("target_id")
-        .agg(F.min_by(F.regexp_extract(content, js.BUILD_ID, 1), F.col("seq")).alias("build_id"))
+def build_id(content: Column) -> Column:
+    """Build id of a script that names the framework data, else null."""
+    return F.when(
+        F.contains(content, F.lit("__NEXT_DATA__")) & found(content, js.BUILD_ID),
+        F.regexp_extract(content, js.BUILD_ID, 1),
+    )
+
+
+def manifest_paths(content: Column) -> Column:
+    """``array<string>``: the first 30 chunk paths of a build manifest."""
+    return F.slice(F.concat(*[extract_all(content, p, 1) for p in js.MANIFEST_CHUNKS]), 1, js.MANIFEST_LIMIT)
+
+
+def static_references(content: Column) -> Column:
+    """``array<string>``: distinct static files named inside a script."""
+    return F.when(
+        F.contains(content, F.lit("/static/")), F.array_distinct(extract_all(content, js.STATIC_REFERENCE, 1))
     )
 
 
-def _kept_bodies(refs: DataFrame, seen: DataFrame, bodies: DataFrame) -> DataFrame:
-    return refs.join(seen.select("target_id", "url"), ["target_id", "url"], "left_anti").join(
-        captured(bodies, js.MIN_BODY).select("target_id", "url", "content"), ["target_id", "url"]
+def is_manifest(url: Column) -> Column:
+    return url.endswith("/_buildManifest.js")
+
+
+def nextjs_build_id(scripts: DataFrame) -> DataFrame:
+    """First build id among the inline scripts of a target."""
+    return first_build_id(
+        scripts.filter(F.col("url") == "inline").select("target_id", "seq", build_id(F.col("content")).alias("build_id"))
     )
 
 
-def chunk_manifest_refs(scripts: DataFrame) -> DataFrame:
-    """Chunk addresses of build manifests: the first 30 paths of each, resolved, distinct."""
-    manifests = scripts.filter(F.col("url").endswith("/_buildManifest.js"))
-    listed = F.concat(*[extract_all(F.col("content"), p, 1) for p in js.MANIFEST_CHUNKS])
-    paths = manifests.select(
-        "target_id", urls.base(F.col("url")).alias("base"), F.explode(F.slice(listed, 1, js.MANIFEST_LIMIT)).alias("p")
+def first_build_id(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("build_id").isNotNull()).groupBy("target_id").agg(
+        F.min_by("build_id", "seq").alias("build_id")
     )
+
+
+def chunk_addresses(manifests: DataFrame) -> DataFrame:
+    """Distinct resolved addresses of manifest rows ``(target_id, url, paths)``."""
+    rows = manifests.select("target_id", urls.base(F.col("url")).alias("base"), F.explode("paths").alias("p"))
     path, site = F.col("p"), F.col("base")
     address = (
         F.when(path.startswith("http"), path)
@@ -152,26 +174,48 @@ def chunk_manifest_refs(scripts: DataFrame) -> DataFrame:
         .when(path.startswith("static/"), F.concat(site, F.lit("/_next/"), path))
         .otherwise(F.concat(site, F.lit("/_next/static/"), path))
     )
-    return paths.select("target_id", address.alias("url")).distinct()
+    return rows.select("target_id", address.alias("url")).distinct()
+
+
+def chunk_manifest_refs(scripts: DataFrame) -> DataFrame:
+    return chunk_addresses(
+        scripts.filter(is_manifest(F.col("url"))).select("target_id", "url", manifest_paths(F.col("content")).alias("paths"))
+    )
+
+
+def unseen(refs: DataFrame, seen: DataFrame) -> DataFrame:
+    return refs.join(seen.select("target_id", "url"), ["target_id", "url"], "left_anti")
 
 
 def chunk_resources(scripts: DataFrame, bodies: DataFrame) -> DataFrame:
     """Captured bodies of manifest chunks that are not known yet."""
-    return _kept_bodies(chunk_manifest_refs(scripts), scripts, bodies).withColumn("kind", F.lit("js"))
+    return (
+        unseen(chunk_manifest_refs(scripts), scripts)
+        .join(captured(bodies, js.MIN_BODY).select("target_id", "url", "content"), ["target_id", "url"])
+        .withColumn("kind", F.lit("js"))
+    )
+
+
+def frontier_addresses(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Addresses of ``(target_id, base, refs)``: unseen, the first 20 of a target in order."""
+    refs = rows.select("target_id", "base", F.explode("refs").alias("path")).select(
+        "target_id", F.concat("base", "path").alias("url")
+    )
+    return first_k(unseen(refs.distinct(), seen), ["target_id"], ["url"], js.REFERENCE_LIMIT)
+
+
+def kind_of(url: Column) -> Column:
+    return F.when(url.endswith(".css"), F.lit("css")).otherwise(F.lit("js"))
 
 
 def referenced_js_frontier(scripts: DataFrame, base: Column, bodies: DataFrame) -> DataFrame:
-    """Static files named inside scripts: resolved, unseen, the first 20 of a target by address, kept when
-    a body was captured; ``.css`` goes to the style sheets."""
-    refs = scripts.select(
-        "target_id", F.concat(base, F.explode(extract_all(F.col("content"), js.STATIC_REFERENCE, 1))).alias("url")
-    ).distinct()
-    unseen = refs.join(scripts.select("target_id", "url"), ["target_id", "url"], "left_anti")
-    limited = first_k(unseen, ["target_id"], ["url"], js.REFERENCE_LIMIT)
-    kept = limited.join(
-        captured(bodies, js.MIN_BODY).select("target_id", "url", "content"), ["target_id", "url"]
-    )
-    return kept.withColumn("kind", F.when(F.col("url").endswith(".css"), F.lit("css")).otherwise(F.lit("js")))
+    """Captured bodies of static files named inside scripts; ``.css`` goes to the style sheets."""
+    rows = scripts.select("target_id", base.alias("base"), static_references(F.col("content")).alias("refs"))
+    return (
+        frontier_addresses(rows, scripts)
+        .join(captured(bodies, js.MIN_BODY).select("target_id", "url", "content"), ["target_id", "url"])
+        .withColumn("kind", kind_of(F.col("url")))
+    )
 
 
 def archive_select(index: DataFrame) -> DataFrame:

@@ -52,17 +52,29 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def meta_entries(pages: DataFrame) -> DataFrame:
-    """Named meta elements in document order; ``name`` counts before ``property``."""
-    parsed = pages.filter(found(F.col("html"), "(?i)<meta")).select(
-        F.col("page_id").alias("target_id"),
-        F.posexplode(
-            F.transform(
-                html.elements(F.col("html"), "meta"), lambda t: html.attributes(t, "name", "property", "content")
-            )
-        ).alias("pos", "m"),
+def metas(page: Column) -> Column:
+    """``array<struct<name, property, content>>`` of the meta elements."""
+    return F.when(
+        found(page, "(?i)<meta"),
+        F.transform(html.elements(page, "meta"), lambda t: html.attributes(t, "name", "property", "content")),
     )
-    return parsed.select(
+
+
+def repos(page: Column) -> Column:
+    """``array<string>``: distinct repository links of a page."""
+    return F.when(
+        F.contains(page, F.lit("github.com/")), F.array_distinct(extract_all(page, tech.REPO_LINK))
+    )
+
+
+def page_metas(pages: DataFrame) -> DataFrame:
+    return meta_rows_of(pages.select(F.col("page_id").alias("target_id"), metas(F.col("html")).alias("metas")))
+
+
+def meta_rows_of(parsed: DataFrame) -> DataFrame:
+    """Named meta elements of ``(target_id, metas)`` in document order; ``name`` counts before ``property``."""
+    rows = parsed.select("target_id", F.posexplode("metas").alias("pos", "m"))
+    return rows.select(
         "target_id",
         F.col("pos").cast("bigint").alias("pos"),
         F.coalesce("m.name", "m.property", F.lit("")).alias("name"),
@@ -71,35 +83,35 @@ def meta_entries(pages: DataFrame) -> DataFrame:
     ).filter(F.col("name") != "")
 
 
-def meta_extract(pages: DataFrame) -> DataFrame:
+def meta_extract(metas: DataFrame) -> DataFrame:
     """Last value of each name. ``first_pos`` is the place of the name in the report: the generator leads."""
     first = F.when(F.max("is_generator"), F.lit(-1).cast("bigint")).otherwise(F.min("pos"))
-    return meta_entries(pages).groupBy("target_id", "name").agg(
+    return metas.groupBy("target_id", "name").agg(
         F.max_by("content", "pos").alias("content"), first.alias("first_pos")
     )
 
 
-def wordpress_flag(pages: DataFrame, technologies: DataFrame) -> DataFrame:
+def wordpress_flag(targets: DataFrame, metas: DataFrame, technologies: DataFrame) -> DataFrame:
     """WordPress by fingerprint or by the first generator element."""
     by_tech = technologies.filter(F.col("technology") == "WordPress").select("target_id", F.lit(True).alias("hit"))
     by_meta = (
-        meta_entries(pages)
-        .filter("is_generator")
+        metas.filter("is_generator")
         .groupBy("target_id")
         .agg(F.contains(F.lower(F.min_by("content", "pos")), F.lit("wordpress")).alias("hit"))
     )
-    everyone = pages.select(F.col("page_id").alias("target_id"), F.lit(False).alias("hit"))
+    everyone = targets.select("target_id", F.lit(False).alias("hit"))
     return everyone.unionByName(by_tech).unionByName(by_meta).groupBy("target_id").agg(
         F.bool_or("hit").alias("wordpress")
     )
 
 
-def repo_links(pages: DataFrame, limit: int = tech.REPO_LIMIT) -> DataFrame:
-    """The first distinct repository links of a page, by name."""
-    links = pages.filter(F.contains("html", F.lit("github.com/"))).select(
-        F.col("page_id").alias("target_id"),
-        F.explode(F.array_distinct(extract_all(F.col("html"), tech.REPO_LINK))).alias("repo"),
-    )
+def repo_links(pages: DataFrame) -> DataFrame:
+    return repo_rows_of(pages.select(F.col("page_id").alias("target_id"), repos(F.col("html")).alias("repos")))
+
+
+def repo_rows_of(parsed: DataFrame, limit: int = tech.REPO_LIMIT) -> DataFrame:
+    """The first distinct repository links of a target, by name."""
+    links = parsed.select("target_id", F.explode("repos").alias("repo"))
     return first_k(links.distinct(), ["target_id"], ["repo"], limit, rank="n")
 
 
@@ -117,20 +129,30 @@ def builder_hits(texts: DataFrame) -> DataFrame:
     tests = _lowered(texts).select(
         "target_id", "source", "text", matching.builder_patterns("text", "_lower").alias("_hits")
     )
-    hits = F.transform(
-        F.col("_hits"),
-        lambda h: F.struct(h["tool"].alias("tool"), h["n"].alias("n"), h["pattern"].alias("matched_pattern"),
-                           matching.evidence(F.col("text"), h["pattern"]).alias("evidence")),
+    return tests.select("target_id", "source", F.inline(with_evidence(F.col("text"), F.col("_hits"))))
+
+
+def with_evidence(text: Column, hits: Column) -> Column:
+    return F.transform(
+        hits,
+        lambda h: F.struct(
+            h["tool"].alias("tool"),
+            h["n"].alias("n"),
+            h["pattern"].alias("matched_pattern"),
+            matching.evidence(text, h["pattern"]).alias("evidence"),
+        ),
     )
-    return tests.select("target_id", "source", F.inline(hits))
 
 
 def builder_detect(*texts: DataFrame) -> DataFrame:
     """One row per builder: its first fingerprint in list order, page before headers before address."""
+    return best_builders(_union([builder_hits(t) for t in texts]))
+
+
+def best_builders(hits: DataFrame) -> DataFrame:
     best = F.min_by(F.struct("matched_pattern", "evidence"), F.struct("n", "source", "evidence"))
     return (
-        _union([builder_hits(t) for t in texts])
-        .groupBy("target_id", "tool")
+        hits.groupBy("target_id", "tool")
         .agg(best.alias("b"))
         .select("target_id", "tool", "b.matched_pattern", "b.evidence")
     )
@@ -152,7 +174,7 @@ def builder_count(detected: DataFrame) -> DataFrame:
     return detected.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_builders"))
 
 
-def meta_top(pages: DataFrame, k: int) -> DataFrame:
-    return first_k(meta_extract(pages), ["target_id"], ["first_pos", "name"], k, rank="n")
+def meta_top(metas: DataFrame, k: int) -> DataFrame:
+    return first_k(meta_extract(metas), ["target_id"], ["first_pos", "name"], k, rank="n")
 
 

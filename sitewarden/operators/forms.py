@@ -1,4 +1,4 @@
-"""Forms of captured pages."""
+"""Forms of captured pages. The checks take form rows of :func:`page_forms` or :func:`form_rows_of`."""
 
 from __future__ import annotations
 
@@ -10,18 +10,27 @@ from sitewarden.functions.text import contains_any, found
 from sitewarden.rules import report
 
 
-def _forms(pages: DataFrame) -> DataFrame:
-    """One row per form with its inputs as an array; pages without a form are left at once."""
-    parsed = F.transform(
-        html.blocks(html.without_code(F.col("html")), "form"),
-        lambda f: F.struct(
-            html.attributes(f, "action", "method").alias("a"),
-            F.transform(html.tags(f, "input"), lambda i: html.attributes(i, "name", "type", "id")).alias("inputs"),
+def parse(page: Column) -> Column:
+    """``array<struct<a, inputs>>``: the forms of a page, null at once when there is none."""
+    return F.when(
+        found(page, "(?i)<form"),
+        F.transform(
+            html.blocks(html.without_code(page), "form"),
+            lambda f: F.struct(
+                html.attributes(f, "action", "method").alias("a"),
+                F.transform(html.tags(f, "input"), lambda i: html.attributes(i, "name", "type", "id")).alias("inputs"),
+            ),
         ),
     )
-    rows = pages.filter(found(F.col("html"), "(?i)<form")).select(
-        F.col("page_id").alias("target_id"), F.posexplode(parsed).alias("pos", "f")
-    )
+
+
+def page_forms(pages: DataFrame) -> DataFrame:
+    return form_rows_of(pages.select(F.col("page_id").alias("target_id"), parse(F.col("html")).alias("forms")))
+
+
+def form_rows_of(parsed: DataFrame) -> DataFrame:
+    """One row per form of ``(target_id, forms)``, numbered in document order."""
+    rows = parsed.select("target_id", F.posexplode("forms").alias("pos", "f"))
     return rows.select(
         "target_id",
         (F.col("pos") + 1).cast("bigint").alias("form_no"),
@@ -31,9 +40,9 @@ def _forms(pages: DataFrame) -> DataFrame:
     )
 
 
-def form_extract(pages: DataFrame) -> DataFrame:
+def form_extract(forms: DataFrame) -> DataFrame:
     """One row per input; a form without inputs keeps one row."""
-    rows = _forms(pages).select(
+    rows = forms.select(
         "target_id", "form_no", "action", "method", F.posexplode_outer("inputs").alias("pos", "i")
     )
     given = F.col("pos").isNotNull()
@@ -54,10 +63,10 @@ def _has_csrf(field: Column) -> Column:
     return F.coalesce(field["type"] == "hidden", F.lit(False)) & contains_any(name, report.CSRF_WORDS)
 
 
-def with_issues(pages: DataFrame) -> DataFrame:
+def with_issues(forms: DataFrame) -> DataFrame:
     action, method = F.col("action"), F.col("method")
     aimless = (action == "") | (action == "#")
-    checked = _forms(pages).select(
+    checked = forms.select(
         "*",
         F.exists("inputs", _has_csrf).alias("has_csrf"),
         F.exists("inputs", lambda i: F.coalesce(i["type"] == "password", F.lit(False))).alias("has_password"),
@@ -80,15 +89,15 @@ def _shown_action() -> Column:
     return F.when(F.col("action") == "", F.lit(report.FORM_NO_ACTION)).otherwise(F.col("action"))
 
 
-def form_audit(pages: DataFrame) -> DataFrame:
+def form_audit(forms: DataFrame) -> DataFrame:
     """One row per issue; forms without an issue are left out."""
-    return with_issues(pages).select(
+    return with_issues(forms).select(
         "target_id", "form_no", _shown_action().alias("action"), "method", "has_csrf",
         F.posexplode("issues").alias("pos", "issue"),
     ).withColumn("n", (F.col("pos") + 1).cast("bigint")).drop("pos")
 
 
-def form_rows(pages: DataFrame) -> DataFrame:
+def form_rows(forms: DataFrame) -> DataFrame:
     """Report rows: the first eight inputs in one text."""
     shown = F.transform(
         F.slice("inputs", 1, report.FORM_INPUTS),
@@ -96,7 +105,7 @@ def form_rows(pages: DataFrame) -> DataFrame:
             F.coalesce(i["type"], F.lit("text")), F.lit("("), F.coalesce(i["name"], F.lit("")), F.lit(")")
         ),
     )
-    return with_issues(pages).select(
+    return with_issues(forms).select(
         "target_id", "form_no", _shown_action().alias("action"), "method", "has_csrf",
         F.array_join(shown, ", ").alias("inputs"),
     )

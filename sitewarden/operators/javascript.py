@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.functions.frames import first_k
-from sitewarden.functions.text import around, extract_all, left, one_line, right
+from sitewarden.functions.text import around, extract_all, left, one_line, quoted, right
 from sitewarden.rules import javascript as rules
 from sitewarden.rules import report
 
@@ -14,20 +14,21 @@ CALL = "API Endpoint"
 COLUMNS = ["target_id", "seq", "ord", "pattern", "description", "source", "context", "severity"]
 
 
-def _sinks(content: Column) -> Column:
-    places = F.array(
-        *[
-            F.struct(
-                F.lit(n).cast("bigint").alias("ord"),
-                F.lit(literal).alias("pattern"),
-                F.lit(description).alias("description"),
-                F.locate(literal, content).alias("at"),
-            )
-            for n, (literal, description) in enumerate(rules.SINKS.items(), 1)
-        ]
+def sinks(content: Column) -> Column:
+    """``array<struct>``: first place of each sink in a script."""
+    table = ", ".join(
+        f"named_struct('ord', {n}L, 'pattern', {quoted(literal)}, 'description', {quoted(description)})"
+        for n, (literal, description) in enumerate(rules.SINKS.items(), 1)
+    )
+    places = F.transform(
+        F.filter(F.expr(f"array({table})"), lambda s: F.contains(content, s["pattern"])),
+        lambda s: F.struct(
+            s["ord"].alias("ord"), s["pattern"].alias("pattern"), s["description"].alias("description"),
+            F.position(s["pattern"], content).alias("at"),
+        ),
     )
     return F.transform(
-        F.filter(places, lambda p: p["at"] > 0),
+        places,
         lambda p: F.struct(
             p["ord"].alias("ord"),
             p["pattern"].alias("pattern"),
@@ -40,7 +41,8 @@ def _sinks(content: Column) -> Column:
     )
 
 
-def _calls(content: Column) -> Column:
+def calls(content: Column) -> Column:
+    """``array<struct>``: addresses of fetch calls, then of request objects."""
     addresses = F.concat(extract_all(content, rules.FETCH_CALL, 1), extract_all(content, rules.XHR_CALL, 1))
     return F.transform(
         F.filter(addresses, lambda u: u.startswith("http")),
@@ -60,17 +62,26 @@ def _rows(scripts: DataFrame, found: Column) -> DataFrame:
 
 def js_sinks(scripts: DataFrame) -> DataFrame:
     """First place of each sink in each script."""
-    return _rows(scripts, _sinks(F.col("content")))
+    return _rows(scripts, sinks(F.col("content")))
 
 
 def js_api_calls(scripts: DataFrame) -> DataFrame:
     """Calls to absolute addresses: fetch first, then request objects."""
-    return _rows(scripts, _calls(F.col("content")))
+    return _rows(scripts, calls(F.col("content")))
+
+
+def script_findings(content: Column) -> Column:
+    """Sinks, then calls, of one script."""
+    return F.concat(sinks(content), calls(content))
 
 
 def js_findings(scripts: DataFrame) -> DataFrame:
-    """Sinks, then calls, in one pass over the scripts."""
-    return _rows(scripts, F.concat(_sinks(F.col("content")), _calls(F.col("content"))))
+    return _rows(scripts, script_findings(F.col("content")))
+
+
+def js_findings_of(parsed: DataFrame) -> DataFrame:
+    """Rows of ``(target_id, seq, url, script_findings)``."""
+    return _rows(parsed, F.col("script_findings"))
 
 
 def js_dedup(findings: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sitewarden.functions import urls
 from sitewarden.functions.frames import ordered_text
-from sitewarden.functions.text import lookup
+from sitewarden.functions.text import literals, lookup
 from sitewarden.rules import paths, remediation, report, secrets
 from sitewarden.rules.headers import EXPECTED
 
@@ -178,7 +178,7 @@ def target_digest(targets: DataFrame, technologies: DataFrame, secret_findings:
 
 
 def _position(value: Column, names: list[str]) -> Column:
-    return F.array_position(F.array(*[F.lit(n) for n in names]), value)
+    return F.array_position(literals(names), value)
 
 
 def _rule_order(rule: Column) -> Column:
@@ -199,10 +199,3 @@ def module_error_rows(targets: DataFrame, unreadable: DataFrame) -> DataFrame:
         "target_id", F.lit("target").alias("module"), F.col("url").alias("input")
     )
     return bad_address.unionByName(unreadable)
-
-
-def severity_by_host(findings: DataFrame, targets: DataFrame) -> DataFrame:
-    """Counted findings per host and severity with subtotals."""
-    hosts = targets.select("target_id", urls.hostname(F.col("url")).alias("host"))
-    per_target = findings.groupBy("target_id", "severity").agg(F.sum("n_counted").alias("n"))
-    return per_target.join(hosts, "target_id").rollup("host", "severity").agg(F.sum("n").alias("n"))

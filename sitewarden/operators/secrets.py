@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitewarden.functions import matching
 from sitewarden.functions.frames import drop_large_groups, first_k
-from sitewarden.functions.text import contains_any, found, left, mask
+from sitewarden.functions.text import contains_any, found, left, literals, mask
 from sitewarden.rules import false_positives as fp
 from sitewarden.rules import secrets
 
@@ -27,8 +27,7 @@ def _kind_order() -> Column:
 
 
 def rule_name(order: Column) -> Column:
-    names = F.expr(f"array({', '.join(map(matching.quoted, matching.RULES))})")
-    return F.element_at(names, order.cast("int"))
+    return F.element_at(literals(matching.RULES), order.cast("int"))
 
 
 def rule_severity(rule: Column) -> Column:
@@ -39,19 +38,26 @@ def rule_severity(rule: Column) -> Column:
     )
 
 
-def secret_matches(resources: DataFrame, anchored: bool = True) -> DataFrame:
+def secret_matches(resources: DataFrame, anchored: bool = True, drop_over_cap: bool = False) -> DataFrame:
     """Every match of every rule with its surroundings, one row per match."""
-    keys = [c for c in resources.columns if c != "content"]
+    keys = [c for c in resources.columns if c != "content"]  # the text stays behind
     lowered = resources.select(*keys, "content", F.lower("content").alias("_lower"))
     matched = lowered.select(
         *keys, "content", matching.credential_matches("content", "_lower", anchored).alias("_matches")
     )
     hits = matched.select(
-        *keys, F.explode(matching.credential_hits(F.col("content"), F.col("_matches"))).alias("_hit")
+        *keys, F.explode(matching.credential_hits(F.col("content"), F.col("_matches"), drop_over_cap)).alias("_hit")
     )
     return hits.select(*keys, "_hit.*").withColumn("rule", rule_name(F.col("ord")))
 
 
+def match_rows_of(parsed: DataFrame) -> DataFrame:
+    """Match rows of ``(target_id, seq, kind, url, secrets)``."""
+    return parsed.select("target_id", "seq", "kind", "url", F.inline("secrets")).withColumn(
+        "rule", rule_name(F.col("ord"))
+    )
+
+
 def apply_cap(matches: DataFrame, cap: int = secrets.MATCH_CAP) -> DataFrame:
     """Drop a rule in a target where it has more than ``cap`` matches."""
     return drop_large_groups(

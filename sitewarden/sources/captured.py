@@ -46,7 +46,7 @@ def page_source(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_resources(pages: DataFrame) -> DataFrame:
+def page_resources(pages: DataFrame, *extra: str) -> DataFrame:
     """Pages in the shape of the resource table (kind ``html``, first in scan order)."""
     return pages.select(
         F.col("page_id").alias("target_id"),
@@ -54,4 +54,5 @@ def page_resources(pages: DataFrame) -> DataFrame:
         F.lit("html").alias("kind"),
         F.lit("HTML page").alias("url"),
         F.col("html").alias("content"),
+        *extra,
     )
