@@ -611,7 +611,7 @@ FINAL: dict[str, str] = {
     "path_remediation": f"SELECT target_id, path, coalesce(advice, {s(remediation.PATH_DEFAULT)}) AS advice FROM exposed LEFT JOIN path_advice USING (path)",
     "js_remediation": "SELECT target_id, pattern, n, advice FROM js_counts JOIN sink_advice USING (pattern)",
     "target_digest": f"SELECT target_id, CASE WHEN length(d) < 100 THEN d || chr(10) || chr(10) || {s(report.DIGEST_FILLER)} ELSE d END AS digest FROM digests",
-    "report_topn_js": "SELECT target_id, n, pattern, left(description, 35) AS risk, right(source, 35) AS source FROM js_unique WHERE n <= 20",
+    "report_topn": "SELECT target_id, n, pattern, left(description, 35) AS risk, right(source, 35) AS source FROM js_unique WHERE n <= 20",
     "report_topn_meta": "SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY place, name) AS n, name, left(content, 80) AS content FROM meta_last QUALIFY n <= 15",
     "report_topn_forms": "SELECT DISTINCT target_id, form_no, action, method, has_csrf, coalesce(inputs, '') AS inputs FROM form_issues",
     "report_topn_cookies": "SELECT j.target_id, j.name, secure, httponly, samesite, left(coalesce(i.issues, ''), 60) AS issues FROM jar j LEFT JOIN (SELECT target_id, name, string_agg(issue, '; ' ORDER BY n) AS issues FROM cookie_issues GROUP BY ALL) i USING (target_id, name)",

@@ -552,7 +552,7 @@ def target_digest(i):
 
 
 @query
-def report_topn_js(i):
+def report_topn(i):
     return javascript.js_report_rows(i.scripts_found)
 
 

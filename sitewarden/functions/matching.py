@@ -1,7 +1,7 @@
 """Rule tables compiled to expressions.
 
 Rules are literals in the plan, not rows of a joined table: a literal pattern is compiled once per task
-and the text is never copied per rule. Cheap ``contains`` tests decide which patterns have to run. The
+and the text is never copied per rule. The words found beforehand decide which patterns have to run. The
 wide expressions are written as SQL text, which is parsed in one step.
 """
 
@@ -13,29 +13,70 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitewarden.functions.text import LINE_FEED_ONLY, around, bind, one_line, quoted
-from sitewarden.rules import builders, secrets, tech
+from sitewarden.functions.words import WordIndex
+from sitewarden.rules import builders, javascript, leaks, secrets, tech
 
 RULES = list(secrets.PATTERNS)
+REQUIRED = {**tech.REQUIRED, **builders.REQUIRED}
+
+_LITERAL = re.compile(r"(?:[A-Za-z0-9 _/@\-\"=<>:]|\\[.()\[\]$\"])+")
+_LINE_SPAN = re.compile(r"(?P<head>.+?)\.\*\??(?P<tail>.+)")
+
+
+def literal(pattern: str) -> str | None:
+    """The text a pattern stands for, in lower case, when it has no operators."""
+    return re.sub(r"\\(.)", r"\1", pattern).lower() if _LITERAL.fullmatch(pattern) else None
+
+
+def _span(pattern: str) -> tuple[str, str, str] | None:
+    """Head, its text and tail of a pattern "a.*b"."""
+    span = _LINE_SPAN.fullmatch(pattern)
+    text = literal(span["head"]) if span else None
+    return (span["head"], text, span["tail"]) if text is not None else None
+
+
+def required_word(pattern: str) -> str | None:
+    """A word without which a fingerprint cannot occur."""
+    span = _span(pattern)
+    return literal(pattern) or (span[1] if span else REQUIRED.get(pattern))
+
+
+def _all_words() -> set[str]:
+    signatures = [*tech.SIGNATURES.values(), *builders.SIGNATURES.values()]
+    words = {required_word(p) for patterns in signatures for p in patterns} - {None}
+    words |= {a.lower() for anchors in secrets.ANCHORS.values() for a in anchors}
+    words |= {sink.lower() for sink in javascript.SINKS} | {word for _, _, word in leaks.CONFIG_BLOBS}
+    return words | set(leaks.ERROR_WORDS) | set(PAGE_WORDS)
+
+
+# Words that gate the page structure.
+PAGE_WORDS = ["<script", "<style", "<link", "<form", "<meta", "<!--", "github.com/", "sourcemappingurl=", "/static/",
+              "__next_data__", "fetch", ".open"]
+WORDS = WordIndex(_all_words())
 
 
 def regex(pattern: str) -> str:
     return quoted(LINE_FEED_ONLY + pattern)
 
 
-def any_of(column: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({column}, {quoted(w)})" for w in words) + ")"
+def credential_matches(text: str, gated: bool = True) -> Column:
+    """``array<array<string>>``: all matches of each credential rule, in rule order (null: none).
 
-
-def credential_matches(text: str, lower: str, anchored: bool = True) -> Column:
-    """``array<array<string>>``: all matches of each credential rule, in rule order (null: none)."""
+    Needs the word marks unless ``gated`` is off. Case-sensitive words are looked up once more as they are.
+    """
     arrays = []
     for rule, pattern in secrets.PATTERNS.items():
         matches = f"regexp_extract_all({text}, {regex(pattern)}, 0)"
-        if anchored and rule in secrets.ANCHORS:
-            gate = any_of(lower if pattern.startswith("(?i)") else text, secrets.ANCHORS[rule])
-            if rule in secrets.TAILS:
-                gate += f" AND rlike({text}, {regex(secrets.TAILS[rule])})"
-            matches = f"CASE WHEN {gate} THEN {matches} END"
+        gates = []
+        if gated and rule in secrets.ANCHORS:
+            anchors = secrets.ANCHORS[rule]
+            gates.append(WORDS.present(anchors))
+            if not pattern.startswith("(?i)") and any(a != a.lower() for a in anchors):
+                gates.append("(" + " OR ".join(f"contains({text}, {quoted(a)})" for a in anchors) + ")")
+        if gated and rule in secrets.NECESSARY:
+            gates.append(f"rlike({text}, {regex(secrets.NECESSARY[rule])})")
+        if gates:
+            matches = f"CASE WHEN {' AND '.join(gates)} THEN {matches} END"
         arrays.append(matches)
     return F.expr(f"array({', '.join(arrays)})")
 
@@ -75,62 +116,41 @@ def credential_hits(text: Column, matches: Column, drop_over_cap: bool = False)
     return F.flatten(F.transform(F.filter(numbered, lambda r: F.size(r["m"]).between(1, most)), located))
 
 
-_LITERAL = re.compile(r"(?:[A-Za-z0-9 _/@\-\"=<>:]|\\[.()\[\]$\"])+")
-_LINE_SPAN = re.compile(r"(?P<head>.+?)\.\*\??(?P<tail>.+)")
+def signature_test(text: str, pattern: str) -> str:
+    """Does a case-insensitive fingerprint occur? For plain texts the mark is the answer; "a.*b" runs once
+    per line from the first "a" instead of once per "a"."""
+    if literal(pattern) is not None:
+        return WORDS.present([literal(pattern)])
+    word, span = required_word(pattern), _span(pattern)
+    if span is not None:
+        tail = span[2].replace(".*?", r"[^\n]*?")
+        test = f"rlike({text}, {regex(rf'(?im)^(?>[^\n]*?{span[0]})[^\n]*?{tail}')})"
+    else:
+        test = f"rlike({text}, {regex('(?i)' + pattern)})"
+    return f"({WORDS.present([word])} AND {test})" if word else test
 
 
-def _literal(pattern: str) -> str | None:
-    """The text a pattern stands for, when it has no operators."""
-    return re.sub(r"\\(.)", r"\1", pattern).lower() if _LITERAL.fullmatch(pattern) else None
-
-
-def signature_test(text: str, lower: str, pattern: str) -> str:
-    """Does a case-insensitive fingerprint occur? Plain texts are ``contains`` tests; "a.*b" runs once per
-    line from the first "a" instead of once per "a"."""
-    literal = _literal(pattern)
-    if literal is not None:
-        return f"contains({lower}, {quoted(literal)})"
-    span = _LINE_SPAN.fullmatch(pattern)
-    head = _literal(span["head"]) if span else None
-    if head is not None:
-        tail = span["tail"].replace(".*?", r"[^\n]*?")
-        once = rf"(?im)^(?>[^\n]*?{span['head']})[^\n]*?{tail}"
-        return f"(contains({lower}, {quoted(head)}) AND rlike({text}, {regex(once)}))"
-    return f"rlike({text}, {regex('(?i)' + pattern)})"
-
-
-def _any_signature(text: str, lower: str, patterns: list[str]) -> str:
-    """Any of the fingerprints; a literal that holds another one of the list need not be looked up."""
-    plain = [_literal(p) for p in patterns]
-    needed = [
-        p for p, own in zip(patterns, plain)
-        if own is None or not any(other and other != own and other in own for other in plain)
-    ]
-    return " OR ".join(signature_test(text, lower, p) for p in needed)
-
-
-def technologies(text: str, lower: str) -> Column:
-    """``array<string>``: technologies with at least one fingerprint in the text."""
-    tests = [
-        f"CASE WHEN {_any_signature(text, lower, patterns)} THEN {quoted(name)} END"
-        for name, patterns in tech.SIGNATURES.items()
-    ]
+def technologies(text: str) -> Column:
+    """``array<string>``: technologies with at least one fingerprint in a marked text."""
+    tests = []
+    for name, patterns in tech.SIGNATURES.items():
+        plain = [literal(p) for p in patterns if literal(p) is not None]
+        marks = [WORDS.present(plain)] if plain else []
+        rest = [signature_test(text, p) for p in patterns if literal(p) is None]
+        tests.append(f"CASE WHEN {' OR '.join(marks + rest)} THEN {quoted(name)} END")
     return F.expr(f"filter(array({', '.join(tests)}), x -> x IS NOT NULL)")
 
 
-def builder_patterns(text: str, lower: str) -> Column:
-    """``array<struct<tool, n, pattern>>``: first fingerprint in list order of each builder that has one.
-
-    The few gate words of a builder decide whether its list is tried at all.
-    """
+def builder_patterns(text: str) -> Column:
+    """``array<struct<tool, n, pattern>>``: first fingerprint in list order of each builder that has one."""
     tests = []
     for tool, patterns in builders.SIGNATURES.items():
         cases = " ".join(
-            f"WHEN {signature_test(text, lower, p)} THEN "
+            f"WHEN {signature_test(text, p)} THEN "
             f"named_struct('tool', {quoted(tool)}, 'n', {n}L, 'pattern', {quoted(p)})"
             for n, p in enumerate(patterns, 1)
         )
-        tests.append(f"CASE WHEN {any_of(lower, builders.GATES[tool])} THEN CASE {cases} END END")
+        tests.append(f"CASE {cases} END")
     return F.expr(f"filter(array({', '.join(tests)}), x -> x IS NOT NULL)")
 
 

@@ -15,8 +15,8 @@ from sitewarden.functions.text import extract_all, found, lookup
 from sitewarden.rules import builders, tech
 
 
-def _lowered(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("_lower", F.lower("text"))
+def _marked(texts: DataFrame) -> DataFrame:
+    return matching.WORDS.mark(texts, "text")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def script_texts(scripts: DataFrame) -> DataFrame:
 def tech_detect(*texts: DataFrame) -> DataFrame:
     """Distinct technologies per target over the given texts."""
     names = [
-        _lowered(t).select("target_id", F.explode(matching.technologies("text", "_lower")).alias("technology"))
+        _marked(t).select("target_id", F.explode(matching.technologies("text")).alias("technology"))
         for t in texts
     ]
     return _union(names).distinct()
@@ -126,9 +126,7 @@ def tech_category(technologies: DataFrame) -> DataFrame:
 
 
 def builder_hits(texts: DataFrame) -> DataFrame:
-    tests = _lowered(texts).select(
-        "target_id", "source", "text", matching.builder_patterns("text", "_lower").alias("_hits")
-    )
+    tests = _marked(texts).select("target_id", "source", "text", matching.builder_patterns("text").alias("_hits"))
     return tests.select("target_id", "source", F.inline(with_evidence(F.col("text"), F.col("_hits"))))
 
 

@@ -38,13 +38,11 @@ def rule_severity(rule: Column) -> Column:
     )
 
 
-def secret_matches(resources: DataFrame, anchored: bool = True, drop_over_cap: bool = False) -> DataFrame:
+def secret_matches(resources: DataFrame, gated: bool = True, drop_over_cap: bool = False) -> DataFrame:
     """Every match of every rule with its surroundings, one row per match."""
     keys = [c for c in resources.columns if c != "content"]  # the text stays behind
-    lowered = resources.select(*keys, "content", F.lower("content").alias("_lower"))
-    matched = lowered.select(
-        *keys, "content", matching.credential_matches("content", "_lower", anchored).alias("_matches")
-    )
+    marked = matching.WORDS.mark(resources, "content") if gated else resources
+    matched = marked.select(*keys, "content", matching.credential_matches("content", gated).alias("_matches"))
     hits = matched.select(
         *keys, F.explode(matching.credential_hits(F.col("content"), F.col("_matches"), drop_over_cap)).alias("_hit")
     )
@@ -125,9 +123,9 @@ def dedup(findings: DataFrame) -> DataFrame:
     return first_k(ordered, ["target_id", "ord", "type", "value_masked"], SCAN_ORDER, 1).drop("kind_ord")
 
 
-def secret_findings(resources: DataFrame, strict: bool = False, anchored: bool = True) -> DataFrame:
+def secret_findings(resources: DataFrame, strict: bool = False, gated: bool = True) -> DataFrame:
     """The whole scan: matches, cap, context rules, mask, place, de-duplication."""
-    return findings_of(secret_matches(resources, anchored), strict)
+    return findings_of(secret_matches(resources, gated), strict)
 
 
 def findings_of(matches: DataFrame, strict: bool = False) -> DataFrame:

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.functions import matching, urls
+from sitewarden.functions.words import MARK
 from sitewarden.operators import acquisition as acq
 from sitewarden.operators import cookies, fingerprint, forms, headers, javascript, leaks, responses, rollup
 from sitewarden.operators import secrets as sec
 from sitewarden.operators import tool_reports as tools
 from sitewarden.rules import javascript as js_rules
+from sitewarden.rules import leaks as leak_rules
 from sitewarden.sources import sinks
 
 SCRIPT_OFFSET = 10_000_000
@@ -72,43 +74,44 @@ def _rows(table: DataFrame, kind: Column, offset: int, order: Column) -> DataFra
 
 
 def facts(resources: DataFrame) -> DataFrame:
-    """One narrow row per resource with the hits of all modules."""
+    """One narrow row per resource with the hits of all modules. A module runs only on texts that hold one
+    of its words."""
     keys = ["target_id", "seq", "kind", "url"]
-    content, lower = F.col("content"), F.col("_lower")
+    content = F.col("content")
+    page, script = F.col("kind") == "html", F.col("kind") == "js"
 
-    def on_page(value: Column) -> Column:
-        return F.when(F.col("kind") == "html", value)
+    def given(words: list[str], value: Column, kind: Column | None = None) -> Column:
+        mark = F.expr(matching.WORDS.present(words))
+        return F.when(mark if kind is None else kind & mark, value)
 
-    def in_script(value: Column) -> Column:
-        return F.when(F.col("kind") == "js", value)
-
-    lowered = resources.select(*keys, "content", "links", F.lower("content").alias("_lower"))
-    matched = lowered.select(
+    config_words = [word for _, _, word in leak_rules.CONFIG_BLOBS]
+    marked = matching.WORDS.mark(resources.select(*keys, "links", "content"), "content")
+    matched = marked.select(
         *keys,
-        "content",
         "links",
-        matching.credential_matches("content", "_lower").alias("_matches"),
-        on_page(matching.technologies("content", "_lower")).alias("technologies"),
-        on_page(matching.builder_patterns("content", "_lower")).alias("_builders"),
-        on_page(leaks.config_blobs(content, lower)).alias("_blobs"),
+        "content",
+        MARK,
+        matching.credential_matches("content").alias("_matches"),
+        F.when(page, matching.builder_patterns("content")).alias("_builders"),
+        given(config_words, leaks.config_blobs(content, F.lower(content)), page).alias("_blobs"),
     )
     return matched.select(
         *keys,
         "links",
         F.length("content").cast("bigint").alias("size"),
         matching.credential_hits(content, F.col("_matches")).alias("secrets"),
-        "technologies",
+        F.when(page, matching.technologies("content")).alias("technologies"),
         fingerprint.with_evidence(content, F.col("_builders")).alias("builders"),
         leaks.config_findings(F.col("_blobs")).alias("config_findings"),
-        on_page(leaks.comments(content)).alias("comments"),
-        leaks.source_maps(content).alias("source_maps"),
-        on_page(leaks.debug_texts(content)).alias("debug_texts"),
-        on_page(forms.parse(content)).alias("forms"),
-        on_page(fingerprint.metas(content)).alias("metas"),
-        on_page(fingerprint.repos(content)).alias("repos"),
-        in_script(javascript.script_findings(content)).alias("script_findings"),
-        in_script(acq.build_id(content)).alias("build_id"),
-        in_script(acq.static_references(content)).alias("refs"),
+        given(["<!--"], leaks.comments(content), page).alias("comments"),
+        given(["sourcemappingurl="], leaks.source_maps(content)).alias("source_maps"),
+        given(leak_rules.ERROR_WORDS, leaks.debug_texts(content), page).alias("debug_texts"),
+        given(["<form"], forms.parse(content), page).alias("forms"),
+        given(["<meta"], fingerprint.metas(content), page).alias("metas"),
+        given(["github.com/"], fingerprint.repos(content), page).alias("repos"),
+        given([*js_rules.SINKS, "fetch", ".open"], javascript.script_findings(content), script).alias("script_findings"),
+        given(["__next_data__"], acq.build_id(content), script).alias("build_id"),
+        given(["/static/"], acq.static_references(content), script).alias("refs"),
         F.when(acq.is_manifest(F.col("url")), acq.manifest_paths(content)).alias("paths"),
     )
 

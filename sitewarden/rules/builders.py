@@ -123,33 +123,10 @@ ABOUT = {
         "Render deployments may expose internal service hostnames or database URLs in frontend code."),
 }
 
-# Words (lower case) of which one occurs wherever a fingerprint of the tool occurs.
-GATES = {
-    "Replit": ["repl"],
-    "Lovable (GPT Engineer)": ["lovable", "gptengineer"],
-    "Bolt.new": ["bolt", "stackblitz", "webcontainer"],
-    "v0.dev (Vercel)": ["v0"],
-    "Cursor": ["cursor"],
-    "Windsurf (Codeium)": ["windsurf", "codeium"],
-    "Create.xyz": ["create.xyz", "createxyz", "created-with-create"],
-    "Tempo Labs": ["tempo"],
-    "Firebase Studio (Project IDX)": ["idx.", "project-idx", "firebase.studio"],
-    "Bubble.io": ["bubble"],
-    "Webflow": ["webflow", "wf-", "w-richtext", "w-embed"],
-    "Framer": ["framer"],
-    "Wix": ["wix", "parastorage"],
-    "Squarespace": ["squarespace", "sqs"],
-    "Softr": ["softr"],
-    "Glide": ["glide"],
-    "FlutterFlow": ["flutterflow", "ff_theme"],
-    "Retool": ["retool"],
-    "Vercel AI SDK": ["ai.vercel.dev", "@ai-sdk", "vercel/ai", "usechat(", "usecompletion(", "streamtext("],
-    "Supabase + AI": ["supabase"],
-    "GitHub Copilot": ["copilot"],
-    "Devin": ["devin", "cognition.ai"],
-    "Netlify Drop / Build": ["netlify"],
-    "Railway": ["railway."],
-    "Render": ["render.com"],
+# A word (lower case) that occurs wherever the fingerprint does, for fingerprints with operators.
+REQUIRED = {
+    r"built.withbolt": "withbolt",
+    r"generated.by.cursor": "cursor",
 }
 
 # Evidence radius and cut.

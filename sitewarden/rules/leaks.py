@@ -9,6 +9,9 @@ ERRORS = [
     r"(?i)uncaught\s+exception", r"(?i)syntax\s+error.*?line\s+\d+",
 ]
 
+# A word (lower case) that occurs wherever an error text does.
+ERROR_WORDS = ["stack", "traceback", "fatal", "uncaught", "syntax"]
+
 # Source map reference.
 SOURCE_MAP = r"//[#@]\s*sourceMappingURL=(\S+)"
 

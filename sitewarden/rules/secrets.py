@@ -110,9 +110,10 @@ ANCHORS = {
     "PayPal Client ID": ["paypal"],
 }
 
-# The tail of a rule that begins with "<word>.*?". On one long line such a rule rescans the rest of
-# the line from every <word>; when the tail occurs nowhere the rule cannot match and is not started.
-TAILS = {
+# A cheaper pattern that has to match somewhere before the rule can. On one long line "<word>.*?" rescans
+# the rest of the line from every <word>; a word boundary test at every character is slow, too.
+NECESSARY = {
+    "Discord Bot Token": r"[MN][A-Za-z\d]{23,}\.",
     "Firebase API Key": r"(?i)['\"]AIza[0-9A-Za-z\-_]{35}['\"]",
     "PayPal Client ID": r"(?i)client.?id\s*[=:]\s*['\"][A-Za-z0-9\-_]{20,}['\"]",
 }

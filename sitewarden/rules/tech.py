@@ -33,6 +33,18 @@ SIGNATURES = {
     "Vite": [r"@vite", r"vite/client", r"import\.meta\.env"],
 }
 
+# A word (lower case) that occurs wherever the fingerprint does, for fingerprints with operators.
+REQUIRED = {
+    r"react(?:\.min)?\.js": "react",
+    r"vue(?:\.min)?\.js": "vue",
+    r"angular(?:\.min)?\.js": "angular",
+    r"jquery(?:\.min)?\.js": "jquery",
+    r"bootstrap(?:\.min)?\.(?:js|css)": "bootstrap",
+    r"stripe(?:\.min)?\.js": "stripe",
+    r"UA-\d{4,}-\d{1,}": "ua-",
+    r"GTM-[A-Z0-9]+": "gtm-",
+}
+
 # Report category -> technologies; a technology outside all lists is "Other".
 CATEGORIES = {
     "Frontend": ["React", "Vue.js", "Angular", "Svelte", "jQuery", "Bootstrap", "Tailwind CSS"],
