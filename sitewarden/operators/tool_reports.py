@@ -67,7 +67,8 @@ def wp_report_clean(reports: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def git_report_findings(reports: DataFrame) -> DataFrame:
-    leaks = git_lines(reports).select("target_id", F.explode(F.from_json("line", GIT_SCHEMA)).alias("l"))
+    lists = git_lines(reports).filter(F.json_array_length("line").isNotNull())
+    leaks = lists.select("target_id", F.explode(F.from_json("line", GIT_SCHEMA)).alias("l"))
     return leaks.select(
         "target_id",
         F.coalesce("l.RuleID", F.lit(report.GIT_NO_RULE)).alias("name"),
