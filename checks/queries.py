@@ -57,7 +57,7 @@ class Inputs:
 
     def make_live(self) -> DataFrame:
         """Pages, then their inline scripts and styles."""
-        return self.page_rows.unionByName(acq.inline_resources(self.extracted))
+        return audit.page_resources(self.planted_pages).drop("links")
 
     def make_documents(self) -> DataFrame:
         """Prose as further page texts, numbered below zero to stay apart from the pages."""

@@ -227,9 +227,13 @@ def archive_select(index: DataFrame) -> DataFrame:
     return first_k(earliest, ["target_id"], ["urlkey"], js.ARCHIVE_LIMIT)
 
 
+def archive_label() -> Column:
+    return F.concat(F.lit(ARCHIVE_LABEL), "original")
+
+
 def archive_resources(selected: DataFrame, bodies: DataFrame) -> DataFrame:
     """Archived bodies as labelled script resources."""
     kept = captured(bodies, js.MIN_BODY).select("target_id", "ts", "original", "content")
     return selected.select("target_id", "ts", "original").join(kept, ["target_id", "ts", "original"]).select(
-        "target_id", "ts", F.concat(F.lit(ARCHIVE_LABEL), "original").alias("url"), "content"
+        "target_id", "ts", archive_label().alias("url"), "content"
     )

@@ -78,7 +78,7 @@ def facts(resources: DataFrame) -> DataFrame:
     of its words."""
     keys = ["target_id", "seq", "kind", "url"]
     content = F.col("content")
-    page, script = F.col("kind") == "html", F.col("kind") == "js"
+    page, script = F.col("kind") == "html", F.col("kind") != "html"  # style sheets drop out by kind later
 
     def given(words: list[str], value: Column, kind: Column | None = None) -> Column:
         mark = F.expr(matching.WORDS.present(words))
@@ -144,13 +144,16 @@ def _reachable(page_facts: DataFrame, body_facts: DataFrame, targets: DataFrame)
     The bodies were scanned where they lie; only addresses and hits take part in these joins.
     """
     on = ["target_id", "url"]
-    linked = page_facts.select("target_id", F.explode("links").alias("l")).select("target_id", "l.url").distinct()
+    linked = page_facts.select("target_id", F.explode("links").alias("l")).select("target_id", "l.url", "l.kind")
     sites = targets.select("target_id", urls.base(F.col("url")).alias("base"))
     ids = acq.first_build_id(page_facts.filter(F.col("url") == "inline").select("target_id", "seq", "build_id"))
     manifests = ids.join(sites, "target_id").select(
-        "target_id", F.concat("base", F.lit("/_next/static/"), "build_id", F.lit("/_buildManifest.js")).alias("url")
+        "target_id",
+        F.concat("base", F.lit("/_next/static/"), "build_id", F.lit("/_buildManifest.js")).alias("url"),
+        F.lit("js").alias("kind"),
     )
-    first = body_facts.join(linked.unionByName(manifests).distinct(), on, "left_semi")
+    wanted = linked.unionByName(manifests).groupBy(*on).agg(F.max("kind").alias("kind"))
+    first = body_facts.drop("kind").join(wanted, on).select(body_facts.columns)
     long_bodies = body_facts.filter(F.col("size") > js_rules.MIN_BODY)
     chunks = acq.unseen(
         acq.chunk_addresses(first.filter(F.col("paths").isNotNull()).select("target_id", "url", "paths")), first
@@ -176,10 +179,13 @@ def scan(captured: Captured, folder: str) -> DataFrame:
         body_facts = sinks.materialize(facts(bodies), f"{folder}/body_facts")
         found = found.unionByName(_reachable(found, body_facts, targets))
     if captured.archive_index is not None:
-        index = captured.archive_index
-        rows = acq.archive_resources(acq.archive_select(index), index)
-        archive = facts(_rows(rows, F.lit("js"), ARCHIVES, F.pmod(F.xxhash64("ts", "url"), F.lit(SCRIPT_OFFSET))))
-        found = found.unionByName(sinks.materialize(archive, f"{folder}/archive_facts"))
+        on = ["target_id", "seq", "url"]
+        order = F.coalesce(F.col("ts").try_cast("bigint"), F.xxhash64("ts"))
+        bodies = acq.captured(captured.archive_index, js_rules.MIN_BODY).withColumn("url", acq.archive_label())
+        archive = sinks.materialize(facts(_rows(bodies, F.lit("js"), ARCHIVES, order)), f"{folder}/archive_facts")
+        picked = acq.archive_select(captured.archive_index).withColumn("url", acq.archive_label())
+        wanted = picked.select("target_id", (order + ARCHIVES).cast("bigint").alias("seq"), "url")
+        found = found.unionByName(archive.join(wanted, on, "left_semi").select(archive.columns))
     return found
 
 

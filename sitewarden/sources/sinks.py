@@ -24,8 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, folder: str) -> DataFrame:
-    """Write a narrow intermediate result once and continue from the written table."""
-    df.write.mode("errorifexists").parquet(folder)
+    """Write a narrow intermediate result once and continue from the written table.
+
+    Rebalancing evens out the files: a scan leaves one small piece per input split.
+    """
+    df.hint("rebalance").write.mode("errorifexists").parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
