@@ -23,11 +23,12 @@ def drop_large_groups(df: DataFrame, keys: list[str], order: list[str], cap: int
     """Drop every group with more than ``cap`` rows, exactly and in one pass over ``df``.
 
     cap + 1 rows of a group are enough to know that it is too large. The first limit works on salted
-    groups and so spreads a hot group over ``salts`` tasks; the second sees at most
-    salts * (cap + 1) rows of a group; the count runs over at most cap + 1. Groups within the cap keep
-    all their rows.
+    groups: a map task sends at most cap + 1 rows of a group, to the task of its own salt, so a hot group
+    is spread over ``salts`` tasks. The second limit sees at most salts * (cap + 1) rows of a group, the
+    count at most cap + 1. Which rows of a too large group get that far does not matter, as all of them
+    are dropped; groups within the cap keep all their rows.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     few = first_k(salted, [*keys, "_salt"], order, cap + 1).drop("_salt")
     fewer = first_k(few, keys, order, cap + 1)
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys))

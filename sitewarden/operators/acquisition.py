@@ -184,7 +184,10 @@ def chunk_manifest_refs(scripts: DataFrame) -> DataFrame:
 
 
 def unseen(refs: DataFrame, seen: DataFrame) -> DataFrame:
-    return refs.join(seen.select("target_id", "url"), ["target_id", "url"], "left_anti")
+    """Addresses that are not known yet. Known ones are reduced to one row each before the join: a target
+    may have any number of rows with the address ``inline``."""
+    known = seen.filter(~F.col("url").isin("inline", "HTML page")).select("target_id", "url").distinct()
+    return refs.join(known, ["target_id", "url"], "left_anti")
 
 
 def chunk_resources(scripts: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -152,17 +152,26 @@ def _reachable(page_facts: DataFrame, body_facts: DataFrame, targets: DataFrame)
         F.concat("base", F.lit("/_next/static/"), "build_id", F.lit("/_buildManifest.js")).alias("url"),
         F.lit("js").alias("kind"),
     )
-    wanted = linked.unionByName(manifests).groupBy(*on).agg(F.max("kind").alias("kind"))
-    first = body_facts.drop("kind").join(wanted, on).select(body_facts.columns)
-    long_bodies = body_facts.filter(F.col("size") > js_rules.MIN_BODY)
+
+    def wanted(addresses: DataFrame, kind: Column, min_size: int) -> DataFrame:
+        return addresses.select("target_id", "url", kind.alias("kind"), F.lit(min_size).alias("min_size"))
+
+    def kept(addresses: DataFrame) -> DataFrame:
+        best = addresses.groupBy(*on).agg(F.max("kind").alias("kind"), F.min("min_size").alias("min_size"))
+        rows = body_facts.drop("kind").join(best, on).filter(F.col("size") > F.col("min_size"))
+        return rows.select(body_facts.columns)
+
+    first = wanted(linked.unionByName(manifests), F.col("kind"), -1)
+    read = kept(first)
     chunks = acq.unseen(
-        acq.chunk_addresses(first.filter(F.col("paths").isNotNull()).select("target_id", "url", "paths")), first
+        acq.chunk_addresses(read.filter(F.col("paths").isNotNull()).select("target_id", "url", "paths")), read
     )
-    second = long_bodies.join(chunks, on, "left_semi")
-    known = page_facts.unionByName(first).unionByName(second)
+    second = first.unionByName(wanted(chunks, F.lit("js"), js_rules.MIN_BODY))
+    columns = ["target_id", "url", "kind", "refs"]
+    known = page_facts.select(columns).unionByName(kept(second).select(columns))
     named = known.filter(F.col("kind") == "js").join(sites, "target_id").select("target_id", "base", "refs")
-    third = long_bodies.join(acq.frontier_addresses(named, known), on, "left_semi")
-    return first.unionByName(second).unionByName(third)
+    frontier = acq.frontier_addresses(named, known)
+    return kept(second.unionByName(wanted(frontier, acq.kind_of(F.col("url")), js_rules.MIN_BODY)))
 
 
 def scan(captured: Captured, folder: str) -> DataFrame:
