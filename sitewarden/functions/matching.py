@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitewarden.functions.text import LINE_FEED_ONLY, around, bind, one_line, quoted
+from sitewarden.functions.text import LINE_FEED_ONLY, around, bind, left, one_line, quoted, right
 from sitewarden.functions.words import WordIndex
 from sitewarden.rules import builders, javascript, leaks, secrets, tech
 
@@ -81,39 +81,66 @@ def credential_matches(text: str, gated: bool = True) -> Column:
     return F.expr(f"array({', '.join(arrays)})")
 
 
-def credential_hits(text: Column, matches: Column, drop_over_cap: bool = False) -> Column:
+def credential_hits(text: Column, matches: Column, keep: int | None = None, drop_over_cap: bool = False) -> Column:
     """``array<struct<ord, pos, value, context>>`` for the matches of one text.
 
-    Only cap + 1 matches of a rule are kept per text: that many already drop the rule for its target.
-    ``drop_over_cap`` drops such a rule at once. The start of a match is the length of the gaps and matches before it.
+    ``keep`` limits the matches of a rule per text; cap + 1 already drop the rule for its target, so the
+    scan keeps no more. ``drop_over_cap`` drops such a rule at once. The surroundings of a match are put
+    together from the gaps and matches next to it, as many as can lie within the radius; the work grows
+    with the text, not with its square.
     """
-    keep = secrets.MATCH_CAP + 1
+    radius, near = secrets.CONTEXT_RADIUS, secrets.CONTEXT_RADIUS // secrets.SHORTEST_MATCH + 1
     patterns = F.expr(f"array({', '.join(map(regex, secrets.PATTERNS.values()))})")
 
-    def total(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p))
+    def ends(parts: Column, cut) -> Column:
+        return F.transform(parts, lambda p: cut(p, radius))
+
+    def before(p: Column, i: Column) -> Column:
+        pieces = F.transform(
+            F.sequence(F.greatest(i - near, F.lit(0)), i),
+            lambda j: F.concat(p["gap_ends"][j], F.when(j < i, p["match_ends"][j]).otherwise("")),
+        )
+        return right(F.array_join(pieces, ""), radius)
+
+    def after(p: Column, i: Column) -> Column:
+        pieces = F.transform(
+            F.sequence(i + 1, F.least(i + near, F.size(p["gap_starts"]) - 1)),
+            lambda j: F.concat(p["gap_starts"][j], F.coalesce(F.get(p["match_starts"], j), F.lit(""))),
+        )
+        return left(F.array_join(pieces, ""), radius)
 
     def located(rule: Column) -> Column:
-        found_texts, order = rule["m"], rule["o"]
-        gaps = F.split(text, F.element_at(patterns, order), keep + 1)
-        return bind(
+        values, order = rule["m"], rule["o"]
+        gaps = F.split(text, F.element_at(patterns, order), -1 if keep is None else keep + 1)
+        parts = bind(
             gaps,
-            lambda g: F.transform(
-                found_texts,
+            lambda g: F.struct(
+                ends(g, right).alias("gap_ends"), ends(g, left).alias("gap_starts"),
+                ends(values, right).alias("match_ends"), ends(values, left).alias("match_starts"),
+            ),
+        )
+        return bind(
+            parts,
+            lambda p: F.transform(
+                values,
                 lambda value, i: F.struct(
                     order.cast("bigint").alias("ord"),
                     i.cast("bigint").alias("pos"),
                     value.alias("value"),
-                    one_line(
-                        around(text, total(g, i + 1) + total(found_texts, i), F.length(value), secrets.CONTEXT_RADIUS)
-                    ).alias("context"),
+                    one_line(F.concat(before(p, i), value, after(p, i))).alias("context"),
                 ),
             ),
         )
 
-    numbered = F.transform(matches, lambda m, i: F.struct((i + 1).alias("o"), F.slice(m, 1, keep).alias("m")))
-    most = secrets.MATCH_CAP if drop_over_cap else keep
-    return F.flatten(F.transform(F.filter(numbered, lambda r: F.size(r["m"]).between(1, most)), located))
+    def kept(m: Column) -> Column:
+        return m if keep is None else F.slice(m, 1, keep)
+
+    numbered = F.transform(matches, lambda m, i: F.struct((i + 1).alias("o"), kept(m).alias("m")))
+    some = F.filter(
+        numbered,
+        lambda r: F.size(r["m"]).between(1, secrets.MATCH_CAP) if drop_over_cap else F.size(r["m"]) > 0,
+    )
+    return F.flatten(F.transform(some, located))
 
 
 def signature_test(text: str, pattern: str) -> str:

@@ -16,6 +16,8 @@ from sitewarden.rules import false_positives as fp
 from sitewarden.rules import secrets
 
 SCAN_ORDER = ["kind_ord", "seq", "url", "pos"]
+# So many matches in one resource decide that a rule is over the cap.
+ENOUGH = secrets.MATCH_CAP + 1
 KIND_ORDER = {"html": 0, "js": 1, "css": 2}
 
 
@@ -38,13 +40,18 @@ def rule_severity(rule: Column) -> Column:
     )
 
 
-def secret_matches(resources: DataFrame, gated: bool = True, drop_over_cap: bool = False) -> DataFrame:
-    """Every match of every rule with its surroundings, one row per match."""
+def secret_matches(
+    resources: DataFrame, gated: bool = True, keep: int | None = None, drop_over_cap: bool = False
+) -> DataFrame:
+    """Every match of every rule with its surroundings, one row per match.
+
+    With ``keep`` only that many matches of a rule are kept per resource.
+    """
     keys = [c for c in resources.columns if c != "content"]  # the text stays behind
     marked = matching.WORDS.mark(resources, "content") if gated else resources
     matched = marked.select(*keys, "content", matching.credential_matches("content", gated).alias("_matches"))
     hits = matched.select(
-        *keys, F.explode(matching.credential_hits(F.col("content"), F.col("_matches"), drop_over_cap)).alias("_hit")
+        *keys, F.explode(matching.credential_hits(F.col("content"), F.col("_matches"), keep, drop_over_cap)).alias("_hit")
     )
     return hits.select(*keys, "_hit.*").withColumn("rule", rule_name(F.col("ord")))
 
@@ -125,7 +132,7 @@ def dedup(findings: DataFrame) -> DataFrame:
 
 def secret_findings(resources: DataFrame, strict: bool = False, gated: bool = True) -> DataFrame:
     """The whole scan: matches, cap, context rules, mask, place, de-duplication."""
-    return findings_of(secret_matches(resources, gated), strict)
+    return findings_of(secret_matches(resources, gated, keep=ENOUGH), strict)
 
 
 def findings_of(matches: DataFrame, strict: bool = False) -> DataFrame:

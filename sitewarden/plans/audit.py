@@ -99,7 +99,7 @@ def facts(resources: DataFrame) -> DataFrame:
         *keys,
         "links",
         F.length("content").cast("bigint").alias("size"),
-        matching.credential_hits(content, F.col("_matches")).alias("secrets"),
+        matching.credential_hits(content, F.col("_matches"), keep=sec.ENOUGH).alias("secrets"),
         F.when(page, matching.technologies("content")).alias("technologies"),
         fingerprint.with_evidence(content, F.col("_builders")).alias("builders"),
         leaks.config_findings(F.col("_blobs")).alias("config_findings"),

@@ -64,6 +64,9 @@ CONTEXT_KEEP = 150
 MASK_LONGER_THAN = 20
 MASK_HEAD, MASK_TAIL, MASK_SHORT_HEAD = 12, 6, 6
 
+# No rule matches fewer characters ("ya29." and one more).
+SHORTEST_MATCH = 6
+
 # Literals of which one has to occur before a rule can match. Case-sensitive rules look them up in
 # the text itself, rules with an inline (?i) in the lower-cased text. No entry: always run the rule.
 ANCHORS = {

@@ -15,7 +15,7 @@ def scan_stream(resources: DataFrame, watermark: str) -> DataFrame:
     with too many matches is dropped per resource. A repeated (target, type, masked value) is dropped
     while the watermark keeps it.
     """
-    matches = sec.secret_matches(resources, drop_over_cap=True)
+    matches = sec.secret_matches(resources, keep=sec.ENOUGH, drop_over_cap=True)
     rows = sec.to_findings(sec.judge(matches)).select(
         "target_id", "type", "value_masked", F.col("url").alias("location"), "context", "severity", "captured_at"
     )

@@ -57,7 +57,7 @@ def test_counts_equal_plain_regular_expressions(spark):
         for rule, pattern in rules.PATTERNS.items():
             n = len(list(re.finditer(pattern, row.html)))
             if n:
-                theirs[(row.page_id, rule)] = min(n, rules.MATCH_CAP + 1)
+                theirs[(row.page_id, rule)] = n
     assert mine == theirs
 
 
@@ -77,6 +77,18 @@ def test_context_is_eighty_characters_around(resources):
     assert rows[0].context == expected
 
 
+@pytest.mark.parametrize("between", [",", " - ", "\n" * 30, "x" * 79 + " ", " " * 81])
+@pytest.mark.parametrize("keep", [None, 51])
+def test_context_of_close_and_short_matches(resources, between, keep):
+    text = between.join(f"ya29.{'é' if n % 7 == 0 else n}" if n % 5 else "ya29." + "k" * 90 for n in range(60))
+    pattern = rules.PATTERNS["Google OAuth Token"]
+    expected = [(m[0], text[max(0, m.start() - 80):m.end() + 80].replace("\n", " ").strip())
+                for m in re.finditer(pattern, text, re.A)][:keep]
+    rows = sec.secret_matches(resources([text]), keep=keep).orderBy("pos").collect()
+    assert [(r.value, r.context) for r in rows if r.rule == "Google OAuth Token"] == expected
+    assert min(len(m) for m, _ in expected) >= rules.SHORTEST_MATCH
+
+
 @pytest.mark.parametrize("n, kept", [(50, 50), (51, 0), (400, 0)])
 def test_cap_counts_all_resources_of_a_target(resources, n, kept):
     half = n // 2
