@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import byte_bpe, packing
-from sitewarden.llm.tables import read
+from sitewarden.llm import assignments, byte_bpe, crf, packing, spans, warc
+from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +21,35 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark)
+    warc.write(read(spark, sf_dir, "pages"), f"{folder}/warc")
+    narrow = warc.read_archives(spark, f"{folder}/warc").where("intact").drop("payload", "uri", "digest", "intact")
+    return warc.with_revisits(saved(narrow, f"{folder}/found")).withColumnRenamed("key", "page_id")
+
+
+@query
+def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(~crf.held_out())
+    return crf.score(docs, crf.train(docs, labels)).select(
+        "doc_id",
+        crf.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",").alias("offsets"),
+    )
+
+
+@query
+def op5_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assignments.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    counts = [spans.count_of("secrets", k).alias(f"n_{k}") for k in assignments.KINDS]
+    base = spans.joined("secrets", assignments.KINDS[:3])
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.joined("secrets").alias("spans"))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
