@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import assignments, byte_bpe, crf, packing, spans, warc
+from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, packing, simhash, spans, warc
 from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_personal_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bootstrap.find_personal(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [spans.count_of("personal", k).alias(f"n_{k}") for k in bootstrap.KINDS]
+    base = spans.joined("personal", bootstrap.KINDS[:4])
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.joined("personal").alias("spans"))
+
+
 @query
 def op5_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = assignments.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -55,6 +63,26 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with an id divisible by 50 are also searched: n_near counts the other fingerprints within the radius."""
+    made = simhash.fingerprint_table(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = made.withColumnRenamed("text_fingerprint", "fingerprint")
+    near = simhash.within_radius(rows.where("key % 50 = 0"), rows).groupBy("query").agg((F.count("*") - 1).alias("n_near"))
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    rows = rows.withColumn("query", F.when(F.col("key") % 50 == 0, F.col("fingerprint"))).join(near, "query", "left")
+    return rows.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        text("fingerprint").alias("fingerprint"),
+        text("edited_text_fingerprint").alias("edited_fingerprint"),
+        simhash.likeness(F.col("fingerprint"), F.col("edited_text_fingerprint")).alias("near_edited"),
+        simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "n_near",
+    )
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
