@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, packing, simhash, spans, warc
+from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, packing, projections, simhash, spans, warc
 from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark)
