@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.llm.tables import dropped, saved
 
 
+def forest(links: np.ndarray, n: int) -> np.ndarray:
+    """For each node the smallest node it reaches."""
+    top = np.arange(n)
+    while len(links):
+        a, b = top[links[:, 0]], top[links[:, 1]]
+        if (a == b).all():
+            break
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(top, high, low)
+        while (top != top[top]).any():
+            top = top[top]
+    return top
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.components import components
+from sitewarden.llm.components import components, forest
 from sitewarden.llm.tables import run_folder, saved
 
 THRESHOLD, LINES, MISS, BLOCK = 0.98, 32, 1e-7, 1024
@@ -123,20 +123,6 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, lines: int, miss: flo
     return np.stack([i[close], j[close]], 1)
 
 
-def forest(links: np.ndarray, n: int) -> np.ndarray:
-    """For each node the smallest node it reaches."""
-    top = np.arange(n)
-    while len(links):
-        a, b = top[links[:, 0]], top[links[:, 1]]
-        if (a == b).all():
-            break
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        np.minimum.at(top, high, low)
-        while (top != top[top]).any():
-            top = top[top]
-    return top
-
-
 def block_links(threshold: float, lines: int, miss: float):
     """Per pair of blocks: (a, null, links of a) and (a, b, null) for a spanning forest of the links."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, packing, projections, simhash, spans, warc
+from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, group_matrix, packing, projections, simhash, spans, warc
 from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op5_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.joined("secrets").alias("spans"))
 
 
+@query
+def op6_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_matrix.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
