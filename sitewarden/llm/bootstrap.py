@@ -117,22 +117,29 @@ def scored_patterns(edges: DataFrame, folder: str, rounds: int = ROUNDS) -> Data
     return patterns
 
 
-def find_personal(docs: DataFrame, text: str = "text", out: str = "personal", least_score: float = LEAST_SCORE, least_support: int = LEAST_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """`docs` with an array of (kind, start, end), in order; offsets are code points, the end exclusive."""
+def find_personal(
+    docs: DataFrame, text: str = "text", out: str = "personal", keep: list[str] | None = None,
+    least_score: float = LEAST_SCORE, least_support: int = LEAST_SUPPORT, rounds: int = ROUNDS,
+) -> DataFrame:
+    """The columns in `keep` (all by default) with an array of (kind, start, end), in order; offsets are code points, the end exclusive."""
     folder = run_folder(docs.sparkSession)
-    kept = [c for c in docs.columns if c != out]
-    rows = base_and_candidates(docs.select(*[F.col(f"`{c}`") for c in kept]), text)
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    kept = [c for c in (keep if keep is not None else docs.columns) if c != out]
+    rows = base_and_candidates(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]), text)
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], "__base", "__candidates", F.monotonically_increasing_id().alias("__row"))
     rows = saved(rows, f"{folder}/rows")
     seeds = rows.select(F.explode("__base").alias("s")).select(F.col("s.label").alias("pattern"), F.col("s.value").alias("instance"), F.lit(1).alias("seed"))
     others = rows.select(F.explode("__candidates").alias("s")).select(F.col("s.label").alias("pattern"), F.col("s.value").alias("instance"), F.lit(0).alias("seed"))
     edges = seeds.where("pattern IS NOT NULL").unionByName(others).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = saved(edges, f"{folder}/edges")
     good = scored_patterns(edges, folder, rounds).where((F.col("score") >= least_score) & (F.col("support") >= least_support))
-    candidates = rows.select("__row", F.explode("__candidates").alias("s"))
-    discovered = candidates.join(good.select("pattern"), F.col("s.label") == F.col("pattern")).groupBy("__row").agg(F.collect_list("s").alias("__found"))
-    joined = rows.join(discovered, "__row", "left")
-    spans = F.array_sort(F.concat("__base", F.coalesce("__found", F.slice("__candidates", 1, 0))))
+    # Only rows with candidates take part in the join; the others, and their texts, are not shuffled.
+    with_candidates = rows.where(F.size("__candidates") > 0)
+    discovered = with_candidates.select("__row", F.explode("__candidates").alias("s")).join(good.select("pattern"), F.col("s.label") == F.col("pattern"))
+    discovered = discovered.groupBy("__row").agg(F.collect_list("s").alias("__found"))
+    none = F.slice("__candidates", 1, 0)
+    joined = with_candidates.join(discovered, "__row", "left").withColumn("__found", F.coalesce("__found", none))
+    joined = joined.unionByName(rows.where(F.size("__candidates") == 0).withColumn("__found", none))
+    spans = F.array_sort(F.concat("__base", "__found"))
     simple = F.transform(spans, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
     return joined.select(*[F.col(f"`{c}`") for c in kept], simple.alias(out))
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Entries of a worker's table of known parts; beyond it the table is emptied. Bounds memory, never changes results.
-KNOWN_PARTS = 600_000
+KNOWN_PARTS = 1_000_000
 #: Longer parts are encoded each time and not kept.
 KEPT_CHARS = 64
+MARKS = (",", ".")
 
 
 def parts_of(text: str) -> list[str]:
@@ -33,6 +34,7 @@ class PartCoder:
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
         self.encode = encode
         self.known: dict[str, bytes] = {}  # of a word that follows a blank
+        self.marks: dict[str, bytes] = {}
         self.odd: set[str] = set()  # words that may have to be joined to the part before them
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
@@ -43,10 +45,19 @@ class PartCoder:
             self.odd.clear()
             new = list(words)
         self.odd.update(w for w in new if not w or w[0].isspace())
-        got = dict(zip(new, self.encode([" " + w for w in new]), strict=True))
+        # A comma or full stop behind a letter is a match of its own, so such words follow from their stems.
+        stems = {w: w[:-1] if w[-1:] in MARKS and w[-2:-1].isalpha() else w for w in new}
+        distinct = [s for s in set(stems.values()) if s not in self.known]
+        coded = dict(zip(distinct, self.encode([" " + s for s in distinct]), strict=True))
+        got = coded | {w: (coded[s] if s in coded else self.known[s]) + self._mark(w[-1]) for w, s in stems.items() if s is not w}
         self.known.update((w, b) for w, b in got.items() if len(w) <= KEPT_CHARS)
         return {w: b for w, b in got.items() if len(w) > KEPT_CHARS}
 
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = b"".join(self.encode([mark]))
+        return self.marks[mark]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [b"".join(self._text(text)) for text in texts]
 

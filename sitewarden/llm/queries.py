@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, group_matrix, packing, projections, simhash, spans, warc
+from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, cross_entropy, group_matrix, packing, projections, simhash, spans, warc
 from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,7 @@ def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_personal_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bootstrap.find_personal(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = bootstrap.find_personal(read(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [spans.count_of("personal", k).alias(f"n_{k}") for k in bootstrap.KINDS]
     base = spans.joined("personal", bootstrap.KINDS[:4])
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.joined("personal").alias("spans"))
@@ -68,6 +68,13 @@ def op6_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_matrix.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what `labels` calls good text; the background is everything."""
+    good = read(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy.score(read(spark, sf_dir, "documents"), good)
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
