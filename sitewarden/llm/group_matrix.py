@@ -1,9 +1,11 @@
 """Jaccard join of shingle sets by a token-group matrix.
 
 1. Every text becomes the set of its distinct word shingles, as 64-bit hashes. Equal sets are one class.
-2. Shingles are ordered: those in the lowest `counted` share of the hash space by the number of sets that hold them,
-   then the others by hash. Two sets of the asked similarity share a shingle within the first `n - need + 1` of each
-   (prefix); rare shingles come first, so a text without a near copy has only shingles of its own there and is done.
+2. Shingles are ordered, rare ones first. Two sets of the asked similarity share a shingle within the first `n - need + 1`
+   of each (prefix), whatever the order is; a text without a near copy has only shingles of its own there and is done.
+   This is done twice: over all sets with the shingles in the lowest `counted` share of the hash space (by the number of
+   sets that hold them, then the others by hash), and over the sets that are left with all of their shingles, which
+   also leaves out texts that merely share passages.
 3. The classes left are put into groups of similar ones, by their smallest shingle, of bounded size. A group stores the
    union of its members' shingles.
 4. A member of one group can only reach the similarity with members of another if the union of that group holds enough of
@@ -156,6 +158,16 @@ def _prefixes(sets: DataFrame, classes: DataFrame, percent: int, counted: float)
     return shared.join(sizes, "a").where(inside).select("a", "token")
 
 
+def _ranked_prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, token): prefix shingles that at least two sets hold, from whole sets (id, n, tokens), rare shingles first."""
+    rows = rows.select("id", "n", F.explode("tokens").alias("token"))
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    own = Window.partitionBy("id")
+    rows = rows.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("many", F.count("*").over(own))
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return rows.where(F.col("n") - F.col("many") + F.col("rank") <= need).select("id", "token")
+
+
 def _filter_bits(keys: DataFrame, count: int, limit: int) -> tuple[int, bytes]:
     """A bit map that has the bits of every key `a`; its size is bounded by `limit`."""
     bits = 1 << min(max(16, (16 * count).bit_length()), limit.bit_length() - 1)
@@ -168,7 +180,7 @@ def _filter_bits(keys: DataFrame, count: int, limit: int) -> tuple[int, bytes]:
 
 
 def _whole_sets(docs: DataFrame, text: str, words: int, bits: int, bitmap: bytes) -> DataFrame:
-    """(a, b, tokens) of the sets whose bits are in the map, once per task."""
+    """(a, b, tokens) of the sets whose bits are in the map, at most once per task."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +198,11 @@ def _whole_sets(docs: DataFrame, text: str, words: int, bits: int, bitmap: bytes
                 if len(seen) > KNOWN_WORDS:
                     seen.clear()
                 seen.add(a)
-                rows.append((a, b, tokens.tobytes()))
+                rows.append((a, b, tokens.view(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["a", "b", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["a", "b", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "a bigint, b bigint, tokens binary")
+    return docs.select(text).mapInArrow(run, "a bigint, b bigint, tokens array<bigint>")
 
 
 class Group:
@@ -202,10 +214,10 @@ class Group:
         self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
 
     @classmethod
-    def of(cls, members: list[dict]) -> Group:
-        one = {m["id"]: m["tokens"] for m in members}
-        ids = np.array(sorted(one), "<i8")
-        return cls(ids.tobytes(), np.array([len(one[i]) // 8 for i in ids.tolist()], "<i8").tobytes(), b"".join(one[i] for i in ids.tolist()))
+    def of(cls, members: pa.StructArray) -> Group:
+        lists = members.field("tokens")
+        sizes = np.diff(lists.offsets.to_numpy()).astype("<i8")
+        return cls(members.field("id").to_numpy().tobytes(), sizes.tobytes(), lists.flatten().to_numpy().tobytes())
 
     def links(self, other: Group, percent: int) -> np.ndarray:
         """(place here, place there) of members whose sets are similar enough."""
@@ -246,7 +258,7 @@ def _built(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                group = Group.of(members.as_py())
+                group = Group.of(members.values)
                 edges = _forest_edges(group.ids, group.links(group, percent)) if len(group.ids) > 1 else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g]), pa.array([group.ids.tobytes()]), pa.array([group.sizes.tobytes()]), pa.array([group.tokens.tobytes()], pa.binary()), pa.array([edges], EDGES)],
@@ -289,20 +301,24 @@ def similar_components(docs: DataFrame, keys: list[str], text: str = "text", wor
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
     prefixes = saved(_prefixes(sets, classes, percent, counted), f"{folder}/prefixes")
 
+    # Sets without a partner stay behind; the others are read once more in whole.
+    first = saved(classes.join(prefixes.select("a").distinct(), "a", "left_semi").select("a", "b", "id", "n", "low"), f"{folder}/first")
+    bits, bitmap = _filter_bits(first, first.count(), FILTER_BITS)
+    whole = _whole_sets(docs, "__text", words, bits, bitmap).join(first, ["a", "b"]).dropDuplicates(["a", "b"])
+    whole = saved(whole.select("id", "n", "low", "tokens"), f"{folder}/whole")
+    prefixes = saved(_ranked_prefixes(whole, percent), f"{folder}/ranked")
+
     # Groups: classes of one smallest shingle, dealt to as many groups as their number and their sizes ask for.
-    active = classes.join(prefixes.select("a").distinct(), "a", "left_semi").select("a", "b", "id", "n", "low")
-    active = saved(active, f"{folder}/active")
+    active = whole.select("id", "n", "low").join(prefixes.select("id").distinct(), "id", "left_semi")
     parts = active.groupBy("low").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).alias("parts"))
-    members = active.join(parts, "low").select("a", "b", "id", F.xxhash64("low", F.pmod(F.xxhash64("id"), "parts")).alias("g"))
+    members = active.join(parts, "low").select("id", F.xxhash64("low", F.pmod(F.xxhash64("id"), "parts")).alias("g"))
     members = saved(members, f"{folder}/members")
-    bits, bitmap = _filter_bits(members, members.count(), FILTER_BITS)
-    whole = _whole_sets(docs, "__text", words, bits, bitmap).join(members, ["a", "b"])
-    # About MEMBERS rows a group, and a copy of a member for each task that met it.
-    groups = whole.groupBy("g").agg(F.collect_list(F.struct("id", "tokens")).alias("members"))
+    # About MEMBERS rows a group.
+    groups = whole.select("id", "tokens").join(members, "id").groupBy("g").agg(F.collect_list(F.struct("id", "tokens")).alias("members"))
     groups = saved(groups.mapInArrow(_built(percent), "g bigint, ids binary, sizes binary, tokens binary, edges array<struct<a: bigint, b: bigint>>"), f"{folder}/groups")
     inner = groups.select(F.explode("edges").alias("e")).select("e.a", "e.b")
 
-    held = saved(prefixes.join(members.select("a", "g"), "a").select("token", "g").distinct(), f"{folder}/held")
+    held = saved(prefixes.join(members, "id").select("token", "g").distinct(), f"{folder}/held")
     leaders = held.groupBy("token").agg(F.min("g").alias("g2"), F.max("g").alias("last")).where("g2 < last").drop("last")
     led = saved(held.join(leaders, "token").where("g <> g2").select("g", "g2").distinct(), f"{folder}/led")
     to_leaders = saved(_links_between(led, groups, percent), f"{folder}/leader-links")
@@ -321,7 +337,7 @@ def similar_components(docs: DataFrame, keys: list[str], text: str = "text", wor
     tops = components(inner.unionByName(to_leaders).unionByName(rest), f"{folder}/all").withColumnRenamed("node", "id")
     numbered = classes.select("a", "b", "id").join(tops, "id", "left").select("a", "b", F.coalesce("component", "id").alias("component"))
     done = saved(sets.drop("tokens", "counted", "low").join(numbered, ["a", "b"], "left").drop("a", "b"), f"{folder}/done")
-    for used in ("sets", "prefixes", "groups", "held", "states"):
+    for used in ("sets", "prefixes", "whole", "ranked", "groups", "held", "states"):
         dropped(spark, f"{folder}/{used}")
     return done.withColumnRenamed("n", "n_shingles")
 
