@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.sources.captured import read_table, spread
+from sitewarden.sources.captured import read_table
 
 PAD = "repeat('<br> ', 40)"
 
@@ -105,8 +105,10 @@ RELATIONS = {
         " UNION ALL SELECT page_id, 'x-powered-by', 'PHP/8.1' FROM pages WHERE page_id % 7 = 0"
     ),
     "set_cookie": (
-        f"SELECT page_id AS target_id, url, 'sid=' || substr({MD5}, 1, 8) || '; Path=/' || CASE WHEN page_id % 2 = 0 THEN '; Secure' ELSE '' END"
+        f"SELECT page_id AS target_id, cast(0 AS bigint) AS seq, url, 'sid=' || substr({MD5}, 1, 8) || '; Path=/' || CASE WHEN page_id % 2 = 0 THEN '; Secure' ELSE '' END"
         " || CASE WHEN page_id % 3 = 0 THEN '; HttpOnly' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '; SameSite=Lax' ELSE '' END AS set_cookie FROM pages"
+        " UNION ALL SELECT page_id, cast(1 AS bigint), url, 'sid=again; Path=/; Secure; HttpOnly; SameSite=Strict' FROM pages WHERE page_id % 7 = 1"
+        " UNION ALL SELECT page_id, cast(2 AS bigint), url, 'sid=other; Path=/other' FROM pages WHERE page_id % 7 = 2"
     ),
     "http_response": (
         "SELECT page_id AS target_id, '/.env' AS path, CASE WHEN page_id % 2 = 0 THEN 200 ELSE 403 END AS status, 'text/plain' AS content_type, 'APP_MODE=prod' || chr(10) || 'REGION=eu' AS body FROM pages"
@@ -183,8 +185,6 @@ def planted_html(pages: DataFrame) -> DataFrame:
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One planted relation as a DataFrame over the given tables."""
     pages = read_table(spark, sf_dir, "pages")
-    if name == "planted_pages":
-        pages = spread(pages)
     sql = RELATIONS[name].replace("{", "{{").replace("}", "}}")
     if "FROM numbered" in sql:
         numbered = pages.select("*", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n"))

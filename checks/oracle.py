@@ -80,6 +80,12 @@ RULE_FP = (
 )
 
 
+#: The value as its mask, then every other match and what the edges cut as stars.
+SHOWN = "replace(context, replace(value, chr(10), ' '), value_masked)"
+for _pattern in [secrets.any_credential(), r"^[A-Za-z0-9+/_=.-]{8,}", r"[A-Za-z0-9+/_=.-]{8,}$"]:
+    SHOWN = f"regexp_replace({SHOWN}, {s(_pattern)}, '****', 'g')"
+
+
 def scan_chain(name: str, resources: str) -> None:
     """The stages of the scan over one set of resources."""
     CTE[f"{name}_arrays"] = (
@@ -98,23 +104,22 @@ def scan_chain(name: str, resources: str) -> None:
         + line(f"substr(content, ({begin} + 1)::BIGINT, (start + length(value) + 80 - {begin})::BIGINT)")
         + f" AS context FROM {name}_places"
     )
-    CTE[f"{name}_capped"] = (
-        f"SELECT * FROM {name}_matches QUALIFY count(*) OVER (PARTITION BY target_id, ord) <= 50"
-    )
-    CTE[f"{name}_kept"] = f"SELECT * FROM {name}_capped WHERE NOT {GLOBAL_FP} AND {RULE_FP} IS NULL"
-    CTE[f"{name}_masked"] = (
-        "SELECT target_id, seq, kind_ord, kind, url, ord, pos, rule AS type, severity, value_masked,"
-        " left(replace(context, replace(value, chr(10), ' '), value_masked), 150) AS context"
-        f" FROM (SELECT *, {MASK} AS value_masked FROM {name}_kept)"
+    CTE[f"{name}_capped"] = f"SELECT * FROM {name}_matches QUALIFY count(*) OVER (PARTITION BY target_id, ord) <= 50"
+    # A value is placed over all its matches, the suppressed ones too.
+    CTE[f"{name}_located"] = (
+        f"SELECT *, {MASK} AS value_masked, {GLOBAL_FP} OR {RULE_FP} IS NOT NULL AS suppressed, first_value(url) OVER (PARTITION BY target_id, ord, value ORDER BY"
+        f" CASE kind WHEN 'css' THEN 0 WHEN 'js' THEN 1 ELSE 2 END, seq, url) AS location FROM {name}_matches"
     )
-    CTE[f"{name}_placed"] = (
-        f"SELECT m.*, first_value(url) OVER (PARTITION BY target_id, type, value_masked ORDER BY"
-        f" CASE kind WHEN 'css' THEN 0 WHEN 'js' THEN 1 ELSE 2 END, seq, url) AS location FROM {name}_masked m"
-    )
-    CTE[f"{name}_findings"] = (
-        f"SELECT target_id, type, value_masked, location, context, severity FROM {name}_placed"
+    CTE[f"{name}_placed"] = f"SELECT *, rule AS type, sha256(value) AS value_hash FROM {name}_located WHERE NOT coalesce(suppressed, false)"
+    CTE[f"{name}_first"] = (
+        f"SELECT * FROM {name}_placed JOIN (SELECT target_id, type, value_masked, count(DISTINCT value) AS n_values FROM {name}_placed GROUP BY ALL) USING (target_id, type, value_masked)"
         " QUALIFY row_number() OVER (PARTITION BY target_id, type, value_masked ORDER BY kind_ord, seq, url, pos) = 1"
     )
+    CTE[f"{name}_each"] = (
+        f"SELECT target_id, type, value_masked, url AS location, {SHOWN} AS context, severity FROM {name}_placed"
+        " QUALIFY row_number() OVER (PARTITION BY target_id, type, value ORDER BY kind_ord, seq, url, pos) = 1"
+    )
+    CTE[f"{name}_findings"] = f"SELECT target_id, type, value_masked, location, {SHOWN} AS context, severity, n_values FROM {name}_first"
 
 
 scan_chain("page", "page_rows")
@@ -183,10 +188,9 @@ CTE["extracted"] = (
 CTE["archive_picked"] = (
     "SELECT * FROM (SELECT * FROM archive_index WHERE mimetype = 'application/javascript' AND ts <> 'timestamp'"
     " QUALIFY row_number() OVER (PARTITION BY target_id, urlkey ORDER BY ts, original) = 1)"
-    " QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY urlkey) <= 15"
 )
 CTE["archived"] = (
-    "SELECT target_id, ts, '[ARCHIVE] ' || original AS url, content FROM archive_picked WHERE status = 200 AND length(content) > 50"
+    "SELECT target_id, ts, '[ARCHIVE] ' || original AS url, content FROM archive_picked WHERE status = 200"
 )
 CTE["refs"] = f"SELECT target_id, ref, {resolve('base_url', 'ref')} AS url FROM resource_ref"
 
@@ -210,9 +214,9 @@ CTE["builder_hits"] = (
     " FROM texts JOIN builder_rules ON regexp_matches(text, '(?i)' || pattern)"
 )
 CTE["builders"] = (
-    "SELECT target_id, tool, pattern AS matched_pattern, left("
+    "SELECT target_id, tool, pattern AS matched_pattern, "
     + line("substr(text, (greatest(start - 40, 0) + 1)::BIGINT, (start + length(value) + 40 - greatest(start - 40, 0))::BIGINT)")
-    + ", 120) AS evidence FROM builder_hits"
+    + " AS evidence FROM builder_hits"
     " QUALIFY row_number() OVER (PARTITION BY target_id, tool ORDER BY n, source, text) = 1"
 )
 CTE["meta_tags"] = (
@@ -226,8 +230,7 @@ CTE["meta_last"] = (
     "SELECT target_id, name, arg_max(content, pos) AS content, CASE WHEN bool_or(gen) THEN -1 ELSE min(pos) END AS place FROM metas GROUP BY ALL"
 )
 CTE["repos"] = (
-    "SELECT target_id, repo, row_number() OVER (PARTITION BY target_id ORDER BY repo) AS n FROM (SELECT DISTINCT page_id AS target_id,"
-    f" unnest(regexp_extract_all(html, {s(tech.REPO_LINK)}, 0)) AS repo FROM planted_pages) QUALIFY n <= 3"
+    f"SELECT DISTINCT page_id AS target_id, unnest(regexp_extract_all(html, {s(tech.REPO_LINK)}, 0)) AS repo FROM planted_pages"
 )
 
 CTE["linked_repos"] = (
@@ -296,18 +299,19 @@ CTE["graphql"] = (
 # --- cookies and forms ---------------------------------------------------------------------------
 
 CTE["jar"] = (
-    r"SELECT target_id, url, regexp_extract(set_cookie, '^([^=;]*)', 1) AS name,"
+    r"SELECT target_id, seq, url, regexp_extract(set_cookie, '^([^=;]*)', 1) AS name,"
     r" CASE WHEN regexp_extract(set_cookie, '(?i);\s*domain=([^;]*)', 1) <> '' THEN '.' || lower(ltrim(regexp_extract(set_cookie, '(?i);\s*domain=([^;]*)', 1), '.'))"
     r" ELSE lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) END AS domain,"
     r" coalesce(nullif(regexp_extract(set_cookie, '(?i);\s*path=([^;]*)', 1), ''), '/') AS path,"
     r" regexp_matches(set_cookie, '(?i);\s*secure(;|$)') AS secure, regexp_matches(set_cookie, '(?i);\s*httponly(;|$)') AS httponly,"
     r" coalesce(nullif(regexp_extract(set_cookie, '(?i);\s*samesite=([^;]*)', 1), ''), 'Not Set') AS samesite FROM set_cookie"
+    " QUALIFY row_number() OVER (PARTITION BY target_id, domain, path, name ORDER BY seq DESC) = 1"
 )
 CTE["cookie_issues"] = (
-    "SELECT target_id, name, row_number() OVER (PARTITION BY target_id, name ORDER BY o) AS n, issue FROM ("
-    f"SELECT target_id, name, 1 AS o, CASE WHEN starts_with(lower(url), 'https:') THEN {s(report.COOKIE_INSECURE_HTTPS)} ELSE {s(report.COOKIE_INSECURE_HTTP)} END AS issue FROM jar WHERE NOT secure"
-    f" UNION ALL SELECT target_id, name, 2, {s(report.COOKIE_NO_HTTPONLY)} FROM jar WHERE NOT httponly"
-    f" UNION ALL SELECT target_id, name, 3, {s(report.COOKIE_NO_SAMESITE)} FROM jar WHERE samesite = 'Not Set')"
+    "SELECT target_id, domain, path, name, row_number() OVER (PARTITION BY target_id, domain, path, name ORDER BY o) AS n, issue FROM ("
+    f"SELECT target_id, domain, path, name, 1 AS o, CASE WHEN starts_with(lower(url), 'https:') THEN {s(report.COOKIE_INSECURE_HTTPS)} ELSE {s(report.COOKIE_INSECURE_HTTP)} END AS issue FROM jar WHERE NOT secure"
+    f" UNION ALL SELECT target_id, domain, path, name, 2, {s(report.COOKIE_NO_HTTPONLY)} FROM jar WHERE NOT httponly"
+    f" UNION ALL SELECT target_id, domain, path, name, 3, {s(report.COOKIE_NO_SAMESITE)} FROM jar WHERE samesite = 'Not Set')"
 )
 CTE["cookie_counts"] = (
     "SELECT target_id, count(*) AS n_cookies, count(*) FILTER (WHERE NOT secure OR NOT httponly OR samesite = 'Not Set') AS n_insecure FROM jar GROUP BY target_id"
@@ -347,7 +351,7 @@ CTE["form_issues"] = (
 
 COMMENT_TEXT = strip("raw")
 CTE["comments"] = (
-    f"SELECT target_id, 'Suspicious HTML Comment' AS type, left({COMMENT_TEXT}, 150) AS content, 'MEDIUM' AS severity FROM ("
+    f"SELECT target_id, 'Suspicious HTML Comment' AS type, {COMMENT_TEXT} AS content, 'MEDIUM' AS severity FROM ("
     "SELECT page_id AS target_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS raw FROM planted_pages)"
     f" WHERE length({COMMENT_TEXT}) > 5 AND NOT starts_with({COMMENT_TEXT}, '[if') AND {any_word('lower(' + COMMENT_TEXT + ')', leaks.COMMENT_WORDS)}"
 )
@@ -359,7 +363,7 @@ CTE["debug_texts"] = " UNION ALL ".join(
     for p in leaks.ERRORS
 )
 CTE["blobs"] = " UNION ALL ".join(
-    f"SELECT page_id AS target_id, {s(label)} AS label, left(regexp_extract(html, {s(p)}, 1), 5000) AS blob FROM planted_pages WHERE {rx('html', p)}"
+    f"SELECT page_id AS target_id, {s(label)} AS label, regexp_extract(html, {s(p)}, 1) AS blob FROM planted_pages WHERE {rx('html', p)}"
     for label, p, _ in leaks.CONFIG_BLOBS
 )
 CTE["config_rules"] = table(
@@ -391,13 +395,13 @@ CTE["audit_scripts"] = (
 
 def script_chain(name: str, scripts: str) -> None:
     CTE[f"{name}sinks"] = (
-        "SELECT target_id, seq, ord, pattern, description, url AS source, left("
+        "SELECT target_id, seq, ord, pattern, description, url AS source, "
         + line("substr(content, greatest(place - 41, 0) + 1, place - 1 + length(pattern) + 40 - greatest(place - 41, 0))")
-        + f", 120) AS context, 'MEDIUM' AS severity FROM (SELECT *, instr(content, pattern) AS place FROM {scripts} JOIN sink_rules ON contains(content, pattern))"
+        + f" AS context, 'MEDIUM' AS severity FROM (SELECT *, instr(content, pattern) AS place FROM {scripts} JOIN sink_rules ON contains(content, pattern))"
     )
     CTE[f"{name}calls"] = (
         "SELECT target_id, seq, 11 + row_number() OVER (PARTITION BY target_id, seq ORDER BY o, i) AS ord, 'API Endpoint' AS pattern,"
-        " 'External API call: ' || left(u, 80) AS description, url AS source, u AS context, 'INFO' AS severity FROM ("
+        " 'External API call: ' || u AS description, url AS source, u AS context, 'INFO' AS severity FROM ("
         + " UNION ALL ".join(
             f"SELECT target_id, seq, url, {o} AS o, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(content, {s(p)}, 1) AS l FROM {scripts})"
             for o, p in enumerate([javascript.FETCH_CALL, javascript.XHR_CALL])
@@ -405,9 +409,9 @@ def script_chain(name: str, scripts: str) -> None:
         + ") WHERE starts_with(u, 'http')"
     )
     CTE[f"{name}js_unique"] = (
-        "SELECT target_id, n, pattern, description, source, context, severity FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq, ord) AS n FROM ("
+        "SELECT target_id, seq, ord, n, pattern, description, source, context, severity FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq, ord) AS n FROM ("
         f"SELECT * FROM (SELECT * FROM {name}sinks UNION ALL SELECT * FROM {name}calls)"
-        " QUALIFY row_number() OVER (PARTITION BY target_id, pattern, source ORDER BY seq, ord) = 1)) WHERE n <= 50"
+        " QUALIFY row_number() OVER (PARTITION BY target_id, pattern, source ORDER BY seq, ord) = 1))"
     )
 
 
@@ -522,25 +526,25 @@ FINAL: dict[str, str] = {
         "SELECT target_id, url, 'js' AS kind, length(content) AS size FROM (SELECT DISTINCT target_id, CASE WHEN starts_with(p, 'http') THEN p WHEN starts_with(p, '/') THEN base || p"
         " WHEN starts_with(p, 'static/') THEN base || '/_next/' || p ELSE base || '/_next/static/' || p END AS url FROM ("
         "SELECT target_id, regexp_extract(url, '^[a-z]+://[^/]*', 0) AS base, unnest((regexp_extract_all(content, "
-        f"{s(javascript.MANIFEST_CHUNKS[0])}, 1) || regexp_extract_all(content, {s(javascript.MANIFEST_CHUNKS[1])}, 1))[1:30]) AS p"
-        " FROM resource_js WHERE url LIKE '%/_buildManifest.js')) JOIN resource_body b USING (target_id, url) WHERE status = 200 AND length(content) > 50"
+        f"{s(javascript.MANIFEST_CHUNKS[0])}, 1) || regexp_extract_all(content, {s(javascript.MANIFEST_CHUNKS[1])}, 1))) AS p"
+        " FROM resource_js WHERE url LIKE '%/_buildManifest.js')) JOIN resource_body b USING (target_id, url) WHERE status = 200"
         " AND (target_id, url) NOT IN (SELECT (target_id, url) FROM resource_js)"
     ),
     "referenced_js_frontier": (
         "SELECT target_id, url, CASE WHEN url LIKE '%.css' THEN 'css' ELSE 'js' END AS kind, length(content) AS size FROM (SELECT * FROM (SELECT DISTINCT target_id, 'https://x.example.com'"
         f" || unnest(regexp_extract_all(content, {s(javascript.STATIC_REFERENCE)}, 1)) AS url FROM resource_js) WHERE (target_id, url) NOT IN (SELECT (target_id, url) FROM resource_js)"
-        " QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY url) <= 20) JOIN resource_body USING (target_id, url) WHERE status = 200 AND length(content) > 50"
+        ") JOIN resource_body USING (target_id, url) WHERE status = 200"
     ),
     "archive_select": "SELECT target_id, ts, original, urlkey FROM archive_picked",
     "archive_resources": "SELECT target_id, ts, url, length(content) AS size FROM archived",
-    "historical_only_secrets": "SELECT target_id, type, value_masked, location, severity FROM old_findings o WHERE NOT EXISTS (SELECT 1 FROM page_findings p WHERE p.target_id = o.target_id AND p.type = o.type AND p.value_masked = o.value_masked)",
+    "historical_only_secrets": "SELECT DISTINCT target_id, type, value_masked, value_hash, location, severity FROM old_placed o WHERE NOT EXISTS (SELECT 1 FROM page_placed p WHERE p.target_id = o.target_id AND p.type = o.type AND p.value = o.value)",
     "findings_sink": "SELECT target_id, type, value_masked, severity FROM page_findings",
     "secret_matches": "SELECT target_id, rule, count(*) AS n FROM page_matches GROUP BY ALL",
     "secret_match_cap": "SELECT target_id, rule, count(*) AS n FROM page_capped GROUP BY ALL",
     "secret_context": "SELECT target_id, rule, pos, md5(context) AS context_hash FROM page_matches",
     "fp_global": f"SELECT target_id, rule, pos, {GLOBAL_FP} AS suppressed FROM page_matches",
     "fp_by_rule": f"SELECT target_id, rule, pos, {RULE_FP} AS suppressed_by FROM page_matches",
-    "secret_location": "SELECT DISTINCT target_id, type, value_masked, location FROM inner_placed",
+    "secret_location": "SELECT DISTINCT target_id, type, value_masked, value_hash, location FROM inner_placed",
     "secret_mask": f"SELECT target_id, rule, pos, {MASK} AS value_masked FROM page_matches",
     "secret_severity": "SELECT DISTINCT rule, severity FROM page_matches",
     "secret_dedup": f"SELECT target_id, rule AS type, value_masked, min(pos) AS pos FROM (SELECT *, {MASK} AS value_masked FROM page_matches) GROUP BY ALL",
@@ -552,7 +556,7 @@ FINAL: dict[str, str] = {
         "SELECT page_id AS target_id, page_id IN (SELECT target_id FROM technologies WHERE technology = 'WordPress')"
         " OR page_id IN (SELECT target_id FROM metas WHERE gen GROUP BY target_id HAVING contains(lower(arg_min(content, pos)), 'wordpress')) AS wordpress FROM pages"
     ),
-    "repo_links": "SELECT target_id, repo, n FROM repos",
+    "repo_links": "SELECT target_id, repo FROM repos",
     "tech_category": "SELECT target_id, CASE " + " ".join(
         f"WHEN technology IN ({', '.join(s(x) for x in names)}) THEN {s(cat)}" for cat, names in tech.CATEGORIES.items()
     ) + " ELSE 'Other' END AS category, string_agg(technology, ', ' ORDER BY technology) AS technologies FROM technologies GROUP BY ALL",
@@ -567,11 +571,11 @@ FINAL: dict[str, str] = {
     "cert_inventory": (
         "SELECT target_id, status, max(CASE status WHEN 'VALID' THEN issuer END) AS issuer, max(CASE status WHEN 'VALID' THEN not_before END) AS not_before,"
         " max(CASE status WHEN 'VALID' THEN not_after END) AS not_after, string_agg(CASE status WHEN 'VALID' THEN alt_name END, ', ' ORDER BY pos) AS alt_names"
-        " FROM (SELECT * FROM cert QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY pos) <= 10) GROUP BY target_id, status"
+        " FROM cert GROUP BY target_id, status"
     ),
-    "dns_rollup": "SELECT target_id, rtype, count(*) AS n_values, array_to_string(list(value ORDER BY pos)[1:5], ', ') AS shown FROM dns_record GROUP BY ALL",
+    "dns_rollup": "SELECT target_id, rtype, count(*) AS n_values, array_to_string(list(value ORDER BY pos), ', ') AS shown FROM dns_record GROUP BY ALL",
     "whois_rows": " UNION ALL ".join(
-        f"SELECT target_id, '{label}' AS field, left({c}, 80) AS value FROM whois WHERE {c} <> '' AND {c} <> 'None'"
+        f"SELECT target_id, '{label}' AS field, {c} AS value FROM whois WHERE {c} <> '' AND {c} <> 'None'"
         for c, label in [("registrar", "Registrar"), ("creation", "Creation"), ("expiration", "Expiration"),
                          ("name_servers", "Name_Servers"), ("org", "Org"), ("country", "Country")]
     ),
@@ -581,8 +585,8 @@ FINAL: dict[str, str] = {
     "path_snippet": f"SELECT target_id, path, length(body) AS size, {SNIPPET} AS snippet FROM http_response",
     "openapi_audit": "SELECT * FROM openapi",
     "graphql_audit": "SELECT * FROM graphql",
-    "cookie_parse": "SELECT * EXCLUDE (url) FROM jar",
-    "cookie_audit": "SELECT * FROM cookie_issues",
+    "cookie_parse": "SELECT * EXCLUDE (url, seq) FROM jar",
+    "cookie_audit": "SELECT target_id, name, n, issue FROM cookie_issues",
     "insecure_cookie_count": "SELECT * FROM cookie_counts",
     "form_extract": (
         "SELECT f.target_id, f.form_no, action, method, input_no, CASE WHEN input_no IS NOT NULL THEN coalesce(name, '') END AS input_name,"
@@ -597,7 +601,7 @@ FINAL: dict[str, str] = {
     "framework_config_keys": "SELECT * FROM config_findings",
     "js_sinks": "SELECT * EXCLUDE (ord) FROM sinks",
     "js_api_calls": "SELECT * EXCLUDE (ord) FROM calls",
-    "js_dedup": "SELECT * FROM js_unique",
+    "js_dedup": "SELECT target_id, seq, ord, pattern, description, source, context, severity FROM js_unique",
     "js_pattern_counts": "SELECT * FROM js_counts",
     "wp_report_findings": "SELECT * FROM wp_findings",
     "wp_report_clean": "SELECT * FROM wp_clean",
@@ -614,13 +618,13 @@ FINAL: dict[str, str] = {
     "report_topn": "SELECT target_id, n, pattern, left(description, 35) AS risk, right(source, 35) AS source FROM js_unique WHERE n <= 20",
     "report_topn_meta": "SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY place, name) AS n, name, left(content, 80) AS content FROM meta_last QUALIFY n <= 15",
     "report_topn_forms": "SELECT DISTINCT target_id, form_no, action, method, has_csrf, coalesce(inputs, '') AS inputs FROM form_issues",
-    "report_topn_cookies": "SELECT j.target_id, j.name, secure, httponly, samesite, left(coalesce(i.issues, ''), 60) AS issues FROM jar j LEFT JOIN (SELECT target_id, name, string_agg(issue, '; ' ORDER BY n) AS issues FROM cookie_issues GROUP BY ALL) i USING (target_id, name)",
+    "report_topn_cookies": "SELECT j.target_id, j.name, secure, httponly, samesite, left(coalesce(i.issues, ''), 60) AS issues FROM jar j LEFT JOIN (SELECT target_id, domain, path, name, string_agg(issue, '; ' ORDER BY n) AS issues FROM cookie_issues GROUP BY ALL) i USING (target_id, domain, path, name)",
     "report_topn_paths": "SELECT target_id, path, left(snippet, 100) AS preview FROM exposed",
     "module_error_rows": (
         "SELECT target_id, 'tool_report:' || tool AS module, line AS input FROM tool_report WHERE CASE WHEN json_valid(line) THEN json_type(line) <> CASE tool WHEN 'wp' THEN 'OBJECT' ELSE 'ARRAY' END ELSE true END"
         " UNION ALL SELECT target_id, 'target', url FROM targets WHERE regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) = ''"
     ),
-    "scan_stream": "SELECT * FROM page_findings",
+    "scan_stream": "SELECT * FROM page_each",
 }
 
 

@@ -15,7 +15,7 @@ from sitewarden.operators import tool_reports as tools
 from sitewarden.plans import audit
 from sitewarden.rules import report
 from sitewarden.sources import sinks
-from sitewarden.sources.captured import page_resources, page_source, read_table, spread
+from sitewarden.sources.captured import page_resources, page_source, read_table
 from sitewarden.streaming import scan as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,7 @@ class Inputs:
 
     def make_documents(self) -> DataFrame:
         """Prose as further page texts, numbered below zero to stay apart from the pages."""
-        return spread(read_table(self.spark, self.sf_dir, "documents")).select(
+        return read_table(self.spark, self.sf_dir, "documents").select(
             (-F.col("doc_id") - 1).alias("target_id"),
             F.lit(0).cast("bigint").alias("seq"),
             F.lit("html").alias("kind"),
@@ -215,8 +215,7 @@ def historical_only_secrets(i):
     archived = i.archived.select(
         "target_id", F.col("ts").cast("bigint").alias("seq"), F.lit("js").alias("kind"), "url", "content"
     )
-    gone = sec.historical_only(i.page_findings, sec.secret_findings(archived))
-    return gone.select("target_id", "type", "value_masked", "location", "severity")
+    return sec.historical_only(i.page_matches, sec.secret_matches(archived))
 
 
 @query
@@ -256,8 +255,7 @@ def fp_by_rule(i):
 
 @query
 def secret_location(i):
-    rows = sec.to_findings(sec.judge(sec.apply_cap(sec.secret_matches(i.live))))
-    return sec.locate(rows).select("target_id", "type", "value_masked", "location").distinct()
+    return sec.secret_locations(sec.secret_matches(i.live))
 
 
 @query

@@ -81,11 +81,10 @@ def credential_matches(text: str, gated: bool = True) -> Column:
     return F.expr(f"array({', '.join(arrays)})")
 
 
-def credential_hits(text: Column, matches: Column, keep: int | None = None, drop_over_cap: bool = False) -> Column:
+def credential_hits(text: Column, matches: Column, keep: int | None = None) -> Column:
     """``array<struct<ord, pos, value, context>>`` for the matches of one text.
 
-    ``keep`` limits the matches of a rule per text; cap + 1 already drop the rule for its target, so the
-    scan keeps no more. ``drop_over_cap`` drops such a rule at once. The surroundings of a match are put
+    ``keep`` limits the matches of a rule per text, which is enough for a scan with a cap. The surroundings of a match are put
     together from the gaps and matches next to it, as many as can lie within the radius; the work grows
     with the text, not with its square.
     """
@@ -136,10 +135,7 @@ def credential_hits(text: Column, matches: Column, keep: int | None = None, drop
         return m if keep is None else F.slice(m, 1, keep)
 
     numbered = F.transform(matches, lambda m, i: F.struct((i + 1).alias("o"), kept(m).alias("m")))
-    some = F.filter(
-        numbered,
-        lambda r: F.size(r["m"]).between(1, secrets.MATCH_CAP) if drop_over_cap else F.size(r["m"]) > 0,
-    )
+    some = F.filter(numbered, lambda r: F.size(r["m"]) > 0)
     return F.flatten(F.transform(some, located))
 
 
@@ -182,14 +178,10 @@ def builder_patterns(text: str) -> Column:
 
 
 def evidence(text: Column, pattern: Column) -> Column:
-    """First match of a case-insensitive pattern with its surroundings, on one line, cut."""
+    """First match of a case-insensitive pattern with its surroundings, on one line."""
     matcher = F.concat(F.lit(LINE_FEED_ONLY + "(?i)"), pattern)
     value = F.regexp_substr(text, matcher)
     return bind(
         F.split(text, matcher, 2),
-        lambda p: F.substring(
-            one_line(around(text, F.length(p[0]), F.length(value), builders.EVIDENCE_RADIUS)),
-            1,
-            builders.EVIDENCE_KEEP,
-        ),
+        lambda p: one_line(around(text, F.length(p[0]), F.length(value), builders.EVIDENCE_RADIUS)),
     )

@@ -3,8 +3,8 @@
 The rules name some 240 words; looking each one up with ``contains`` reads the text 240 times. One
 Aho-Corasick pass per text finds all of them and hands back a few bit sets, and the patterns, which stay
 built-in expressions, run only where their word occurs. The pass is the only Python step of the scan: it
-takes Arrow batches of text and returns 8 bytes per 62 words. Without the automaton library the bit sets
-are computed from ``contains``, with the same result.
+takes Arrow batches of text and returns 8 bytes per 62 words. Where the executors lack the automaton library,
+``automaton=False`` computes the bit sets from ``contains``, with the same result.
 """
 
 from __future__ import annotations
@@ -18,11 +18,6 @@ from pyspark.sql import types as T
 
 from sitewarden.functions.text import quoted
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 MARK = "_words"
 PER_SET = 62
 
@@ -70,8 +65,8 @@ class WordIndex:
         self._bit = {w: n for n, w in enumerate(self.words)}
 
     def mark(self, rows: DataFrame, text: str, automaton: bool = True) -> DataFrame:
-        """Add the bit sets of a text column."""
-        if automaton and ahocorasick is not None:
+        """Add the bit sets of a text column, by an automaton or, without its library on the executors, by ``contains``."""
+        if automaton:
             return rows.withColumn(MARK, _automaton_pass(self.words)(F.col(text)))
         lowered = rows.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
         return lowered.withColumn(MARK, _contains_pass(self.words, "_lower")).drop("_lower")

@@ -135,9 +135,10 @@ def build_id(content: Column) -> Column:
     )
 
 
-def manifest_paths(content: Column) -> Column:
-    """``array<string>``: the first 30 chunk paths of a build manifest."""
-    return F.slice(F.concat(*[extract_all(content, p, 1) for p in js.MANIFEST_CHUNKS]), 1, js.MANIFEST_LIMIT)
+def manifest_paths(content: Column, limit: int | None = None) -> Column:
+    """``array<string>``: the chunk paths of a build manifest."""
+    found_paths = F.concat(*[extract_all(content, p, 1) for p in js.MANIFEST_CHUNKS])
+    return found_paths if limit is None else F.slice(found_paths, 1, limit)
 
 
 def static_references(content: Column) -> Column:
@@ -190,53 +191,56 @@ def unseen(refs: DataFrame, seen: DataFrame) -> DataFrame:
     return refs.join(known, ["target_id", "url"], "left_anti")
 
 
-def chunk_resources(scripts: DataFrame, bodies: DataFrame) -> DataFrame:
+def chunk_resources(scripts: DataFrame, bodies: DataFrame, min_length: int | None = None) -> DataFrame:
     """Captured bodies of manifest chunks that are not known yet."""
     return (
         unseen(chunk_manifest_refs(scripts), scripts)
-        .join(captured(bodies, js.MIN_BODY).select("target_id", "url", "content"), ["target_id", "url"])
+        .join(captured(bodies, min_length).select("target_id", "url", "content"), ["target_id", "url"])
         .withColumn("kind", F.lit("js"))
     )
 
 
-def frontier_addresses(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Addresses of ``(target_id, base, refs)``: unseen, the first 20 of a target in order."""
+def frontier_addresses(rows: DataFrame, seen: DataFrame, limit: int | None = None) -> DataFrame:
+    """Unseen addresses of ``(target_id, base, refs)``; ``limit`` keeps the first ones of a target in order."""
     refs = rows.select("target_id", "base", F.explode("refs").alias("path")).select(
         "target_id", F.concat("base", "path").alias("url")
     )
-    return first_k(unseen(refs.distinct(), seen), ["target_id"], ["url"], js.REFERENCE_LIMIT)
+    fresh = unseen(refs.distinct(), seen)
+    return fresh if limit is None else first_k(fresh, ["target_id"], ["url"], limit)
 
 
 def kind_of(url: Column) -> Column:
     return F.when(url.endswith(".css"), F.lit("css")).otherwise(F.lit("js"))
 
 
-def referenced_js_frontier(scripts: DataFrame, base: Column, bodies: DataFrame) -> DataFrame:
+def referenced_js_frontier(
+    scripts: DataFrame, base: Column, bodies: DataFrame, limit: int | None = None, min_length: int | None = None
+) -> DataFrame:
     """Captured bodies of static files named inside scripts; ``.css`` goes to the style sheets."""
     rows = scripts.select("target_id", base.alias("base"), static_references(F.col("content")).alias("refs"))
     return (
-        frontier_addresses(rows, scripts)
-        .join(captured(bodies, js.MIN_BODY).select("target_id", "url", "content"), ["target_id", "url"])
+        frontier_addresses(rows, scripts, limit)
+        .join(captured(bodies, min_length).select("target_id", "url", "content"), ["target_id", "url"])
         .withColumn("kind", kind_of(F.col("url")))
     )
 
 
-def archive_select(index: DataFrame) -> DataFrame:
-    """Index rows to fetch: scripts, the earliest of each key, the first 15 keys of a target."""
+def archive_select(index: DataFrame, limit: int | None = None) -> DataFrame:
+    """Index rows to fetch: scripts, the earliest of each key; ``limit`` keeps the first keys of a target."""
     rows = index.filter((F.col("mimetype") == ARCHIVE_MIME) & (F.col("ts") != "timestamp")).select(
         "target_id", "ts", "original", "urlkey"
     )
     earliest = first_k(rows, ["target_id", "urlkey"], ["ts", "original"], 1)
-    return first_k(earliest, ["target_id"], ["urlkey"], js.ARCHIVE_LIMIT)
+    return earliest if limit is None else first_k(earliest, ["target_id"], ["urlkey"], limit)
 
 
 def archive_label() -> Column:
     return F.concat(F.lit(ARCHIVE_LABEL), "original")
 
 
-def archive_resources(selected: DataFrame, bodies: DataFrame) -> DataFrame:
+def archive_resources(selected: DataFrame, bodies: DataFrame, min_length: int | None = None) -> DataFrame:
     """Archived bodies as labelled script resources."""
-    kept = captured(bodies, js.MIN_BODY).select("target_id", "ts", "original", "content")
+    kept = captured(bodies, min_length).select("target_id", "ts", "original", "content")
     return selected.select("target_id", "ts", "original").join(kept, ["target_id", "ts", "original"]).select(
         "target_id", "ts", archive_label().alias("url"), "content"
     )

@@ -1,4 +1,4 @@
-"""Cookies from captured ``Set-Cookie`` rows ``(target_id, url, set_cookie)``."""
+"""Cookies from captured ``Set-Cookie`` rows ``(target_id, seq, url, set_cookie)``; ``seq`` is the order of arrival."""
 
 from __future__ import annotations
 
@@ -21,11 +21,13 @@ def _flag(name: str) -> Column:
 
 
 def cookie_parse(rows: DataFrame) -> DataFrame:
+    """The jar of each target: of cookies with one name, domain and path the last one counts."""
     url = F.col("url")
     domain = _attribute("domain")
     folder = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)/", 1)
-    return rows.select(
+    parsed = rows.select(
         "target_id",
+        "seq",
         "url",
         strip(F.regexp_extract("set_cookie", r"^([^=;]*)", 1)).alias("name"),
         F.when(domain.isNull(), urls.hostname(url))
@@ -37,6 +39,9 @@ def cookie_parse(rows: DataFrame) -> DataFrame:
         _flag("httponly").alias("httponly"),
         F.coalesce(_attribute("samesite"), F.lit(report.SAMESITE_DEFAULT)).alias("samesite"),
     )
+    flags = ["url", "secure", "httponly", "samesite"]
+    jar = parsed.groupBy("target_id", "name", "domain", "path").agg(F.max_by(F.struct(*flags), F.struct("seq", *flags)).alias("last"))
+    return jar.select("target_id", "last.url", "name", "domain", "path", "last.secure", "last.httponly", "last.samesite")
 
 
 def _issues() -> Column:

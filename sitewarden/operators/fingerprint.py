@@ -109,10 +109,10 @@ def repo_links(pages: DataFrame) -> DataFrame:
     return repo_rows_of(pages.select(F.col("page_id").alias("target_id"), repos(F.col("html")).alias("repos")))
 
 
-def repo_rows_of(parsed: DataFrame, limit: int = tech.REPO_LIMIT) -> DataFrame:
-    """The first distinct repository links of a target, by name."""
-    links = parsed.select("target_id", F.explode("repos").alias("repo"))
-    return first_k(links.distinct(), ["target_id"], ["repo"], limit, rank="n")
+def repo_rows_of(parsed: DataFrame, limit: int | None = None) -> DataFrame:
+    """The distinct repository links of a target; ``limit`` keeps the first ones by name."""
+    links = parsed.select("target_id", F.explode("repos").alias("repo")).distinct()
+    return links if limit is None else first_k(links, ["target_id"], ["repo"], limit)
 
 
 def tech_category(technologies: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.functions import urls
-from sitewarden.functions.frames import first_k, ordered_text
+from sitewarden.functions.frames import ordered_text
 from sitewarden.functions.text import left
 from sitewarden.rules import headers as rules
 from sitewarden.rules import report
@@ -73,25 +73,19 @@ def transport_audit(targets: DataFrame) -> DataFrame:
 
 
 def cert_inventory(certs: DataFrame) -> DataFrame:
-    """One row per target with the first ten alternative names; fields only of valid certificates."""
-    top = first_k(certs, ["target_id"], ["pos"], report.CERT_NAMES)
+    """One row per target with the alternative names of its certificate; fields only of valid certificates."""
     valid = F.col("status") == "VALID"
-    return top.groupBy("target_id", "status").agg(
+    return certs.groupBy("target_id", "status").agg(
         *[F.max(F.when(valid, F.col(c))).alias(c) for c in ("issuer", "not_before", "not_after")],
         F.when(valid, ordered_text(F.struct("pos", F.col("alt_name").alias("text")), ", ")).alias("alt_names"),
     )
 
 
 def dns_rollup(records: DataFrame) -> DataFrame:
-    """Number of values per record type and the first five."""
-    keys = ["target_id", "rtype"]
-    counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
-    shown = (
-        first_k(records, keys, ["pos"], report.DNS_VALUES)
-        .groupBy(*keys)
-        .agg(ordered_text(F.struct("pos", F.col("value").alias("text")), ", ").alias("shown"))
+    """Number of values per record type and the values in order; one answer of a name server is a group."""
+    return records.groupBy("target_id", "rtype").agg(
+        F.count(F.lit(1)).alias("n_values"), ordered_text(F.struct("pos", F.col("value").alias("text")), ", ").alias("shown")
     )
-    return counts.join(shown, keys)
 
 
 def whois_rows(whois: DataFrame) -> DataFrame:
@@ -104,5 +98,5 @@ def whois_rows(whois: DataFrame) -> DataFrame:
     return (
         whois.select("target_id", F.inline(rows))
         .filter((F.col("value") != "") & (F.col("value") != "None"))
-        .select("target_id", "field", left(F.col("value"), report.VALUE_WIDTH).alias("value"))
+        .select("target_id", "field", "value")
     )

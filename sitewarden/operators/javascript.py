@@ -33,9 +33,7 @@ def sinks(content: Column) -> Column:
             p["ord"].alias("ord"),
             p["pattern"].alias("pattern"),
             p["description"].alias("description"),
-            left(
-                one_line(around(content, p["at"] - 1, F.length(p["pattern"]), rules.CONTEXT_RADIUS)), rules.CONTEXT_KEEP
-            ).alias("context"),
+            one_line(around(content, p["at"] - 1, F.length(p["pattern"]), rules.CONTEXT_RADIUS)).alias("context"),
             F.lit("MEDIUM").alias("severity"),
         ),
     )
@@ -49,7 +47,7 @@ def calls(content: Column) -> Column:
         lambda u, i: F.struct(
             (i + len(rules.SINKS) + 1).cast("bigint").alias("ord"),
             F.lit(CALL).alias("pattern"),
-            F.concat(F.lit("External API call: "), left(u, 80)).alias("description"),
+            F.concat(F.lit("External API call: "), u).alias("description"),
             u.alias("context"),
             F.lit("INFO").alias("severity"),
         ),
@@ -84,12 +82,16 @@ def js_findings_of(parsed: DataFrame) -> DataFrame:
     return _rows(parsed, F.col("script_findings"))
 
 
-def js_dedup(findings: DataFrame) -> DataFrame:
-    """First finding per (target, pattern, source), then the first 50 of a target."""
+def js_dedup(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """First finding per (target, pattern, source); ``limit`` keeps the first ones of a target."""
     first = first_k(findings, ["target_id", "pattern", "source"], ["seq", "ord"], 1)
-    return first_k(first, ["target_id"], ["seq", "ord"], rules.FINDING_CAP, rank="n").select(
-        "target_id", "n", "pattern", "description", "source", "context", "severity"
-    )
+    kept = first if limit is None else first_k(first, ["target_id"], ["seq", "ord"], limit)
+    return kept.select(*COLUMNS)
+
+
+def first_of_target(deduped: DataFrame, k: int) -> DataFrame:
+    """The first k findings of a target with their number ``n``."""
+    return first_k(deduped, ["target_id"], ["seq", "ord"], k, rank="n")
 
 
 def js_pattern_counts(deduped: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def js_pattern_counts(deduped: DataFrame) -> DataFrame:
 
 def js_report_rows(deduped: DataFrame) -> DataFrame:
     """The first twenty rows of a target with cut texts (the last characters of the source)."""
-    return deduped.filter(F.col("n") <= report.JS_ROWS).select(
+    return first_of_target(deduped, report.JS_ROWS).select(
         "target_id",
         "n",
         "pattern",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.functions.text import bind, contains_any, extract, extract_all, left, quoted, strip
+from sitewarden.functions.text import bind, contains_any, extract, extract_all, quoted, strip
 from sitewarden.rules import leaks as rules
 
 COMMENT = "Suspicious HTML Comment"
@@ -20,7 +20,7 @@ def comments(page: Column) -> Column:
         texts,
         lambda t: (F.length(t) > 5) & ~t.startswith("[if") & contains_any(F.lower(t), rules.COMMENT_WORDS),
     )
-    return F.transform(bad, lambda t: left(t, 150))
+    return bad
 
 
 def source_maps(content: Column) -> Column:
@@ -40,7 +40,7 @@ def config_blobs(page: Column, lower: Column) -> Column:
             F.struct(
                 F.lit(label).alias("label"),
                 F.when(
-                    F.contains(lower, F.lit(literal)), left(extract(page, pattern, 1), rules.BLOB_LIMIT)
+                    F.contains(lower, F.lit(literal)), extract(page, pattern, 1)
                 ).alias("blob"),
             )
             for label, pattern, literal in rules.CONFIG_BLOBS
@@ -67,7 +67,7 @@ def _found_keys(blob: Column) -> Column:
 
 
 def _config_findings(label: Column, keys: Column) -> Column:
-    """``array<struct<type, content, severity>>``: each HIGH key, then a summary of the first ten keys."""
+    """``array<struct<type, content, severity>>``: each HIGH key, then a summary of all keys."""
     single = F.transform(
         F.filter(keys, lambda k: k["severity"].isin("HIGH", "CRITICAL")),
         lambda k: F.struct(
@@ -76,7 +76,7 @@ def _config_findings(label: Column, keys: Column) -> Column:
             k["severity"].alias("severity"),
         ),
     )
-    listed = F.transform(F.slice(keys, 1, rules.SUMMARY_KEYS), lambda k: F.concat(k["key"], F.lit("="), k["value"]))
+    listed = F.transform(keys, lambda k: F.concat(k["key"], F.lit("="), k["value"]))
     summary = F.struct(
         F.concat(F.lit("Framework Config Exposed — "), label).alias("type"),
         F.concat(F.lit("Runtime config object injected in HTML exposes: "), F.array_join(listed, " | ")).alias("content"),

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.functions import urls
-from sitewarden.functions.frames import ordered_text
+from sitewarden.functions.frames import first_k, ordered_text
 from sitewarden.functions.text import literals, lookup
+from sitewarden.operators.javascript import first_of_target
 from sitewarden.rules import paths, remediation, report, secrets
 from sitewarden.rules.headers import EXPECTED
 
@@ -123,9 +124,9 @@ def target_digest(targets: DataFrame, technologies: DataFrame, secret_findings:
                   exposures: DataFrame, missing: DataFrame, cookie_counts: DataFrame) -> DataFrame:
     """Text summary of a target.
 
-    Every section is a row (section, order, line); one aggregation joins the lines. A target has at most
-    as many lines as the fixed lists and caps allow (29 technologies, 42 rules x 50 matches, 5 scripts,
-    70 paths, 7 headers, 2 cookie lines), whatever the size of its input.
+    Every section is a row (section, order, line); one aggregation joins the lines. The sections of scripts (5 lines)
+    and credentials (2,000 lines) are cut, which is a feature of the digest; the others are bounded by fixed lists (29
+    technologies, 70 paths with their statuses, 7 headers, 2 cookie lines), whatever the size of its input.
     """
     def lines(rows: DataFrame, section: int, order: Column, line: Column) -> DataFrame:
         return rows.select(
@@ -134,17 +135,18 @@ def target_digest(targets: DataFrame, technologies: DataFrame, secret_findings:
 
     severity = F.concat(F.lit(" (Severity: "), "severity", F.lit(")"))
     tech = lines(technologies, 1, F.col("technology"), F.col("technology"))
+    ranked = secret_findings.withColumn("ord", _rule_order(F.col("type")))
     secret = lines(
-        secret_findings, 2,
+        first_k(ranked, ["target_id"], ["ord", "value_masked"], 2000), 2,
         F.concat(F.lpad(_rule_order(F.col("type")).cast("string"), 3, "0"), "value_masked"),
         F.concat(F.lit("  - "), "type", F.lit(": "), "value_masked", severity),
     )
     scripts = lines(
-        js.filter(F.col("n") <= report.DIGEST_JS_ROWS), 3, F.lpad(F.col("n").cast("string"), 3, "0"),
+        first_of_target(js, report.DIGEST_JS_ROWS), 3, F.lpad(F.col("n").cast("string"), 3, "0"),
         F.concat(F.lit("  - "), "pattern", F.lit(": "), "description"),
     )
     files = lines(
-        exposures, 4, F.lpad(_path_order(F.col("path")).cast("string"), 3, "0"),
+        exposures.select("target_id", "path", "status").distinct(), 4, F.lpad(_path_order(F.col("path")).cast("string"), 3, "0"),
         F.concat(F.lit("  - "), "path", F.lit(" (Status: "), F.col("status").cast("string"), F.lit(")")),
     )
     headers = lines(

@@ -1,23 +1,25 @@
 """Credential scan over resource rows ``(target_id, seq, kind, url, content)``.
 
-One pass over the text yields narrow match rows; the text itself stays in the scan stage. Cap, context
-rules, de-duplication and counts run on the match rows.
+One pass over the text yields narrow match rows; the text itself stays in the scan stage. Context rules,
+places and de-duplication run on the match rows, as partial aggregates. All matches count; ``cap`` drops a rule
+from a target where it matches more often, and is off unless it is given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.functions import matching
 from sitewarden.functions.frames import drop_large_groups, first_k
-from sitewarden.functions.text import contains_any, found, left, literals, mask
+from sitewarden.functions.text import contains_any, found, literals, mask
 from sitewarden.rules import false_positives as fp
 from sitewarden.rules import secrets
 
 SCAN_ORDER = ["kind_ord", "seq", "url", "pos"]
-# So many matches in one resource decide that a rule is over the cap.
-ENOUGH = secrets.MATCH_CAP + 1
+HIDDEN = "****"
+# What may be the rest of a credential that the edge of a context cuts.
+CUT_START, CUT_END = r"^[A-Za-z0-9+/_=.-]{8,}", r"[A-Za-z0-9+/_=.-]{8,}$"
 KIND_ORDER = {"html": 0, "js": 1, "css": 2}
 
 
@@ -40,9 +42,7 @@ def rule_severity(rule: Column) -> Column:
     )
 
 
-def secret_matches(
-    resources: DataFrame, gated: bool = True, keep: int | None = None, drop_over_cap: bool = False
-) -> DataFrame:
+def secret_matches(resources: DataFrame, gated: bool = True, keep: int | None = None) -> DataFrame:
     """Every match of every rule with its surroundings, one row per match.
 
     With ``keep`` only that many matches of a rule are kept per resource.
@@ -51,7 +51,7 @@ def secret_matches(
     marked = matching.WORDS.mark(resources, "content") if gated else resources
     matched = marked.select(*keys, "content", matching.credential_matches("content", gated).alias("_matches"))
     hits = matched.select(
-        *keys, F.explode(matching.credential_hits(F.col("content"), F.col("_matches"), keep, drop_over_cap)).alias("_hit")
+        *keys, F.explode(matching.credential_hits(F.col("content"), F.col("_matches"), keep)).alias("_hit")
     )
     return hits.select(*keys, "_hit.*").withColumn("rule", rule_name(F.col("ord")))
 
@@ -93,10 +93,12 @@ def suppression() -> Column:
     return F.when(global_suppressor(), F.lit("global")).otherwise(rule_suppressor())
 
 
+def masked_value(value: Column) -> Column:
+    return mask(value, secrets.MASK_LONGER_THAN, secrets.MASK_HEAD, secrets.MASK_TAIL, secrets.MASK_SHORT_HEAD)
+
+
 def masked() -> Column:
-    return mask(
-        F.col("value"), secrets.MASK_LONGER_THAN, secrets.MASK_HEAD, secrets.MASK_TAIL, secrets.MASK_SHORT_HEAD
-    )
+    return masked_value(F.col("value"))
 
 
 def judge(matches: DataFrame, strict: bool = False) -> DataFrame:
@@ -105,23 +107,40 @@ def judge(matches: DataFrame, strict: bool = False) -> DataFrame:
     return judged if strict else judged.filter(F.col("suppressed_by").isNull()).drop("suppressed_by")
 
 
+def shown_context(context: Column, value: Column) -> Column:
+    """A context without credentials: the value as its mask, other matches and cut ends hidden."""
+    shown = F.replace(context, F.translate(value, "\n", " "), masked_value(value))
+    for pattern in ("(?d)" + secrets.any_credential(), CUT_START, CUT_END):
+        shown = F.regexp_replace(shown, pattern, HIDDEN)
+    return shown
+
+
 def to_findings(matches: DataFrame) -> DataFrame:
-    """Replace values by their mask; the raw value does not leave this step, in the context neither."""
-    kept = matches.withColumn("value_masked", masked())
-    shown = F.replace(F.col("context"), F.translate(F.col("value"), "\n", " "), F.col("value_masked"))
-    return kept.withColumn("context", left(shown, secrets.CONTEXT_KEEP)).withColumn(
+    """Replace values by their mask; no raw credential leaves this step, in the context neither."""
+    kept = matches.withColumn("value_masked", masked()).withColumn("value_hash", F.sha2("value", 256))
+    return kept.withColumn("context", shown_context(F.col("context"), F.col("value"))).withColumn(
         "severity", rule_severity(F.col("rule"))
-    ).withColumnRenamed("rule", "type")
+    ).drop("value").withColumnRenamed("rule", "type")
 
 
-def locate(findings: DataFrame) -> DataFrame:
-    """Where a value is reported: the first style sheet that holds it, else the first script, else the page.
+def secret_values(matches: DataFrame, strict: bool = False) -> DataFrame:
+    """One row per (target, rule, value) that is not suppressed everywhere (``strict``: with the suppressed ones).
 
-    A group holds at most as many rows as the match cap lets through.
+    The location is the first style sheet that holds the value, else the first script, else the page, wherever a
+    context rule looked away as well. One partial aggregate; a group of any size is reduced before the shuffle.
     """
     place = F.when(F.col("kind") == "css", F.lit(0)).when(F.col("kind") == "js", F.lit(1)).otherwise(F.lit(2))
-    rows = Window.partitionBy("target_id", "ord", "type", "value_masked")
-    return findings.withColumn("location", F.min_by("url", F.struct(place, "seq", "url")).over(rows))
+    rows = judge(matches, strict=True).withColumn("kind_ord", _kind_order())
+    free = F.lit(True) if strict else F.col("suppressed_by").isNull()
+    row = F.struct(*SCAN_ORDER, "context", "value", "suppressed_by")
+    values = rows.groupBy("target_id", "ord", "rule", F.sha2("value", 256).alias("value_hash")).agg(
+        F.min_by("url", F.struct(place, "seq", "url")).alias("location"), F.min(F.when(free, row)).alias("first")
+    )
+    return values.filter(F.col("first").isNotNull()).withColumn("value_masked", masked_value(F.col("first.value")))
+
+
+def secret_locations(matches: DataFrame) -> DataFrame:
+    return secret_values(matches).select("target_id", F.col("rule").alias("type"), "value_masked", "value_hash", "location")
 
 
 def dedup(findings: DataFrame) -> DataFrame:
@@ -130,16 +149,25 @@ def dedup(findings: DataFrame) -> DataFrame:
     return first_k(ordered, ["target_id", "ord", "type", "value_masked"], SCAN_ORDER, 1).drop("kind_ord")
 
 
-def secret_findings(resources: DataFrame, strict: bool = False, gated: bool = True) -> DataFrame:
-    """The whole scan: matches, cap, context rules, mask, place, de-duplication."""
-    return findings_of(secret_matches(resources, gated, keep=ENOUGH), strict)
+def secret_findings(resources: DataFrame, strict: bool = False, gated: bool = True, cap: int | None = None) -> DataFrame:
+    """The whole scan: matches, context rules, mask, place, de-duplication; ``cap`` as in :func:`findings_of`."""
+    return findings_of(secret_matches(resources, gated, keep=None if cap is None else cap + 1), strict, cap)
+
 
+def findings_of(matches: DataFrame, strict: bool = False, cap: int | None = None) -> DataFrame:
+    """The part of the scan behind the text pass; takes rows of :func:`secret_matches`.
 
-def findings_of(matches: DataFrame, strict: bool = False) -> DataFrame:
-    """The part of the scan behind the text pass; takes rows of :func:`secret_matches`."""
-    found_rows = dedup(locate(to_findings(judge(apply_cap(matches), strict))))
-    extra = ["suppressed_by"] if strict else []
-    return found_rows.select("target_id", "type", "value_masked", "location", "context", "severity", *extra)
+    Values of one target that share a mask are one finding; ``n_values`` says how many they are.
+    """
+    values = secret_values(matches if cap is None else apply_cap(matches, cap), strict)
+    keys = ["target_id", "ord", "rule", "value_masked"]
+    found_rows = values.groupBy(*keys).agg(F.min(F.struct("first", "location")).alias("f"), F.count(F.lit(1)).alias("n_values"))
+    extra = [F.col("f.first.suppressed_by").alias("suppressed_by")] if strict else []
+    return found_rows.select(
+        "target_id", F.col("rule").alias("type"), "value_masked", F.col("f.location").alias("location"),
+        shown_context(F.col("f.first.context"), F.col("f.first.value")).alias("context"),
+        rule_severity(F.col("rule")).alias("severity"), "n_values", *extra,
+    )
 
 
 def secret_counts(findings: DataFrame) -> DataFrame:
@@ -147,5 +175,8 @@ def secret_counts(findings: DataFrame) -> DataFrame:
 
 
 def historical_only(live: DataFrame, archived: DataFrame) -> DataFrame:
-    """Archived findings whose (target, type, masked value) is not live any more."""
-    return archived.join(live, ["target_id", "type", "value_masked"], "left_anti")
+    """Values of archived match rows that are not live any more, by the value, not by its mask."""
+    gone = secret_values(archived).join(secret_values(live), ["target_id", "rule", "value_hash"], "left_anti")
+    return gone.select(
+        "target_id", F.col("rule").alias("type"), "value_masked", "value_hash", "location", rule_severity(F.col("rule")).alias("severity")
+    )

@@ -86,7 +86,7 @@ def git_report_fallback(repos: DataFrame, findings: DataFrame) -> DataFrame:
 
     ``repos`` are rows of :func:`sitewarden.operators.fingerprint.repo_links`.
     """
-    last = repos.groupBy("target_id").agg(F.max_by("repo", "n").alias("repo"))
+    last = repos.groupBy("target_id").agg(F.max("repo").alias("repo"))
     return last.join(findings.select("target_id").distinct(), "target_id", "left_anti").select(
         "target_id",
         F.lit(report.GIT_SEEN_NAME).alias("name"),

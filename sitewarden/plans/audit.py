@@ -9,6 +9,7 @@ of the narrow table, so the text is neither scanned again per module nor shuffle
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def facts(resources: DataFrame) -> DataFrame:
         *keys,
         "links",
         F.length("content").cast("bigint").alias("size"),
-        matching.credential_hits(content, F.col("_matches"), keep=sec.ENOUGH).alias("secrets"),
+        matching.credential_hits(content, F.col("_matches")).alias("secrets"),
         F.when(page, matching.technologies("content")).alias("technologies"),
         fingerprint.with_evidence(content, F.col("_builders")).alias("builders"),
         leaks.config_findings(F.col("_blobs")).alias("config_findings"),
@@ -122,12 +123,18 @@ class Audit:
 
     targets: DataFrame
     facts: DataFrame
+    folder: str
     modules: dict[str, DataFrame] = field(default_factory=dict)
     technologies: DataFrame | None = None
 
-    @property
+    @cached_property
     def findings(self) -> DataFrame:
-        return rollup.findings_union(self.modules)
+        """All findings, written on first use; counts and grades read the written table."""
+        return sinks.materialize(rollup.findings_union(self.modules), f"{self.folder}/findings")
+
+    def drop(self) -> None:
+        """Delete the intermediate tables; the frames of this audit cannot be evaluated afterwards."""
+        sinks.delete(self.targets.sparkSession, self.folder)
 
     @property
     def counts(self) -> DataFrame:
@@ -138,10 +145,11 @@ class Audit:
         return rollup.grade(self.counts)
 
 
-def _reachable(page_facts: DataFrame, body_facts: DataFrame, targets: DataFrame) -> DataFrame:
+def _reachable(page_facts: DataFrame, body_facts: DataFrame, targets: DataFrame, folder: str) -> DataFrame:
     """Facts of the captured bodies that a target refers to, at most two steps from the page.
 
-    The bodies were scanned where they lie; only addresses and hits take part in these joins.
+    The bodies were scanned where they lie; only addresses and hits take part in these joins. The addresses of each
+    step are written, so that the next one does not derive them again.
     """
     on = ["target_id", "url"]
     linked = page_facts.select("target_id", F.explode("links").alias("l")).select("target_id", "l.url", "l.kind")
@@ -153,56 +161,57 @@ def _reachable(page_facts: DataFrame, body_facts: DataFrame, targets: DataFrame)
         F.lit("js").alias("kind"),
     )
 
-    def wanted(addresses: DataFrame, kind: Column, min_size: int) -> DataFrame:
-        return addresses.select("target_id", "url", kind.alias("kind"), F.lit(min_size).alias("min_size"))
+    def wanted(addresses: DataFrame, kind: Column) -> DataFrame:
+        return addresses.select("target_id", "url", kind.alias("kind"))
 
     def kept(addresses: DataFrame) -> DataFrame:
-        best = addresses.groupBy(*on).agg(F.max("kind").alias("kind"), F.min("min_size").alias("min_size"))
-        rows = body_facts.drop("kind").join(best, on).filter(F.col("size") > F.col("min_size"))
+        best = addresses.groupBy(*on).agg(F.max("kind").alias("kind"))
+        rows = body_facts.drop("kind").join(best, on)
         return rows.select(body_facts.columns)
 
-    first = wanted(linked.unionByName(manifests), F.col("kind"), -1)
+    first = sinks.materialize(wanted(linked.unionByName(manifests), F.col("kind")).distinct(), f"{folder}/linked")
     read = kept(first)
     chunks = acq.unseen(
         acq.chunk_addresses(read.filter(F.col("paths").isNotNull()).select("target_id", "url", "paths")), read
     )
-    second = first.unionByName(wanted(chunks, F.lit("js"), js_rules.MIN_BODY))
+    second = sinks.materialize(first.unionByName(wanted(chunks, F.lit("js"))), f"{folder}/chunks")
     columns = ["target_id", "url", "kind", "refs"]
     known = page_facts.select(columns).unionByName(kept(second).select(columns))
     named = known.filter(F.col("kind") == "js").join(sites, "target_id").select("target_id", "base", "refs")
     frontier = acq.frontier_addresses(named, known)
-    return kept(second.unionByName(wanted(frontier, acq.kind_of(F.col("url")), js_rules.MIN_BODY)))
+    return sinks.materialize(kept(second.unionByName(wanted(frontier, acq.kind_of(F.col("url"))))), f"{folder}/reached")
 
 
-def scan(captured: Captured, folder: str) -> DataFrame:
-    """Write and return the facts of all resources of the captured targets."""
+def scan(captured: Captured, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Write and return the facts of the pages and known scripts, and those of all resources of the captured targets."""
     resources = page_resources(captured.pages)
     if captured.scripts is not None:
         resources = resources.unionByName(_rows(captured.scripts, F.lit("js"), KNOWN_SCRIPTS, F.col("seq")))
-    found = sinks.materialize(facts(resources), f"{folder}/facts")
+    own = found = sinks.materialize(facts(resources), f"{folder}/facts")
     targets = captured.pages.select(F.col("page_id").alias("target_id"), "url")
     if captured.resource_body is not None:
         bodies = _rows(
             acq.captured(captured.resource_body), acq.kind_of(F.col("url")), BODIES, F.pmod(F.xxhash64("url"), F.lit(SCRIPT_OFFSET))
         )
         body_facts = sinks.materialize(facts(bodies), f"{folder}/body_facts")
-        found = found.unionByName(_reachable(found, body_facts, targets))
+        found = found.unionByName(_reachable(own, body_facts, targets, folder))
     if captured.archive_index is not None:
-        on = ["target_id", "seq", "url"]
         order = F.coalesce(F.col("ts").try_cast("bigint"), F.xxhash64("ts"))
-        bodies = acq.captured(captured.archive_index, js_rules.MIN_BODY).withColumn("url", acq.archive_label())
+        picked = acq.archive_select(captured.archive_index).select("target_id", "ts", "original")
+        scripts = captured.archive_index.filter(F.col("mimetype") == acq.ARCHIVE_MIME)
+        # Addresses decide before any pattern runs; only the picked scripts are scanned.
+        bodies = acq.captured(scripts).join(picked, ["target_id", "ts", "original"], "left_semi")
+        bodies = bodies.withColumn("url", acq.archive_label())
         archive = sinks.materialize(facts(_rows(bodies, F.lit("js"), ARCHIVES, order)), f"{folder}/archive_facts")
-        picked = acq.archive_select(captured.archive_index).withColumn("url", acq.archive_label())
-        wanted = picked.select("target_id", (order + ARCHIVES).cast("bigint").alias("seq"), "url")
-        found = found.unionByName(archive.join(wanted, on, "left_semi").select(archive.columns))
-    return found
+        found = found.unionByName(archive)
+    return own, found
 
 
 def run(captured: Captured, folder: str) -> Audit:
     """Audit the captured targets; ``folder`` is a fresh path in shared storage."""
     targets = captured.pages.select(F.col("page_id").alias("target_id"), "url")
-    found = scan(captured, folder)
-    pages = found.filter(F.col("kind") == "html")
+    own, found = scan(captured, folder)
+    pages = own.filter(F.col("kind") == "html")  # pages are never reached as bodies
 
     technologies = pages.select("target_id", F.explode("technologies").alias("technology"))
     builders = pages.select("target_id", F.lit(0).alias("source"), F.inline("builders"))
@@ -237,7 +246,7 @@ def run(captured: Captured, folder: str) -> Audit:
         repos = fingerprint.repo_rows_of(pages.select("target_id", "repos"))
         modules["wp"] = wp.unionByName(tools.wp_report_clean(captured.tool_report, wp))
         modules["git"] = git.unionByName(tools.git_report_fallback(repos, git))
-    return Audit(targets, found, modules, technologies.distinct())
+    return Audit(targets, found, folder, modules, technologies.distinct())
 
 
 def digest(audit: Audit, captured: Captured) -> DataFrame:

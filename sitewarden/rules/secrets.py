@@ -126,3 +126,9 @@ def severity(rule: str) -> str:
     if rule in CRITICAL:
         return "CRITICAL"
     return "HIGH" if rule in HIGH else "MEDIUM"
+
+
+def any_credential() -> str:
+    """One pattern that matches whatever one of the rules matches; the first rule in order wins."""
+    folded = {p: f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in PATTERNS.values()}
+    return "|".join(folded.values())

@@ -21,20 +21,6 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small input.
-
-    A file of one row group is one task however many cores there are, and the regex scans are bound by
-    the processor. Inputs that already have a task per core (every large one) come back unchanged, so
-    page bodies are never shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def page_source(pages: DataFrame) -> DataFrame:
     """Status, final address and size of each captured page."""
     return pages.select(

@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, root: str | None = None) -> str:
+    """A fresh folder below ``root``, or below the shared one named by ``spark.checkpoint.dir``.
 
-    Only a local session may do without the setting; executors of a cluster do not see each other's
-    local folders.
+    Only a local session may do without both; executors of a cluster do not see each other's local folders.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
@@ -32,6 +31,12 @@ def materialize(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate tables from whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_findings(findings: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """Parquet files by severity.
 

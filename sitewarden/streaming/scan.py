@@ -11,16 +11,15 @@ from sitewarden.operators import secrets as sec
 def scan_stream(resources: DataFrame, watermark: str) -> DataFrame:
     """Findings as resources arrive.
 
-    Matching, context rules and masks have no state and are the expressions of the batch scan. A rule
-    with too many matches is dropped per resource. A repeated (target, type, masked value) is dropped
-    while the watermark keeps it.
+    Matching, context rules and masks have no state and are the expressions of the batch scan. A value that was
+    seen in a target is dropped while the watermark keeps it; the location is the resource that brought it first.
     """
-    matches = sec.secret_matches(resources, keep=sec.ENOUGH, drop_over_cap=True)
+    matches = sec.secret_matches(resources)
     rows = sec.to_findings(sec.judge(matches)).select(
-        "target_id", "type", "value_masked", F.col("url").alias("location"), "context", "severity", "captured_at"
+        "target_id", "type", "value_masked", "value_hash", F.col("url").alias("location"), "context", "severity", "captured_at"
     )
     return rows.withWatermark("captured_at", watermark).dropDuplicatesWithinWatermark(
-        ["target_id", "type", "value_masked"]
+        ["target_id", "type", "value_hash"]
     )
 
 

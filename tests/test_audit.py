@@ -123,8 +123,9 @@ def test_path_severity(spark, path, severity):
 
 def test_cookie_attributes(spark):
     rows = spark.createDataFrame(
-        [(1, "https://Shop.example.com/a/b?c", "sid=a=b; Domain=example.com; path=/x; SECURE; httponly; samesite=Lax"),
-         (2, "http://h/a/b/c", "k=v; Secured=no")], "target_id bigint, url string, set_cookie string")
+        [(1, 5, "https://Shop.example.com/a/b?c", "sid=a=b; Domain=example.com; path=/x; SECURE; httponly; samesite=Lax"),
+         (1, 3, "https://Shop.example.com/a/b?c", "sid=old; Domain=example.com; path=/x"),
+         (2, 1, "http://h/a/b/c", "k=v; Secured=no")], "target_id bigint, seq bigint, url string, set_cookie string")
     got = {r.target_id: r for r in cookies.cookie_parse(rows).collect()}
     assert (got[1].name, got[1].domain, got[1].path, got[1].secure, got[1].httponly, got[1].samesite) == (
         "sid", ".example.com", "/x", True, True, "Lax")
@@ -137,8 +138,9 @@ def test_script_findings_first_wins_and_cap(spark):
     rows = [(1, n, f"u{n}", text) for n in range(40)] + [(2, 0, "inline", text), (2, 1, "inline", text)]
     scripts = spark.createDataFrame(rows, "target_id bigint, seq bigint, url string, content string")
     got = javascript.js_dedup(javascript.js_findings(scripts))
-    assert got.filter("target_id = 1").count() == 50
-    assert [(r.pattern, r.context) for r in got.filter("target_id = 2").orderBy("n").collect()][1] == ("API Endpoint", "https://h/0")
+    assert got.filter("target_id = 1").count() == 80
+    assert javascript.js_dedup(javascript.js_findings(scripts), limit=50).filter("target_id = 1").count() == 50
+    assert [(r.pattern, r.context) for r in got.filter("target_id = 2").orderBy("seq", "ord").collect()][1] == ("API Endpoint", "https://h/0")
     assert got.filter("target_id = 2").count() == 2
 
 
@@ -169,9 +171,13 @@ def test_cluster_needs_a_shared_folder(spark):
     class Session:
         conf, sparkContext = spark.conf, Context
 
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        with pytest.raises(ValueError):
-            sinks.shared_folder(Session)
+    class Unset:
+        get = staticmethod(lambda key, default=None: default)
+
+    Session.conf = Unset
+    with pytest.raises(ValueError):
+        sinks.shared_folder(Session)
+    assert sinks.shared_folder(Session, "s3a://b/c").startswith("s3a://b/c/run-")
 
 
 def stream_rows(spark, path):

@@ -182,3 +182,49 @@ def test_only_line_feeds_end_a_line(resources):
     other = "paypal\nclient_id='" + "a" * 20 + "'"
     rows = found(sec.secret_matches(resources([paypal, other])))
     assert [t for t, r, _ in rows if r == "PayPal Client ID"] == [0]
+
+
+AWS, LAB = "AKIA" + "Q7ZK2M4N5P6R7S8T", "glpat-" + "aB3dE5fG7hJ9kL2mN4pQ"
+
+
+def test_no_raw_neighbour_in_a_context(resources):
+    rows = sec.secret_findings(resources([f"<i>{AWS}</i> <b>{LAB}</b> 10.1.2.3"])).collect()
+    assert len(rows) >= 3
+    assert not any(v in r.context for r in rows for v in (AWS, LAB, "10.1.2.3"))
+
+
+def test_a_cut_neighbour_is_hidden(resources):
+    text = f"{LAB} " + "x " * 35 + AWS + " y" * 35 + f" {LAB}"
+    [row] = [r for r in sec.secret_findings(resources([text])).collect() if r.type.startswith("AWS")]
+    assert not any(LAB[i : i + 10] in row.context for i in range(len(LAB) - 9))
+
+
+def test_all_matches_without_a_cap(resources):
+    text = " ".join(f"<i>10.{n // 250}.{n % 250}.7</i>" for n in range(400))
+    values = sec.secret_values(sec.secret_matches(resources([text])))
+    assert values.count() == 400
+    assert sum(r.n_values for r in sec.secret_findings(resources([text])).collect()) == 400
+    assert sec.secret_findings(resources([text]), cap=50).count() == 0
+
+
+def test_location_is_that_of_the_value(resources):
+    rows = resources([(1, "html", "HTML page", "<i>10.0.0.7</i>"), (1, "css", "m.css", "/* <i>10.0.0.9</i> */")])
+    [row] = sec.secret_findings(rows).collect()
+    assert (row.location, row.n_values) == ("HTML page", 2)
+    assert {(r.value_masked, r.location) for r in sec.secret_locations(sec.secret_matches(rows)).collect()} == {("10.0.0****", "HTML page"), ("10.0.0****", "m.css")}
+
+
+def test_rotated_values_with_one_mask_are_historical(resources):
+    live, old = (sec.secret_matches(resources([f"<i>redis://{w}pass@h/1</i>"])) for w in ("new", "old"))
+    assert [r.value_masked for r in sec.historical_only(live, old).collect()] == ["redis:****"]
+    assert sec.historical_only(live, live).count() == 0
+
+
+def test_rule_tables_are_as_reviewed():
+    import hashlib
+
+    from sitewarden.rules import builders, tech
+
+    tables = (rules.PATTERNS, tech.SIGNATURES, builders.SIGNATURES)
+    assert [len(t) for t in tables] == [42, len(tech.SIGNATURES), len(builders.SIGNATURES)]
+    assert hashlib.sha256(repr([list(t.items()) for t in tables]).encode()).hexdigest()[:16] == "6ee1eb41bf8214d9"

@@ -15,12 +15,6 @@ def test_report_lines(spark, tmp_path):
     assert [r.line for r in captured.read_text_lines(spark, str(tmp_path)).collect()] == ['{"target": 1}', "not json"]
 
 
-def test_spread_only_small_inputs(spark):
-    small, wide = spark.range(10).repartition(1), spark.range(10).repartition(16)
-    assert captured.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert captured.spread(wide) is wide
-
-
 def test_null_and_empty_texts_are_scanned(spark):
     from sitewarden.operators import secrets as sec
 
