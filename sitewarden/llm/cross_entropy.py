@@ -30,10 +30,10 @@ from sitewarden.llm.tables import run_folder, saved
 
 VOCABULARY, LONGEST_WORD, BACKOFF = 3_000, 64, 0.3
 #: A block ends with the document that brings it to this many tokens.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 START = 0  # the word before the first one; 1 is the unknown word
 
-BLOCKS = "block bigint, keys array<bigint>, lengths array<bigint>, pairs array<bigint>, in_all array<int>, in_target array<int>, at binary, times binary, ends binary"
+BLOCKS = "block bigint, keys array<bigint>, lengths array<bigint>, pairs array<bigint>, at binary, times binary, ends binary"
 
 
 def words_of(text: str) -> list[str]:
@@ -68,36 +68,32 @@ def pairs_of(ids: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, vocabulary: list[str], block_tokens: int) -> DataFrame:
-    """`docs` (row, text, chosen) as blocks with sparse counts of pairs per document."""
+    """`docs` (row, text) as blocks with sparse counts of pairs per document; texts are not shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number_of = {w: i + 2 for i, w in enumerate(held.value)}.get
         task, names = TaskContext.get().partitionId(), [f.split()[0] for f in BLOCKS.split(", ")]
-        rows: list[tuple[int, int, bool, np.ndarray, np.ndarray]] = []
+        rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         total, block = 0, 0
 
         def packed() -> pa.RecordBatch:
-            each = [r[3] for r in rows]
-            every = np.concatenate(each) if each else np.empty(0, np.int64)
-            times = np.concatenate([r[4] for r in rows])
-            pairs, at = np.unique(every, return_inverse=True)
-            chosen = np.repeat(np.array([r[2] for r in rows], dtype=bool), [len(e) for e in each])
-            in_all = np.bincount(at, times, len(pairs)).astype(np.int32)
-            in_target = np.bincount(at[chosen], times[chosen], len(pairs)).astype(np.int32)
+            each = [r[2] for r in rows]
+            times = np.concatenate([r[3] for r in rows])
+            pairs, at = np.unique(np.concatenate(each), return_inverse=True)
             ends = np.cumsum([len(e) for e in each])
             values = [
-                [task << 32 | block], [[r[0] for r in rows]], [[r[1] for r in rows]], [pairs], [in_all], [in_target],
-                [at.astype("<i4").tobytes()], [times.astype("<i4").tobytes()], [ends.astype("<i8").tobytes()],
+                [task << 32 | block], [[r[0] for r in rows]], [[r[1] for r in rows]], [pairs], [at.astype("<i4").tobytes()],
+                [times.astype("<i4").tobytes()], [ends.astype("<i8").tobytes()],
             ]
-            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.int32())] * 2, *[pa.binary()] * 3]
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            for row, text, chosen in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for row, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 ids = np.array([number_of(w, 1) for w in words_of(text or "")], dtype=np.int64)
                 pairs, times = np.unique(pairs_of(ids), return_counts=True) if len(ids) else (np.empty(0, np.int64), np.empty(0, np.int64))
-                rows.append((row, len(ids), bool(chosen), pairs, times))
+                rows.append((row, len(ids), pairs, times))
                 total += len(ids)
                 if total >= block_tokens or len(rows) >= block_tokens // 10:
                     yield packed()
@@ -105,7 +101,19 @@ def blocks(docs: DataFrame, vocabulary: list[str], block_tokens: int) -> DataFra
         if rows:
             yield packed()
 
-    return docs.select("row", "text", "chosen").mapInArrow(run, BLOCKS)
+    return docs.select("row", "text").mapInArrow(run, BLOCKS)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n, t) of a block: how often it has each pair, and how often in its chosen documents."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            at, times, ends = (np.frombuffer(batch.column(name)[k].as_py(), kind) for name, kind in (("at", "<i4"), ("times", "<i4"), ("ends", "<i8")))
+            pairs, chosen = batch.column("pairs")[k].values, np.zeros(len(ends), dtype=bool)
+            chosen[np.array(batch.column("chosen")[k].as_py() or [], dtype=np.int64)] = True
+            own = np.repeat(chosen, np.diff(ends, prepend=0))
+            sums = [np.bincount(at[m], times[m], len(pairs)).astype(np.int64) for m in (slice(None), own)]
+            yield pa.RecordBatch.from_arrays([pairs, *map(pa.array, sums)], ["pair", "n", "t"])
 
 
 def losses(counts: DataFrame, folder: str, vocabulary: int, backoff: float) -> DataFrame:
@@ -150,11 +158,15 @@ def score(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "
     spark: SparkSession = docs.sparkSession
     folder = run_folder(spark)
     words = vocabulary_of(docs, text, vocabulary)
-    target = chosen.select(F.col(key).cast("bigint").alias("__key")).where("__key IS NOT NULL").distinct().withColumn("chosen", F.lit(True))
-    rows = docs.select(F.col(key).cast("bigint").alias("row"), F.col(text).alias("text")).join(target, F.col("row") == F.col("__key"), "left")
-    cut = saved(blocks(rows.select("row", "text", F.coalesce("chosen", F.lit(False)).alias("chosen")), words, block_tokens), f"{folder}/blocks")
-    pairs = cut.select(F.explode(F.arrays_zip("pairs", "in_all", "in_target")).alias("p")).groupBy(F.col("p.pairs").alias("pair"))
-    counts = saved(pairs.agg(F.sum("p.in_all").alias("n"), F.sum("p.in_target").alias("t")), f"{folder}/counts")
+    target = chosen.select(F.col(key).cast("bigint").alias("row")).distinct()
+    rows = docs.select(F.col(key).cast("bigint").alias("row"), F.col(text).alias("text"))
+    cut = saved(blocks(rows, words, block_tokens), f"{folder}/blocks")
+    # The places of the chosen documents in their blocks; a block's size bounds them.
+    places = cut.select("block", F.posexplode("keys").alias("place", "row")).join(target, "row")
+    places = places.groupBy("block").agg(F.collect_list("place").alias("chosen"))
+    pairs = cut.select("block", "pairs", "at", "times", "ends").join(places, "block", "left")
+    pairs = pairs.select("pairs", "at", "times", "ends", "chosen").mapInArrow(counted, "pair bigint, n bigint, t bigint")
+    counts = saved(pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), f"{folder}/counts")
     found = cut.select("block", F.explode("pairs").alias("pair")).join(losses(counts, folder, vocabulary, backoff), "pair")
     # As many rows a group as a block has distinct pairs, which its size bounds.
     found = found.groupBy("block").agg(F.collect_list(F.struct("pair", "target", "background")).alias("found"))
