@@ -28,8 +28,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IDENTIFIER = r"(?<![A-Za-z0-9-])[A-Za-z-]*+[0-9][A-Za-z0-9-]*+"
-#: A label: one to three words and a colon, equals or number sign, at the end of the gap before a match.
-LABEL = r"([A-Za-z][A-Za-z._-]*(?:\x20[A-Za-z][A-Za-z._-]*){0,2}\x20?[:=#])[\x20\"']*$"
+#: A label: words and a colon, equals or number sign, at the end of the gap before a match. Its last word alone and its last
+#: three words are two patterns.
+LABELS = [rf"([A-Za-z][A-Za-z._-]*(?:\x20[A-Za-z][A-Za-z._-]*){{0,{more}}}\x20?[:=#])[\x20\"']*$" for more in (0, 2)]
 LABEL_CHARS, LEAST_CHARS = 80, 5
 
 ROUNDS, LEAST_SCORE, LEAST_SUPPORT = 3, 0.6, 3
@@ -75,12 +76,13 @@ def _when(condition: Column, spans: Column) -> Column:
     return F.when(condition, spans).otherwise(F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, value: string, left: string>>)"))
 
 
-def _label(left: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_replace(F.regexp_extract(left, LABEL, 1), r"\x20", " ")), F.lit(""))
+def _labels(left: Column) -> Column:
+    found = F.array(*[F.lower(F.regexp_extract(left, p, 1)) for p in LABELS])
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
 def base_and_candidates(docs: DataFrame, text: str) -> DataFrame:
-    """`docs` with `base` (kind, start, end, value, label), in order, and `candidates` of the same form outside of them."""
+    """`docs` with `base` (kind, start, end, value, labels), in order, and `candidates` of the same form outside of them."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     digit = body.rlike("[0-9]")
     found = {
@@ -92,11 +94,11 @@ def base_and_candidates(docs: DataFrame, text: str) -> DataFrame:
     }
 
     def kind(n: int) -> Column:
-        return F.transform(f"__{KINDS[n]}", lambda s: F.struct(s.start.alias("start"), F.lit(n).alias("n"), F.lit(KINDS[n]).alias("kind"), s.end.alias("end"), F.lower(s.value).alias("value"), _label(s.left).alias("label")))
+        return F.transform(f"__{KINDS[n]}", lambda s: F.struct(s.start.alias("start"), F.lit(n).alias("n"), F.lit(KINDS[n]).alias("kind"), s.end.alias("end"), F.lower(s.value).alias("value"), _labels(s.left).alias("labels")))
 
     rows = docs.withColumns({f"__{k}": v for k, v in found.items()})
     rows = rows.withColumn("__base", F.array_sort(F.concat(*[kind(n) for n in range(4)])))
-    rows = rows.withColumn("__candidates", F.filter(kind(4), lambda c: c.label.isNotNull()))
+    rows = rows.withColumn("__candidates", F.filter(kind(4), lambda c: F.size(c.labels) > 0))
     outside = lambda c: ~F.exists("__base", lambda b: (b.start < c.end) & (c.start < b.end))
     return rows.withColumn("__candidates", F.filter("__candidates", outside)).drop(*[f"__{k}" for k in KINDS])
 
@@ -127,15 +129,15 @@ def find_personal(
     rows = base_and_candidates(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]), text)
     rows = rows.select(*[F.col(f"`{c}`") for c in kept], "__base", "__candidates", F.monotonically_increasing_id().alias("__row"))
     rows = saved(rows, f"{folder}/rows")
-    seeds = rows.select(F.explode("__base").alias("s")).select(F.col("s.label").alias("pattern"), F.col("s.value").alias("instance"), F.lit(1).alias("seed"))
-    others = rows.select(F.explode("__candidates").alias("s")).select(F.col("s.label").alias("pattern"), F.col("s.value").alias("instance"), F.lit(0).alias("seed"))
-    edges = seeds.where("pattern IS NOT NULL").unionByName(others).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    seeds = rows.select(F.explode("__base").alias("s")).select(F.explode("s.labels").alias("pattern"), F.col("s.value").alias("instance"), F.lit(1).alias("seed"))
+    others = rows.select(F.explode("__candidates").alias("s")).select(F.explode("s.labels").alias("pattern"), F.col("s.value").alias("instance"), F.lit(0).alias("seed"))
+    edges = seeds.unionByName(others).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = saved(edges, f"{folder}/edges")
     good = scored_patterns(edges, folder, rounds).where((F.col("score") >= least_score) & (F.col("support") >= least_support))
     # Only rows with candidates take part in the join; the others, and their texts, are not shuffled.
     with_candidates = rows.where(F.size("__candidates") > 0)
-    discovered = with_candidates.select("__row", F.explode("__candidates").alias("s")).join(good.select("pattern"), F.col("s.label") == F.col("pattern"))
-    discovered = discovered.groupBy("__row").agg(F.collect_list("s").alias("__found"))
+    discovered = with_candidates.select("__row", F.explode("__candidates").alias("s")).select("__row", "s", F.explode("s.labels").alias("pattern"))
+    discovered = discovered.join(good.select("pattern"), "pattern").groupBy("__row").agg(F.collect_set("s").alias("__found"))
     none = F.slice("__candidates", 1, 0)
     joined = with_candidates.join(discovered, "__row", "left").withColumn("__found", F.coalesce("__found", none))
     joined = joined.unionByName(rows.where(F.size("__candidates") == 0).withColumn("__found", none))
