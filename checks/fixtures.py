@@ -124,7 +124,7 @@ RELATIONS = {
         " UNION ALL SELECT page_id, '/graphql', 200, 'application/json', CASE WHEN page_id % 2 = 0 THEN '{\"data\":{\"__schema\":{\"queryType\":{\"name\":\"Query\"}}}}' ELSE '{\"errors\":[]}' END FROM pages"
     ),
     "cert": (
-        "SELECT page_id AS target_id, CASE WHEN page_id % 8 = 0 THEN 'ERROR' ELSE 'VALID' END AS status, 'CN=Test CA' AS issuer, 'Jan  1 00:00:00 2024 GMT' AS not_before,"
+        "SELECT page_id AS target_id, CASE WHEN page_id % 8 = 0 THEN 'ERROR' ELSE 'VALID' END AS status, CASE WHEN page_id % 8 = 0 THEN 'timed out' END AS error, 'CN=site' || cast(page_id as string) AS subject, 'TLSv1.3' AS version, 'A0' || cast(page_id as string) AS serial, 'CN=Test CA' AS issuer, 'Jan  1 00:00:00 2024 GMT' AS not_before,"
         " 'Jan  1 00:00:00 2025 GMT' AS not_after, 'alt' || cast(n as string) || '.example.com' AS alt_name, cast(n as bigint) AS pos FROM numbered WHERE n < 12"
     ),
     "dns_record": (
@@ -148,6 +148,7 @@ RELATIONS = {
         f"SELECT page_id AS target_id, cast(0 as bigint) AS seq, 'inline' AS url, 'var a=1;eval(a);document.cookie;fetch(\"https://api.example.com/' || {ID} || '\");fetch(\"/local\");' AS content FROM pages"
         f" UNION ALL SELECT page_id, cast(1 as bigint), 'https://x.example.com/_next/static/b/_buildManifest.js', 'self.__M={{\"/\":[\"/_next/static/chunks/' || {ID} || '.js\",\"static/css/m.css\"],\"/a\":[\"c2.js\",\"http://h.example.com/z.js\"]}}' FROM pages"
         " UNION ALL SELECT page_id, cast(2 as bigint), 'https://x.example.com/m.js', 'import(\"/static/chunks/k' || cast(page_id % 5 as string) || '.js\");load(''/_next/static/css/s.css'');el.innerHTML=q;r.open(\"POST\",\"https://b.example.com/p\");window.location=u;eval(b)' FROM pages WHERE page_id % 2 = 0"
+        " UNION ALL SELECT page_id, cast(3 as bigint), 'https://x.example.com/n.js', '// see https://github.com/acme/script-' || cast(page_id % 9 as string) || ' built with lovable.dev, framerusercontent.com' FROM pages WHERE page_id % 3 = 0"
     ),
     "tool_report": (
         "SELECT page_id AS target_id, 'wp' AS tool, CASE page_id % 4 WHEN 0 THEN '{\"target\":\"t\",\"vulnerabilities\":[{\"title\":\"V1\",\"description\":\"d\",\"references\":{\"url\":[\"http://r\"]}}],\"plugins\":{\"p1\":{\"vulnerabilities\":[{\"title\":\"PV\",\"description\":\"pd\"}]},\"p2\":{}}}'"
@@ -171,6 +172,7 @@ RELATIONS["build_script"] = (
 RELATIONS["linked_pages"] = (
     "SELECT page_id, url, html || '<a href=\"https://github.com/acme/app-' || cast(page_id % 4 as string) || '\">r</a>'"
     " || CASE WHEN page_id % 4 = 0 THEN '<a href=\"https://github.com/acme/lib.js\">l</a>' ELSE '' END AS html FROM pages WHERE page_id % 2 = 0"
+    " UNION ALL SELECT page_id, url, html FROM pages WHERE page_id % 2 <> 0"
 )
 
 # ``numbered``: every page with the 25 keys of ``nation`` (0..24).

@@ -233,6 +233,21 @@ CTE["repos"] = (
     f"SELECT DISTINCT page_id AS target_id, unnest(regexp_extract_all(html, {s(tech.REPO_LINK)}, 0)) AS repo FROM planted_pages"
 )
 
+CTE["repos_all"] = (
+    f"SELECT * FROM repos UNION SELECT target_id, unnest(regexp_extract_all(content, {s(tech.REPO_LINK)}, 0)) FROM resource_js"
+)
+# Builders in pages, headers, addresses and scripts.
+CTE["all_hits"] = (
+    "SELECT target_id, source, tool, n, pattern, text, regexp_extract(text, '(?i)' || pattern, 0) AS value,"
+    " length(regexp_split_to_array(text, '(?i)' || pattern)[1]) AS start FROM"
+    " (SELECT * FROM texts UNION ALL SELECT target_id, 3, content FROM resource_js) JOIN builder_rules ON regexp_matches(text, '(?i)' || pattern)"
+)
+CTE["builders_all"] = (
+    "SELECT target_id, tool, pattern AS matched_pattern, "
+    + line("substr(text, (greatest(start - 40, 0) + 1)::BIGINT, (start + length(value) + 40 - greatest(start - 40, 0))::BIGINT)")
+    + " AS evidence FROM all_hits QUALIFY row_number() OVER (PARTITION BY target_id, tool ORDER BY n, source, evidence) = 1"
+)
+
 CTE["linked_repos"] = (
     f"SELECT DISTINCT page_id AS target_id, unnest(regexp_extract_all(html, {s(tech.REPO_LINK)}, 0)) AS repo FROM linked_pages"
 )
@@ -445,7 +460,7 @@ CTE["git_seen"] = (
     " 'github_detected' AS type FROM linked_repos WHERE target_id NOT IN (SELECT target_id FROM git_findings) GROUP BY target_id"
 )
 
-CTE["audit_git_seen"] = CTE["git_seen"].replace("linked_repos", "repos")
+CTE["audit_git_seen"] = CTE["git_seen"].replace("linked_repos", "repos_all")
 
 # --- roll-up -------------------------------------------------------------------------------------
 
@@ -453,7 +468,7 @@ _SHAPES = [
     ("transport", "status", "severity", "url", "NULL", "unsafe"),
     ("headers", "'Missing header'", "severity", "header", "patch", "(SELECT * FROM audited WHERE status = 'MISSING')"),
     ("header_leaks", "'Header disclosure'", "'LOW'", "header", "value", "told"),
-    ("builders", "tool", "'INFO'", "matched_pattern", "evidence", "builders"),
+    ("builders", "tool", "'INFO'", "matched_pattern", "evidence", "builders_all"),
     ("secrets", "type", "severity", "location", "value_masked", "inner_findings"),
     ("paths", "'Exposed path'", "severity", "path", "snippet", "exposed"),
     ("cookies", "'Cookie issue'", "'MEDIUM'", "name", "issue", "cookie_issues"),
@@ -557,6 +572,8 @@ FINAL: dict[str, str] = {
         " OR page_id IN (SELECT target_id FROM metas WHERE gen GROUP BY target_id HAVING contains(lower(arg_min(content, pos)), 'wordpress')) AS wordpress FROM pages"
     ),
     "repo_links": "SELECT target_id, repo FROM repos",
+    "repo_links_all": "SELECT target_id, repo FROM repos_all",
+    "builder_detect_all": "SELECT * FROM builders_all",
     "tech_category": "SELECT target_id, CASE " + " ".join(
         f"WHEN technology IN ({', '.join(s(x) for x in names)}) THEN {s(cat)}" for cat, names in tech.CATEGORIES.items()
     ) + " ELSE 'Other' END AS category, string_agg(technology, ', ' ORDER BY technology) AS technologies FROM technologies GROUP BY ALL",
@@ -569,7 +586,8 @@ FINAL: dict[str, str] = {
     "header_info_leak": "SELECT * FROM told",
     "transport_audit": "SELECT * FROM unsafe",
     "cert_inventory": (
-        "SELECT target_id, status, max(CASE status WHEN 'VALID' THEN issuer END) AS issuer, max(CASE status WHEN 'VALID' THEN not_before END) AS not_before,"
+        "SELECT target_id, status, max(CASE status WHEN 'VALID' THEN subject END) AS subject, max(CASE status WHEN 'VALID' THEN version END) AS version, max(CASE status WHEN 'VALID' THEN serial END) AS serial,"
+        " max(CASE status WHEN 'VALID' THEN NULL ELSE error END) AS error, max(CASE status WHEN 'VALID' THEN issuer END) AS issuer, max(CASE status WHEN 'VALID' THEN not_before END) AS not_before,"
         " max(CASE status WHEN 'VALID' THEN not_after END) AS not_after, string_agg(CASE status WHEN 'VALID' THEN alt_name END, ', ' ORDER BY pos) AS alt_names"
         " FROM cert GROUP BY target_id, status"
     ),

@@ -308,6 +308,20 @@ def repo_links(i):
     return fingerprint.repo_links(i.planted_pages)
 
 
+@query
+def repo_links_all(i):
+    return fingerprint.repo_links(i.planted_pages, i.resource_js)
+
+
+@query
+def builder_detect_all(i):
+    """Builders in script bodies too."""
+    return fingerprint.builder_detect(
+        fingerprint.page_texts(i.planted_pages), fingerprint.header_texts(i.http_header),
+        fingerprint.address_texts(i.page_meta), fingerprint.script_texts(i.resource_js),
+    )
+
+
 @query
 def tech_category(i):
     return fingerprint.tech_category(i.technologies)

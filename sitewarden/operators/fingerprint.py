@@ -105,8 +105,11 @@ def wordpress_flag(targets: DataFrame, metas: DataFrame, technologies: DataFrame
     )
 
 
-def repo_links(pages: DataFrame) -> DataFrame:
-    return repo_rows_of(pages.select(F.col("page_id").alias("target_id"), repos(F.col("html")).alias("repos")))
+def repo_links(pages: DataFrame, *bodies: DataFrame) -> DataFrame:
+    """Repository links of pages and, if given, of script and style bodies ``(target_id, content)``."""
+    texts = pages.select(F.col("page_id").alias("target_id"), F.col("html").alias("content"))
+    texts = _union([texts, *[b.select("target_id", "content") for b in bodies]])
+    return repo_rows_of(texts.select("target_id", repos(F.col("content")).alias("repos")))
 
 
 def repo_rows_of(parsed: DataFrame, limit: int | None = None) -> DataFrame:
@@ -143,7 +146,7 @@ def with_evidence(text: Column, hits: Column) -> Column:
 
 
 def builder_detect(*texts: DataFrame) -> DataFrame:
-    """One row per builder: its first fingerprint in list order, page before headers before address."""
+    """One row per builder: its first fingerprint in list order, page before headers, address and script bodies."""
     return best_builders(_union([builder_hits(t) for t in texts]))
 
 

@@ -76,7 +76,8 @@ def cert_inventory(certs: DataFrame) -> DataFrame:
     """One row per target with the alternative names of its certificate; fields only of valid certificates."""
     valid = F.col("status") == "VALID"
     return certs.groupBy("target_id", "status").agg(
-        *[F.max(F.when(valid, F.col(c))).alias(c) for c in ("issuer", "not_before", "not_after")],
+        *[F.max(F.when(valid, F.col(c))).alias(c) for c in ("subject", "issuer", "not_before", "not_after", "version", "serial")],
+        F.max(F.when(~valid, F.col("error"))).alias("error"),
         F.when(valid, ordered_text(F.struct("pos", F.col("alt_name").alias("text")), ", ")).alias("alt_names"),
     )
 

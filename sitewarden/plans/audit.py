@@ -93,7 +93,7 @@ def facts(resources: DataFrame) -> DataFrame:
         "content",
         MARK,
         matching.credential_matches("content").alias("_matches"),
-        F.when(page, matching.builder_patterns("content")).alias("_builders"),
+        matching.builder_patterns("content").alias("_builders"),
         given(config_words, leaks.config_blobs(content, F.lower(content)), page).alias("_blobs"),
     )
     return matched.select(
@@ -109,7 +109,7 @@ def facts(resources: DataFrame) -> DataFrame:
         given(leak_rules.ERROR_WORDS, leaks.debug_texts(content), page).alias("debug_texts"),
         given(["<form"], forms.parse(content), page).alias("forms"),
         given(["<meta"], fingerprint.metas(content), page).alias("metas"),
-        given(["github.com/"], fingerprint.repos(content), page).alias("repos"),
+        given(["github.com/"], fingerprint.repos(content)).alias("repos"),
         given([*js_rules.SINKS, "fetch", ".open"], javascript.script_findings(content), script).alias("script_findings"),
         given(["__next_data__"], acq.build_id(content), script).alias("build_id"),
         given(["/static/"], acq.static_references(content), script).alias("refs"),
@@ -214,7 +214,8 @@ def run(captured: Captured, folder: str) -> Audit:
     pages = own.filter(F.col("kind") == "html")  # pages are never reached as bodies
 
     technologies = pages.select("target_id", F.explode("technologies").alias("technology"))
-    builders = pages.select("target_id", F.lit(0).alias("source"), F.inline("builders"))
+    place = F.when(F.col("kind") == "html", F.lit(0)).otherwise(F.lit(3)).alias("source")
+    builders = found.select("target_id", place, F.inline("builders"))
     if captured.http_header is not None:
         texts = fingerprint.header_texts(captured.http_header)
         technologies = technologies.unionByName(fingerprint.tech_detect(texts))
@@ -243,7 +244,7 @@ def run(captured: Captured, folder: str) -> Audit:
     if captured.tool_report is not None:
         wp = tools.wp_report_findings(captured.tool_report)
         git = tools.git_report_findings(captured.tool_report)
-        repos = fingerprint.repo_rows_of(pages.select("target_id", "repos"))
+        repos = fingerprint.repo_rows_of(found.select("target_id", "repos"))
         modules["wp"] = wp.unionByName(tools.wp_report_clean(captured.tool_report, wp))
         modules["git"] = git.unionByName(tools.git_report_fallback(repos, git))
     return Audit(targets, found, folder, modules, technologies.distinct())
