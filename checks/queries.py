@@ -597,9 +597,8 @@ def module_error_rows(i):
 # --- streaming -----------------------------------------------------------------------------------
 
 
-@query
-def scan_stream(i):
-    """The credential scan as a stream over the page files, read back from its sink."""
+def drained(i: Inputs) -> DataFrame:
+    """The findings of the stream over the page files, read back from its sink."""
     files = (
         i.spark.readStream.schema(i.pages.schema).option("pathGlobFilter", "pages.parquet").parquet(i.sf_dir)
     )
@@ -609,8 +608,18 @@ def scan_stream(i):
     rows = page_resources(planted, "captured_at")
     folder = sinks.shared_folder(i.spark)
     stream.drain(stream.scan_stream(rows, "1 day"), f"{folder}/findings", f"{folder}/progress")
-    found = i.spark.read.parquet(f"{folder}/findings")
-    return found.select("target_id", "type", "value_masked", "location", "context", "severity")
+    return i.spark.read.parquet(f"{folder}/findings")
+
+
+@query
+def scan_stream(i):
+    return drained(i).select("target_id", "type", "value_masked", "location", "context", "severity")
+
+
+@query
+def severity_windows(i):
+    rows = stream.severity_windows(drained(i), "1 hour")
+    return rows.select(F.unix_timestamp("start").alias("start"), "severity", "n")
 
 
 QUERIES["page_source"] = QUERIES.pop("page_source_")
