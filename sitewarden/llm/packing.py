@@ -34,6 +34,8 @@ CAPACITY, STEP = 1024, 4
 #: Column generation stops when the proven gap to the best possible number of sequences is below this share.
 GAP = 0.001
 CLOSING_ID = 0
+#: Entries of the table of known parts; one Python worker runs on a core here.
+KNOWN_PARTS = 1_000_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, class int, place bigint"
 
@@ -49,7 +51,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.coder = PartCoder(self._parts)
+        self.coder = PartCoder(self._parts, KNOWN_PARTS)
 
     @classmethod
     def of(cls, path: str) -> Tokens:

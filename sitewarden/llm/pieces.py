@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Entries of a worker's table of known parts; beyond it the table is emptied. Bounds memory, never changes results.
-KNOWN_PARTS = 1_000_000
+KNOWN_PARTS = 600_000
 #: Longer parts are encoded each time and not kept.
 KEPT_CHARS = 64
 MARKS = (",", ".")
@@ -31,8 +31,8 @@ def parts_of(text: str) -> list[str]:
 class PartCoder:
     """Little-endian 32-bit ids of whole texts from ids of parts, each distinct part encoded about once per worker."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int | None = None):
+        self.encode, self.most = encode, most or KNOWN_PARTS
         self.known: dict[str, bytes] = {}  # of a word that follows a blank
         self.marks: dict[str, bytes] = {}
         self.odd: set[str] = set()  # words that may have to be joined to the part before them
@@ -40,7 +40,7 @@ class PartCoder:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Makes the usual words known; returns the ids of the long ones."""
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_PARTS:
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
             self.odd.clear()
             new = list(words)
