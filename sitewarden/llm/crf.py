@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_CLASS, LONGEST = 1500, 20_000
+ROWS_PER_CLASS, LONGEST = 1200, 20_000
 #: A cue stands in at least this many contexts of toxic documents, and is this much more frequent there (log odds).
 CUE_CONTEXTS, CUE_ODDS = 8, 2.5
 #: Messages run over stretches of SPAN tokens with OVERLAP tokens on both sides; the chain forgets much faster.
 SPAN, OVERLAP = 384, 48
+ROWS = 512
 STEPS, RATE, DECAY = 60, 0.25, 1e-3
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -78,8 +78,8 @@ def expected(emissions: np.ndarray, lengths: np.ndarray, transitions) -> tuple[n
         return out, pairs
     first, chain = np.concatenate(first), np.concatenate(chain)
     width = SPAN + 2 * OVERLAP
-    for k in range(0, len(first), 2048):
-        f, c = first[k : k + 2048, None], chain[k : k + 2048]
+    for k in range(0, len(first), ROWS):
+        f, c = first[k : k + ROWS, None], chain[k : k + ROWS]
         low, high = np.maximum(f - OVERLAP, c[:, :1]), np.minimum(f + SPAN + OVERLAP, c[:, 1:])
         at = low + np.arange(min(width, int((high - low).max())))
         real = at < high
@@ -95,17 +95,24 @@ def expected(emissions: np.ndarray, lengths: np.ndarray, transitions) -> tuple[n
     return out, pairs
 
 
-def cues(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Word types that mark toxic documents, by the contexts they stand in."""
-    seen = [defaultdict(set), defaultdict(set)]
-    for words, y in zip(texts, toxic, strict=True):
-        for i, w in enumerate(words):
-            seen[int(y)][w].add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-    size = [sum(map(len, s.values())) + 1 for s in seen]
-    return {
-        w for w, contexts in seen[1].items()
-        if len(contexts) >= CUE_CONTEXTS and math.log((len(contexts) + 0.5) / size[1]) - math.log((len(seen[0].get(w, ())) + 0.5) / size[0]) >= CUE_ODDS
-    }
+def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the words of all texts one after the other as numbers, and how many each text has."""
+    number: dict[str, int] = {}
+    rows = [np.array([number.setdefault(w.lower(), len(number)) for w in TOKEN.findall(t)], dtype=np.int64) for t in texts]
+    return list(number), np.concatenate(rows), np.array([len(r) for r in rows])
+
+
+def cues(word_at: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Which word types mark toxic documents, by the number of different contexts they stand in."""
+    inner = np.ones(len(word_at), dtype=bool)
+    inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # first words have nothing before them
+    before = np.where(inner, np.roll(word_at, 1), -1) + 1
+    after = np.where(np.roll(inner, -1), np.roll(word_at, -1), -1) + 1
+    key = (word_at * (size + 1) + before) * (size + 1) + after
+    of_toxic = np.repeat(toxic > 0, lengths)
+    counts = [np.bincount(np.unique(key[m]) // (size + 1) ** 2, minlength=size) for m in (of_toxic, ~of_toxic)]
+    odds = [np.log((c + 0.5) / (c.sum() + 1)) for c in counts]
+    return (counts[0] >= CUE_CONTEXTS) & (odds[0] - odds[1] >= CUE_ODDS)
 
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -134,16 +141,15 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         share = (float((weight * toxic).sum()) + 0.5) / (float(weight.sum()) + 1) if len(toxic) else 0.0
         model.document = (math.log(share / (1 - share)) if share else -30.0, 0.0, 0.0, 0.0)
         return model
-    tokens = [[w.lower() for w in TOKEN.findall(t)] for t in texts]
-    marked = cues(tokens, toxic)
-    lengths = np.array([len(t) for t in tokens])
-    flat = [w for t in tokens for w in t]
-    label = np.array([w in marked for w in flat], dtype=float) * np.repeat(toxic, lengths)
-    words, word_at = np.unique(np.array(flat), return_inverse=True)
-    prefixes, prefix_of = np.unique(np.array([w[:4] for w in words]), return_inverse=True)
-    prefix_at = prefix_of[word_at]
+    words, word_at, lengths = numbered(texts)
+    if not len(word_at):
+        return fit([], toxic[:0], weight[:0])
+    label = cues(word_at, lengths, toxic, len(words))[word_at] * np.repeat(toxic, lengths)
+    number: dict[str, int] = {}
+    prefix_at = np.array([number.setdefault(w[:4], len(number)) for w in words])[word_at]
+    prefixes = list(number)
     # Gradient per feature, scaled by how often it occurs; a chain end cuts the transitions.
-    last = np.zeros(len(flat), dtype=bool)
+    last = np.zeros(len(word_at), dtype=bool)
     last[np.cumsum(lengths[lengths > 0]) - 1] = True
     inner = ~last[:-1]
     word_w, prefix_w, bias, trans = np.zeros(len(words)), np.zeros(len(prefixes)), -2.0, np.zeros(4)
@@ -157,9 +163,9 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
         bias += RATE * off.mean() * 10
         trans += RATE * (seen - pairs) / max(1.0, seen[1] + seen[3]) * 0.2 - DECAY * trans
     common = np.abs(word_w) > 0.05
-    model.words = dict(zip(words[common].tolist(), word_w[common].tolist(), strict=True))
+    model.words = {words[i]: float(word_w[i]) for i in np.flatnonzero(common)}
     common = np.abs(prefix_w) > 0.02
-    model.prefixes = dict(zip(prefixes[common].tolist(), prefix_w[common].tolist(), strict=True))
+    model.prefixes = {prefixes[i]: float(prefix_w[i]) for i in np.flatnonzero(common)}
     model.bias, model.transitions = float(bias), tuple(trans.tolist())
     emissions = np.array([model.emission(w) for w in words])[word_at]
     model.document = tuple(logistic(summary(expected(emissions, lengths, trans)[0], lengths), toxic, weight).tolist())

@@ -38,7 +38,7 @@ WORDS, PERCENT = 5, 80
 COUNTED = 0.3
 #: A group holds about this many members and shingles at most.
 MEMBERS, SHINGLES = 64, 40_000
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 #: Bits of the filter that keeps sets without a partner out of the second shuffle; a fixed bound of 2 MB, never a limit on rows.
 FILTER_BITS = 1 << 24
 

@@ -35,7 +35,7 @@ CAPACITY, STEP = 1024, 4
 GAP = 0.001
 CLOSING_ID = 0
 #: Entries of the table of known parts; one Python worker runs on a core here.
-KNOWN_PARTS = 1_000_000
+KNOWN_PARTS = 700_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, class int, place bigint"
 
