@@ -165,8 +165,7 @@ def test_builder_takes_the_first_fingerprint_of_the_list(spark):
 
 def test_repositories_and_later_metas(pages):
     given = pages([" ".join(f"github.com/o/r{n}" for n in (5, 1, 3, 2, 1)) + "<meta name=a content=1><meta name=a content=2>"])
-    assert [r.repo for r in fingerprint.repo_links(given).orderBy("n").collect()] == [
-        "github.com/o/r1", "github.com/o/r2", "github.com/o/r3"]
+    assert [r.repo for r in fingerprint.repo_links(given).orderBy("repo").collect()] == [f"github.com/o/r{n}" for n in (1, 2, 3, 5)]
     assert [(r.name, r.content) for r in fingerprint.meta_extract(fingerprint.page_metas(given)).collect()] == [("a", "2")]
 
 
