@@ -34,7 +34,7 @@ def site(spark):
         (1, f"{root}/m.css", 404, TOKEN["f"]),
         (1, f"{root}/_next/static/b1/_buildManifest.js", 200, "[\"static/c1.js\",\"short.js\"]"),
         (1, f"{root}/_next/static/c1.js", 200, f"'/_next/static/css/s.css' {TOKEN['c']}" + LONG),
-        (1, f"{root}/_next/static/short.js", 200, TOKEN["f"]),
+        (1, f"{root}/_next/static/short.js", 200, TOKEN["f"].replace("f" * 6, "g" * 6)),
         (1, f"{root}/static/chunks/k.js", 200, TOKEN["d"] + LONG),
         (1, f"{root}/_next/static/css/s.css", 200, TOKEN["e"] + LONG),
         (1, f"{root}/unknown.js", 200, TOKEN["f"] + LONG),
@@ -54,6 +54,7 @@ def test_frontier_reaches_two_steps_and_no_further(site):
     assert places == {
         "a" * 6: "HTML page", "b" * 6: f"{root}/a.js", "c" * 6: f"{root}/_next/static/c1.js",
         "d" * 6: f"{root}/static/chunks/k.js", "e" * 6: f"{root}/_next/static/css/s.css",
+        "g" * 6: f"{root}/_next/static/short.js",
     }
     assert [r.pattern for r in result.modules["js"].collect()] == ["eval("]
 
