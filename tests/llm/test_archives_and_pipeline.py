@@ -121,6 +121,33 @@ def test_cross_entropy(spark, block_tokens):
     assert np.mean([got[i] for i, _ in rows[:60] if i % 2]) < np.mean([got[i] for i, _ in rows[:60] if not i % 2])
 
 
+@pytest.mark.parametrize("block_tokens", [400, 2_000_000])
+def test_all_words_are_known(spark, block_tokens):
+    """More words than any bound that was set before; rare words tell the target apart."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"common{rng.integers(5)} rare{i % 2}x{rng.integers(4000)}" for _ in range(150))) for i in range(80)] + [(90, "L" * 100 + " end"), (91, None)]
+    chosen = {i for i, _ in rows if i % 2}
+    counts = Counter(w for _, t in rows for w in (t or "").lower().split())
+    words = {i: (t or "").lower().split() for i, t in rows}
+    assert len(counts) > 5000
+
+    def model(of):
+        both = Counter(p for i in of for p in zip(["", *words[i]], words[i], strict=False))
+        first, word = Counter(), Counter()
+        for (a, b), n in both.items():
+            first[a] += n
+            word[b] += n
+        total, backoff = sum(word.values()), cross_entropy.BACKOFF
+        return lambda a, b: -math.log((1 - backoff) * (both[a, b] / first[a] if first[a] else 0) + backoff * (word[b] + 1) / (total + len(counts)))
+
+    target, background = model(chosen), model(set(words))
+    want = {i: sum(target(*p) - background(*p) for p in zip(["", *w], w, strict=False)) / max(len(w), 1) for i, w in words.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in cross_entropy.score(docs, docs.where("doc_id % 2 = 1"), block_tokens=block_tokens).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert max(got[i] for i in range(1, 80, 2)) < min(got[i] for i in range(0, 80, 2))
+
+
 def test_cross_entropy_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     assert cross_entropy.score(docs.limit(0), docs).count() == 0
