@@ -82,12 +82,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with an id divisible by 50 are also searched: n_near counts the other fingerprints within the radius."""
+    """Rows with an id divisible by 50 are also searched: n_near counts the other documents within the radius, copies too.
+
+    `near` has the fingerprints found and their distances, nearest first, once for a fingerprint: where its smallest id is.
+    Which documents they stand for is told by `fingerprint`.
+    """
     made = simhash.fingerprint_table(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = made.withColumnRenamed("text_fingerprint", "fingerprint")
-    near = simhash.within_radius(rows.where("key % 50 = 0"), rows).groupBy("query").agg((F.count("*") - 1).alias("n_near"))
+    rows = saved(made.withColumnRenamed("text_fingerprint", "fingerprint"), f"{run_folder(spark)}/rows")
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    searched = rows.where("key % 50 = 0")
+    members = rows.groupBy(F.col("fingerprint").alias("found")).agg(F.count("*").alias("n"))
+    pairs = simhash.within_radius(searched, rows, simhash.NEAR_RADIUS).join(members, "found")
+    near = pairs.groupBy("query").agg((F.sum("n") - 1).alias("n_near"), F.array_sort(F.collect_list(F.when(F.col("query") != F.col("found"), F.struct("distance", text("found").alias("found"))))).alias("near"))
+    near = near.join(searched.groupBy(F.col("fingerprint").alias("query")).agg(F.min("key").alias("at")), "query")
     rows = rows.withColumn("query", F.when(F.col("key") % 50 == 0, F.col("fingerprint"))).join(near, "query", "left")
+    found = F.array_join(F.transform("near", lambda x: F.concat_ws(":", x.found, x.distance.cast("string"))), ",")
     return rows.select(
         F.col("key").alias("doc_id"),
         "n_chars",
@@ -97,6 +106,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.likeness(F.col("fingerprint"), F.col("edited_text_fingerprint")).alias("near_edited"),
         simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         "n_near",
+        F.when(F.col("key") == F.col("at"), found).alias("near"),
     )
 
 

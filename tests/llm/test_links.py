@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from sitewarden.llm import components, group_matrix, projections, simhash
+from sitewarden.llm import components, group_matrix, projections, queries, simhash
 
 
 def smallest(nodes, links):
@@ -221,3 +221,51 @@ def test_radius_search(spark):
     queries = spark.createDataFrame([(x,) for x in base], "fingerprint long")
     got = {(r.query, r.found) for r in simhash.within_radius(queries, table).collect()}
     assert got == {(q, f) for q in base for f in near if bin((q ^ f) % (1 << 64)).count("1") <= 3}
+
+
+def test_radius_search_of_texts(spark):
+    """Texts edited up to a Jaccard index of 0.8 of their 5-word shingles are found; brute force gives the same pairs."""
+    rng = np.random.default_rng(2)
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    texts, edits = {}, []
+    for i in range(120):
+        words = [f"w{n}" for n in rng.integers(0, 20_000, 200)]
+        for kind, at in (("apart", range(20, 180, 40)), ("passage", range(60, 77)), ("added", range(200, 249))):
+            edited = words + ["x"] * (len(at) if kind == "added" else 0)
+            for k in at:
+                edited[k] = f"new{rng.integers(10**9)}"
+            a, b = shingles(words), shingles(edited)
+            assert 0.8 <= len(a & b) / len(a | b) < 0.83
+            edits.append((kind, 10 * i, 10 * i + len(edits) % 3 + 1))
+            texts[edits[-1][2]] = " ".join(edited)
+        texts[10 * i] = " ".join(words)
+    table = spark.createDataFrame(list(texts.items()), "k long, t string").repartition(4)
+    rows = simhash.fingerprints(table, ["k"], ["t"]).select("k", F.col("t_fingerprint").alias("fingerprint")).cache()
+    print_of = {r.k: r.fingerprint for r in rows.collect()}
+    got = {(r.query, r.found): r.distance for r in simhash.within_radius(rows.where("k % 10 = 0"), rows, simhash.NEAR_RADIUS).collect()}
+    distance = lambda a, b: bin((a ^ b) % (1 << 64)).count("1")
+    want = {(print_of[q], f): distance(print_of[q], f) for q in texts if q % 10 == 0 for f in print_of.values()}
+    assert got == {pair: d for pair, d in want.items() if d <= simhash.NEAR_RADIUS}
+    for kind, least in (("apart", 0.97), ("passage", 0.9), ("added", 0.9)):
+        assert np.mean([(print_of[a], print_of[b]) in got for k, a, b in edits if k == kind]) >= least
+
+
+def test_pairs_once_for_any_radius(spark):
+    rng = np.random.default_rng(6)
+    prints = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 30)] + [0, -1, 1, 7, 1 << 62, -(1 << 63)]
+    table = spark.createDataFrame([(x,) for x in prints] * 2, "fingerprint long")
+    for radius, blocks in ((0, 4), (2, 4), (5, 3), (9, 5), (11, 4)):
+        got = sorted((r.query, r.found) for r in simhash.within_radius(table, table, radius, blocks).collect())
+        assert got == sorted((a, b) for a in prints for b in prints if bin((a ^ b) % (1 << 64)).count("1") <= radius)
+
+
+def test_near_copies_come_with_their_documents(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    words = [f"w{n}" for n in rng.integers(0, 20_000, 200)]
+    texts = {50: words, 1: words, 100: words, 2: [*words[:100], "other", *words[101:]], 3: [*words[:100], "other", *words[101:]], 150: [f"v{n}" for n in range(200)]}
+    spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op9_simhash(spark, str(tmp_path)).collect()}
+    assert {k: r.n_near for k, r in rows.items()} == {50: 4, 100: 4, 150: 0, 1: None, 2: None, 3: None}
+    [(found, distance)] = [x.split(":") for x in rows[50].near.split(",")]
+    assert {k for k, r in rows.items() if r.fingerprint == found} == {2, 3} and 0 < int(distance) <= simhash.NEAR_RADIUS
+    assert rows[100].near is None and rows[150].near == "" and rows[1].near is None
