@@ -1,8 +1,9 @@
 """Personal data by patterns, and by contexts learned from them, with SQL functions only.
 
 Four base kinds are found by pattern and checked (address parts, Luhn sum, number of digits). They seed a bootstrap: the
-label in front of a find ("Phone:", "customer no. =") is a lexical pattern; every identifier (a run of letters, digits
-and hyphens with a digit in it) behind a label is an instance. Patterns and instances form a graph that is scored in
+label in front of a find ("Phone:", "customer no. ="), the last one, two and three words in front of it ("call me at") and
+the word behind it are lexical patterns; every identifier (a run of letters, digits and hyphens with a digit in it) in such a
+place is an instance. Patterns and instances form a graph that is scored in
 rounds: a pattern is as good as the mean of its distinct instances, an instance as good as at least one of its patterns;
 seeds stay at 1. Identifiers behind patterns of high score become spans of kind `context`.
 
@@ -31,7 +32,12 @@ IDENTIFIER = r"(?<![A-Za-z0-9-])[A-Za-z-]*+[0-9][A-Za-z0-9-]*+"
 #: A label: words and a colon, equals or number sign, at the end of the gap before a match. Its last word alone and its last
 #: three words are two patterns.
 LABELS = [rf"([A-Za-z][A-Za-z._-]*(?:\x20[A-Za-z][A-Za-z._-]*){{0,{more}}}\x20?[:=#])[\x20\"']*$" for more in (0, 2)]
+#: The last one, two and three words of the gap before a match, and the first word of the gap behind it.
+WORD = r"[A-Za-z][A-Za-z'-]*+"
+LEFT = [rf"(?<![A-Za-z'-])((?:{WORD}[,;.]?\x20){{{more}}}{WORD}[,;.]?)[\x20\"'(]+$" for more in (0, 1, 2)]
+RIGHT = rf"^[\x20\"'),;.]*\x20[\"'(]*({WORD})"
 LABEL_CHARS, LEAST_CHARS = 80, 5
+_SPANS = "CAST(array() AS array<struct<start: bigint, end: bigint, value: string, left: string, right: string>>)"
 
 ROUNDS, LEAST_SCORE, LEAST_SUPPORT = 3, 0.6, 3
 
@@ -57,27 +63,29 @@ def _luhn(value: Column) -> Column:
 
 
 def _cut(text: Column, pattern: str, keep) -> Column:
-    """(start, end, value, left) of the matches of a pattern that `keep` accepts; left is the end of the gap before."""
+    """(start, end, value, left, right) of the matches of a pattern that `keep` accepts; the ends of the gaps beside it."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, value: string, left: string>>)")
+    empty = F.expr(_SPANS)
 
     def step(state: Column, pair: Column) -> Column:
         start = state.at + F.length(pair.gap)
         end = start + F.length(pair.value)
-        span = F.struct(start.alias("start"), end.alias("end"), pair.value.alias("value"), F.right(pair.gap, F.lit(LABEL_CHARS)).alias("left"))
+        span = F.struct(start.alias("start"), end.alias("end"), pair.value.alias("value"), F.right(pair.gap, F.lit(LABEL_CHARS)).alias("left"), F.left(pair.next, F.lit(LABEL_CHARS)).alias("right"))
         return F.struct(end.alias("at"), F.concat(state.spans, F.array(span)).alias("spans"))
 
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
+    beside = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), F.slice(gaps, F.lit(2), F.size(matches)), lambda g, n: F.struct(g.alias("gap"), n.alias("next")))
+    pairs = F.zip_with(matches, beside, lambda m, b: F.struct(m.alias("value"), b.gap.alias("gap"), b.next.alias("next")))
     spans = F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), step).spans
     return F.filter(spans, lambda s: keep(s.value))
 
 
 def _when(condition: Column, spans: Column) -> Column:
-    return F.when(condition, spans).otherwise(F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, value: string, left: string>>)"))
+    return F.when(condition, spans).otherwise(F.expr(_SPANS))
 
 
-def _labels(left: Column) -> Column:
-    found = F.array(*[F.lower(F.regexp_extract(left, p, 1)) for p in LABELS])
+def _labels(left: Column, right: Column) -> Column:
+    behind = F.regexp_extract(right, RIGHT, 1)
+    found = F.array(*[F.lower(F.regexp_extract(left, p, 1)) for p in [*LABELS, *LEFT]], F.when(behind != "", F.concat(F.lit("> "), F.lower(behind))).otherwise(""))
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
@@ -90,11 +98,11 @@ def base_and_candidates(docs: DataFrame, text: str) -> DataFrame:
         "ip": _when(body.rlike(r"[0-9]\.[0-9]"), _cut(body, IP, lambda v: v.rlike("^" + "".join(map(_octet, range(4))) + "$"))),
         "card": _when(body.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), _cut(body, CARD, _luhn)),
         "phone": _when(body.rlike(r"\+[0-9]"), _cut(body, PHONE, lambda v: F.length(_digits(v)).between(10, 15))),
-        "context": _when(digit & body.rlike("[:=#]"), _cut(body, IDENTIFIER, lambda v: F.length(v) >= LEAST_CHARS)),
+        "context": _when(digit, _cut(body, IDENTIFIER, lambda v: F.length(v) >= LEAST_CHARS)),
     }
 
     def kind(n: int) -> Column:
-        return F.transform(f"__{KINDS[n]}", lambda s: F.struct(s.start.alias("start"), F.lit(n).alias("n"), F.lit(KINDS[n]).alias("kind"), s.end.alias("end"), F.lower(s.value).alias("value"), _labels(s.left).alias("labels")))
+        return F.transform(f"__{KINDS[n]}", lambda s: F.struct(s.start.alias("start"), F.lit(n).alias("n"), F.lit(KINDS[n]).alias("kind"), s.end.alias("end"), F.lower(s.value).alias("value"), _labels(s.left, s.right).alias("labels")))
 
     rows = docs.withColumns({f"__{k}": v for k, v in found.items()})
     rows = rows.withColumn("__base", F.array_sort(F.concat(*[kind(n) for n in range(4)])))

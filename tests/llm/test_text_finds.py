@@ -101,6 +101,15 @@ def test_contexts_are_learned(spark):
     assert not any(s.kind == "context" for s in rows[texts.index("colour: B-20441-x")])
 
 
+def test_prose_contexts_are_learned(spark):
+    texts = [f"you can call me at +49 30 12345{i} any time" for i in range(10, 16)] + ["so call me at 555-0123, then"]
+    texts += [f"please write to p{i}@example.org instead of that" for i in range(6)] + ["or write to user-77812."]
+    texts += [f"the node 10.0.0.{i} refused" for i in range(6)] + ["some host-4411 refused"]  # the word behind
+    texts += ["built in 19988 by hand", "about 20114 people"]
+    rows = {r.doc_id: r.personal for r in bootstrap.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {texts[i][s.start : s.end] for i, found in rows.items() for s in found if s.kind == "context"} == {"555-0123", "user-77812", "host-4411"}
+
+
 def test_pattern_scores_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(3)
     edges = {(f"p{rng.integers(12)}", f"i{rng.integers(40)}") for _ in range(160)}
