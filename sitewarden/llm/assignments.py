@@ -32,7 +32,6 @@ SENSITIVE = {
     "token": 0.9, "apikey": 0.95, "key": 0.5, "api": 0.4, "private": 0.6, "access": 0.4, "auth": 0.6, "bearer": 0.8,
     "credential": 0.9, "credentials": 0.9, "creds": 0.9, "signing": 0.5, "encryption": 0.5, "client": 0.1, "dsn": 0.6,
 }
-STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "private", "dsn")
 LEAST_SCORE, LEAST_LENGTH = 0.5, 8
 
 _TERM = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_$][^\s"'`,;(){}\[\]<>+]*"""
@@ -90,7 +89,7 @@ def spans_of(text: str) -> list[tuple[int, int, int, str | None, float]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), None, 1.0) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end(), None, 1.0) for m in HEX.finditer(text)]
-    if any(s in low for s in STEMS) and ("=" in text or ":" in text):
+    if "=" in text or ":" in text:
         base = sorted(found)
         for start, end, name, score in literals(text):
             if score >= LEAST_SCORE and not any(a <= start and end <= b for a, _, b, _, _ in base):

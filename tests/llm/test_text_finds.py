@@ -75,6 +75,12 @@ def test_literals():
     assert literal_spans("auth_key = 'no blanks please 123'") == []
 
 
+@pytest.mark.parametrize("name", [*assignments.SENSITIVE, "api_access", "clientAccessApi", "to_ken", "colour"])
+def test_each_name_alone(name):
+    found = assignments.spans_of(f'{name} = "Xk29-fjW81_q"')
+    assert bool(found) == (assignments.name_score(name) >= assignments.LEAST_SCORE)
+
+
 PERSONAL = [
     None, "", "a@b", "a@b.c.@d.e _x@y.z", "a@b.com_x@y.z..w@q.r", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 10.0.0.7",
     "4111 1111 1111 1111, 4111-1111-1111-1112 4111  1111", "+1 (377) 555-0271 +49.30 1234567 ++4930123456 +1", "é😀 +1 415 555 0100x 10.1.2.3 me@ex.org",
