@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_CLASS, LONGEST = 1200, 20_000
+ROWS_PER_CLASS, LONGEST = 1500, 20_000
 #: A cue stands in at least this many contexts of toxic documents, and is this much more frequent there (log odds).
 CUE_CONTEXTS, CUE_ODDS = 8, 2.5
 #: Messages run over stretches of SPAN tokens with OVERLAP tokens on both sides; the chain forgets much faster.
@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [r for y in (0, 1) for r in marks.where(F.col("toxic") == y).orderBy(*order).limit(rows_per_class).collect()]
+    # Drawn from the rows that can be used, so long documents are replaced by others of their class.
+    usable = marks.join(docs.where(F.length("text") <= longest).select("doc_id"), "doc_id", "left_semi")
+    chosen = [r for y in (0, 1) for r in usable.where(F.col("toxic") == y).orderBy(*order).limit(rows_per_class).collect()]
     # Bounded: at most 2 * rows_per_class ids.
     sample = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").where(F.length("text") <= longest)

@@ -197,6 +197,18 @@ def test_toxic_scores_and_spans(spark):
     assert {-r.doc_id: r.score for r in again if r.doc_id} == {r.doc_id: r.score for r in out if r.doc_id}
 
 
+def test_long_documents_are_replaced_in_the_sample(spark, monkeypatch):
+    """Most toxic documents are too long for training; the sample of their class is full all the same."""
+    rows = [(i, "vile words " * (500 if i % 2 and i % 10 != 1 else 5) + str(i)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(crf, "fit", lambda texts, toxic, weight: seen.append((texts, toxic, weight)))
+    crf.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, rows_per_class=30, longest=1000)
+    [(texts, toxic, weight)] = seen
+    assert len(texts) == 60 and toxic.sum() == 30 and max(map(len, texts)) <= 1000
+    assert weight[toxic == 1].sum() == pytest.approx(200) and weight[toxic == 0].sum() == pytest.approx(200)
+
+
 @pytest.mark.parametrize("toxic", [[], [(1, 0)], [(1, 1)]])
 def test_one_class_or_none(spark, toxic):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
