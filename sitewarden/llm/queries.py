@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, cross_entropy, group_matrix, packing, projections, simhash, spans, warc
+from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, cross_entropy, group_matrix, packing, projections, simhash, spans, variants, warc
 from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_variant_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.word_counts(read(spark, sf_dir, "documents")))
