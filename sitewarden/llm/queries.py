@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, cross_entropy, group_matrix, packing, projections, simhash, spans, variants, warc
+from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, cross_entropy, group_matrix, negatives, packing, projections, simhash, spans, variants, warc
 from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,38 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_variant_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.word_counts(read(spark, sf_dir, "documents")))
+
+
+@query
+def op12_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows with an id divisible by 50; every seventh label is a wrong one."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", wrong.alias("label"))
+    return negatives.hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
+ORACLE["op12_slot_negatives"] = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM usable a, usable b
+  WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
