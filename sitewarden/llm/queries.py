@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, cross_entropy, group_matrix, negatives, packing, projections, simhash, spans, variants, warc
+from sitewarden.llm import assignments, bootstrap, byte_bpe, crf, cross_entropy, group_matrix, line_quality, negatives, packing, projections, simhash, spans, variants, warc
 from sitewarden.llm.tables import read, run_folder, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,16 @@ FROM positives JOIN scored USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+
+@query
+def op13_line_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(~line_quality.held_out())
+    return line_quality.score(docs, line_quality.train(docs, labels)).select(
+        "doc_id",
+        line_quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.array_join(F.transform("good_lines", lambda p: F.format_number(p, 3)), ",").alias("lines"),
+    )
