@@ -7,8 +7,9 @@ it, and from the label of its neighbour: two states, four transitions, fitted by
 Forward and backward messages give the probability of each line being bad; weighted by the lengths of the lines they are
 the document's share of bad text, and a logistic model of that share is the score.
 
-Labels are per document. All lines of a good document are good. Lines of a bad one start as bad; after a first fit those
-that look good to the model, as passages that good documents hold too, are taken for good, as long as one stays bad.
+Labels are per document. All lines of a good document are good. Those of a bad one are judged alone first, by a logistic
+model of their own features: lines that look good, as passages that good documents hold too, are taken for good, as long
+as one stays bad. The chain learns these labels.
 
 Training takes at most `rows_per_class` documents of each class, the first by a hash of their id, and of each one stretch
 of at most `stretch` characters, which begins at a place given by the same hash; this bounds the driver's share at any
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from sitewarden.llm.crf import expected, logistic
 
 ROWS_PER_CLASS, STRETCH = 1500, 20_000
-STEPS, RATE, RIDGE, ROUNDS = 80, 0.6, 1e-3, 2
+STEPS, RATE, RIDGE = 80, 0.6, 1e-3
 #: Texts are looked at in parts of about this many characters, cut at line ends.
 PART = 1 << 19
 LETTER, CAPITAL, DIGIT, BLANK, STOP, SIGN, END = range(7)
@@ -242,15 +243,14 @@ def fit(texts: list[str], good: np.ndarray, weight: np.ndarray) -> Model:
     of = np.repeat(np.arange(len(texts)), lengths)
     bad_text = good[of] == 0
     label = bad_text.astype(float)
-    # Both classes weigh alike in the chain; the logistic model below restores their shares.
-    for turn in range(ROUNDS):
-        even = np.where(label > 0, 0.5 / max(1.0, label.sum()), 0.5 / max(1.0, (1 - label).sum())) * len(rows)
-        chain(model, rows, lengths, label, even)
-        if turn < ROUNDS - 1:
-            p = model.bad(rows, lengths)
-            top = np.full(len(texts), -1.0)
-            np.maximum.at(top, of, p)
-            label = (bad_text & ((p >= 0.5) | (p == top[of]))).astype(float)
+    # Both classes weigh alike in the chain; the logistic model of documents below restores their shares.
+    even = lambda: np.where(label > 0, 0.5 / max(1.0, label.sum()), 0.5 / max(1.0, (1 - label).sum())) * len(rows)
+    alone = np.concatenate([(rows - model.mean) / model.scale, np.ones((len(rows), 1))], 1)
+    p = alone @ logistic(alone, label, even())
+    top = np.full(len(texts), -np.inf)
+    np.maximum.at(top, of, p)
+    label = (bad_text & ((p >= 0) | (p == top[of]))).astype(float)
+    chain(model, rows, lengths, label, even())
     x = summary(shares(model.bad(rows, lengths), chars, lengths))
     model.document = logistic(x[~hollow], good[~hollow].astype(float), weight[~hollow])
     return model
