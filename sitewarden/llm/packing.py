@@ -14,7 +14,6 @@ rows. Other columns of the input are not used.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewarden.llm.pieces import PartCoder
+from sitewarden.llm.merges import BatchEncoder
 from sitewarden.llm.tables import run_folder, saved
 
 #: Tokens of a sequence, and the width of a length class.
@@ -34,8 +33,8 @@ CAPACITY, STEP = 1024, 4
 #: Column generation stops when the proven gap to the best possible number of sequences is below this share.
 GAP = 0.001
 CLOSING_ID = 0
-#: Entries of the table of known parts; one Python worker runs on a core here.
-KNOWN_PARTS = 700_000
+#: Characters of the texts that are encoded together; a longer text is encoded alone.
+BATCH_CHARS = 1 << 23
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, class int, place bigint"
 
@@ -46,12 +45,7 @@ class Tokens:
     _kept: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task on each core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.coder = PartCoder(self._parts, KNOWN_PARTS)
+        self.encoder = BatchEncoder(path)
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -59,15 +53,16 @@ class Tokens:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids; a text that holds a special token's name is not cut into parts."""
-        if any(s in text for s in self.special):
-            return self._parts([text])[0]
-        return self.coder([text])[0]
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian ids of each text."""
+        at = 0
+        while at < len(texts):
+            end, room = at + 1, BATCH_CHARS - len(texts[at])
+            while end < len(texts) and room >= len(texts[end]):
+                room -= len(texts[end])
+                end += 1
+            yield from (ids.astype("<u4").tobytes() for ids in self.encoder(texts[at:end]))
+            at = end
 
 
 def length_class(length: int, step: int = STEP) -> int:
@@ -83,8 +78,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, step: int
         names = [f.split()[0] for f in PIECES.split(", ")]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(text or "") + CLOSING_ID.to_bytes(4, "little")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts), strict=True):
+                ids += CLOSING_ID.to_bytes(4, "little")
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]

@@ -36,18 +36,37 @@ def test_whole_texts(reference):
         assert "".join(parts_of(text)) == text
         assert ids_of(codec.encode([text])[0]) == reference.encode_ordinary(text)
         assert codec.decode(codec.encode([text])[0]).decode() == text
-        assert ids_of(tokens.encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids_of(next(tokens.encode([text]))) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" \n\tab'sé1. ", max_size=30))
 def test_any_white_space(text):
     codec, tokens = byte_bpe.Codec.of(RANKS, P.PATTERN), packing.Tokens.of(VOCABULARY)
-    want = tokens.tokenizer.encode(text, add_special_tokens=False).ids
-    assert ids_of(tokens.encode(text)) == want
+    want = tokens.encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids_of(next(tokens.encode([text]))) == want
     assert ids_of(codec.encode([text])[0]) == want
 
 
+WORDS = ["the", "The", "aaaa", "aaaaaaa", "it's", "don't", "x,&&&", "###", "naïve", "Straße!!", "'s", "a'", "日本語", "e\u0301", "12", "a1", "\x1c", "\u2028", "\xa0", "a\tb", "z" * 80, "_a_", "q_", "😀", "<|endoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(WORDS) | st.text(alphabet="abeinorst", min_size=1, max_size=12), st.sampled_from([" ", " ", "\n", "  ", ""])), max_size=12), max_size=5))
+def test_batches_of_words(texts):
+    texts = ["".join(w + gap for w, gap in t) for t in texts]
+    tokens = packing.Tokens.of(VOCABULARY)
+    want = [tokens.encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in tokens.encoder(texts)] == want
+
+
+def test_merges_of_given_texts(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    tokens = packing.Tokens.of(VOCABULARY)
+    want = tokens.encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids_of(i) for i in tokens.encode(texts)] == [w.ids for w in want]
+
+
 def test_small_table_of_parts(monkeypatch, reference):
     monkeypatch.setattr("sitewarden.llm.pieces.KNOWN_PARTS", 3)
     codec = byte_bpe.Codec(RANKS, P.PATTERN)
