@@ -354,14 +354,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stay when one of every set of linked texts stays: the one with the smallest key.
 
-    Rows that repeat both key and text count as one document; rows without words stay besides that. Null keys come first.
+    Rows that repeat both key and text count as one document. Rows without words link with nothing, and all of them stay,
+    repeated ones too. Null keys come first.
     """
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     place = F.coalesce(F.col(key).cast("bigint"), F.lit(0))
     rows = docs.withColumns({"__place": place, "__mark": F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(key).isNull())})
     found = similar_components(rows, [key, "__place", "__mark"], text, **options)
     best: Column = F.min(F.struct(key, "__place", "__mark"))
     kept = found.where("component IS NOT NULL").groupBy("component").agg(best.alias("k")).select("k.__place", "k.__mark")
-    kept = kept.unionByName(found.where("component IS NULL").select("__place", "__mark")).distinct()
     # The join leaves the rows where the last step needs them, so texts are shuffled once.
-    rows = rows.join(kept, ["__place", "__mark"], "left_semi").dropDuplicates(["__place", "__mark"])
+    one = rows.where(~wordless).join(kept, ["__place", "__mark"], "left_semi").dropDuplicates(["__place", "__mark"])
+    rows = one.unionByName(rows.where(wordless))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

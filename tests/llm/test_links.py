@@ -147,7 +147,7 @@ def test_texts_without_ids_and_empty(spark):
 
 
 def test_one_of_each(spark):
-    rows = [(i, t) for i, t in enumerate(texts_table())] + [(700, ""), (700, ""), (12, "another text under an id that is taken"), (13, texts_table()[13])]
+    rows = [(i, t) for i, t in enumerate(texts_table())] + [(700, ""), (700, ""), (700, None), (700, " \t"), (700, "\x0b\x1c\xa0"), (None, None), (None, None), (None, ""), (12, "another text under an id that is taken"), (13, texts_table()[13])]
     table = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
     kept = group_matrix.one_of_each(table)
     assert kept.columns == table.columns
@@ -156,8 +156,8 @@ def test_one_of_each(spark):
     for n, top in tops.items():
         if sets[n]:
             groups[top].append(rows[n][0])
-    want = sorted([min(g) for g in groups.values()] + sorted({rows[n][0] for n in tops if not sets[n]}))
-    assert sorted(r.doc_id for r in kept.collect()) == want
+    want = sorted([min(g) for g in groups.values()] + [-1 if rows[n][0] is None else rows[n][0] for n in tops if not sets[n]])
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == want
 
 
 def test_prefix_loses_no_pair():
