@@ -78,6 +78,8 @@ SNIPPETS = [
     ("page_id % 6 = 1", "'<div data-framer=\"x\"></div>'"),
     ("page_id % 6 = 2", "'<script id=\"__NEXT_DATA__\" type=\"application/json\">{\"buildId\":\"b'||cast(page_id as string)||'\",\"baseUrl\":\"https://i.example.com\",\"STRIPE_PMC_KEY_LIVE\":\"pmcval\"}</script>'"),
     ("page_id % 6 = 3", "'<p>Built with Lovable</p>'"),
+    ("page_id % 6 = 4", "'<script>self.__NEXT_DATA__ = {\"buildId\":\"b'||cast(page_id as string)||'\"}</script>'"),
+    ("page_id % 8 = 3", "'<!-- debug key glpat-'||substr(h,1,20)||' -->'"),
     ("page_id % 7 = 0", "'<script>password=\"abcdefgh'||cast(page_id as string)||'\"</script>'"),
     ("page_id % 7 = 1", "'<i integrity=\"x\" data-k=\"AKIA'||upper(substr(h,1,16))||'\"></i>'"),
     ("page_id % 50 = 49", "repeat('<i>10.1.2.3</i> ', 51)"),
@@ -92,6 +94,7 @@ PLANTED_HTML = (
 
 ID = "cast(page_id as string)"
 MD5 = f"md5({ID})"
+SITE = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0)"
 
 RELATIONS = {
     "planted_pages": f"SELECT page_id, url, {PLANTED_HTML} AS html FROM (SELECT *, {MD5} AS h FROM pages) t",
@@ -111,7 +114,7 @@ RELATIONS = {
         " UNION ALL SELECT page_id, cast(2 AS bigint), url, 'sid=other; Path=/other' FROM pages WHERE page_id % 7 = 2"
     ),
     "http_response": (
-        "SELECT page_id AS target_id, '/.env' AS path, CASE WHEN page_id % 2 = 0 THEN 200 ELSE 403 END AS status, 'text/plain' AS content_type, 'APP_MODE=prod' || chr(10) || 'REGION=eu' AS body FROM pages"
+        "SELECT page_id AS target_id, '/.env' AS path, CASE WHEN page_id % 2 = 0 THEN 200 ELSE 403 END AS status, 'text/plain' AS content_type, 'APP_MODE=prod' || chr(10) || 'REGION=eu' || CASE WHEN page_id % 4 = 2 THEN chr(10) || 'T=glpat-' || substr(md5('env' || cast(page_id as string)), 1, 20) ELSE '' END AS body FROM pages"
         f" UNION ALL SELECT page_id, '/.git/HEAD', 200, 'text/plain', CASE page_id % 3 WHEN 0 THEN 'ref: refs/heads/main' WHEN 1 THEN {MD5} || substr({MD5}, 1, 8) ELSE 'something else' END FROM pages"
         " UNION ALL SELECT page_id, '/.ssh/id_rsa', 200, 'text/plain', CASE WHEN page_id % 4 = 0 THEN '-----BEGIN ' || 'KEY-----' ELSE 'no key here at all' END FROM pages"
         " UNION ALL SELECT page_id, '/robots.txt', 200, 'text/plain', 'User-agent: *' || chr(10) || 'Disallow: /x' FROM pages WHERE page_id % 2 = 1"
@@ -160,6 +163,14 @@ RELATIONS = {
         " UNION ALL SELECT page_id, 'https://x.example.com/_next/static/css/s.css', 200, 'p{}' || repeat(' ', 60) FROM pages"
         f" UNION ALL SELECT page_id, 'https://x.example.com/_next/static/chunks/' || {ID} || '.js', 200, CASE WHEN page_id % 3 = 0 THEN 'tiny' ELSE 'var c=2;' || repeat('y', 60) END FROM pages"
         " UNION ALL SELECT page_id, 'https://cdn.example.com/a.js', 200, 'var a=3;' || repeat('z', 60) FROM pages"
+        # What the pages lead to: a linked script, a chunk that it names, and one a step further, which is not followed.
+        f" UNION ALL SELECT page_id, {SITE} || '/js/a' || {ID} || '.js', 200, 'import(\"/_next/static/chunks/two' || {ID} || '.js\");eval(a)' || repeat('a', 60) FROM pages"
+        f" UNION ALL SELECT page_id, {SITE} || '/_next/static/chunks/two' || {ID} || '.js', CASE WHEN page_id % 15 = 14 THEN 404 ELSE 200 END,"
+        f" 'import(\"/_next/static/chunks/three' || {ID} || '.js\");t <i>glpat-' || substr(md5('two' || {ID}), 1, 20) || '</i>' || repeat(' ', 60) FROM pages"
+        f" UNION ALL SELECT page_id, {SITE} || '/_next/static/chunks/three' || {ID} || '.js', 200, 't <i>glpat-' || substr(md5('three' || {ID}), 1, 20) || '</i>;eval(a)' || repeat(' ', 60) FROM pages"
+        f" UNION ALL SELECT page_id, {SITE} || '/_next/static/b' || {ID} || '/_buildManifest.js', 200, 'self.__M={{\"/\":[\"static/chunks/m' || {ID} || '.js\"]}}' FROM pages WHERE page_id % 2 = 0"
+        f" UNION ALL SELECT page_id, {SITE} || '/_next/static/chunks/m' || {ID} || '.js', 200, 'load(\"/_next/static/css/n.css\");document.cookie;//# sourceMappingURL=m.map' || repeat(' ', 60) FROM pages"
+        f" UNION ALL SELECT page_id, {SITE} || '/_next/static/css/n.css', 200, 'p{{}} <i>AKIA' || upper(substr(md5('n' || {ID}), 1, 16)) || '</i>' || repeat(' ', 60) FROM pages"
     ),
 }
 # An inline script that names the framework data object and its build id (besides two that do not).

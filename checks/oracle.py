@@ -126,6 +126,7 @@ scan_chain("page", "page_rows")
 scan_chain("whole", "live_and_documents")
 scan_chain("inner", "live")
 scan_chain("old", "archive_rows")
+scan_chain("audit", "audit_rows")
 
 # --- page structure ------------------------------------------------------------------------------
 
@@ -192,6 +193,68 @@ CTE["archive_picked"] = (
 CTE["archived"] = (
     "SELECT target_id, ts, '[ARCHIVE] ' || original AS url, content FROM archive_picked WHERE status = 200"
 )
+# What pages lead to: addresses by step, found by recursion.
+CTE["page_sites"] = "SELECT target_id, url, lower(split_part(url, ':', 1)) || '://' || regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS base FROM targets"
+CTE["body_ok"] = "SELECT target_id, url, content FROM resource_body WHERE status = 200"
+CTE["page_builds"] = (
+    f"SELECT target_id, arg_min(regexp_extract(content, {s(javascript.BUILD_ID)}, 1), seq) AS build_id FROM extracted"
+    f" WHERE kind = 'js' AND NOT external AND contains(content, '__NEXT_DATA__') AND {rx('content', javascript.BUILD_ID)} GROUP BY target_id"
+)
+CTE["first_links"] = (
+    "SELECT target_id, url, max(kind) AS kind FROM (SELECT target_id, url, kind FROM extracted WHERE external"
+    " UNION ALL SELECT target_id, base || '/_next/static/' || build_id || '/_buildManifest.js', 'js' FROM page_builds JOIN page_sites USING (target_id)) GROUP BY target_id, url"
+)
+KIND_OF = "CASE WHEN {0} LIKE '%.css' THEN 'css' ELSE 'js' END"
+CTE["body_names"] = (
+    "SELECT target_id, url, 0 AS cost, CASE WHEN starts_with(p, 'http') THEN p WHEN starts_with(p, '/') THEN site || p WHEN starts_with(p, 'static/') THEN site || '/_next/' || p"
+    " ELSE site || '/_next/static/' || p END AS address FROM (SELECT target_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) AS site,"
+    f" unnest(regexp_extract_all(content, {s(javascript.MANIFEST_CHUNKS[0])}, 1) || regexp_extract_all(content, {s(javascript.MANIFEST_CHUNKS[1])}, 1)) AS p FROM body_ok WHERE url LIKE '%/_buildManifest.js')"
+    f" UNION ALL SELECT target_id, b.url, 1, base || unnest(regexp_extract_all(content, {s(javascript.STATIC_REFERENCE)}, 1)) FROM body_ok b JOIN page_sites USING (target_id)"
+)
+
+
+def walk(name: str, scripts: str, known: str) -> None:
+    """``name``_walk, recursive, and ``name``_reached: each address at its first step."""
+    CTE[f"{name}_walk"] = (
+        "SELECT target_id, url, kind, 1 AS step FROM first_links"
+        f" UNION SELECT target_id, address, {KIND_OF.format('address')}, 2 FROM (SELECT target_id, base || unnest(regexp_extract_all(content, {s(javascript.STATIC_REFERENCE)}, 1)) AS address"
+        f" FROM ({scripts}) x JOIN page_sites USING (target_id)) y"
+        f" UNION SELECT n.target_id, n.address, CASE cost WHEN 0 THEN 'js' ELSE {KIND_OF.format('address')} END, step + cost FROM {name}_walk w JOIN body_names n USING (target_id, url)"
+        " WHERE step + cost <= 2 AND (cost = 0 OR w.kind = 'js')"
+    )
+    CTE[f"{name}_reached"] = (
+        f"SELECT target_id, url, arg_min(kind, step) AS kind FROM {name}_walk w WHERE EXISTS (SELECT 1 FROM first_links f WHERE f.target_id = w.target_id AND f.url = w.url)"
+        f" OR NOT EXISTS (SELECT 1 FROM ({known}) k WHERE k.target_id = w.target_id AND k.url = w.url) GROUP BY target_id, url"
+    )
+
+
+walk("page", "SELECT target_id, content FROM extracted WHERE kind = 'js' AND NOT external", "SELECT target_id, url FROM extracted WHERE false")
+walk(
+    "audit", "SELECT target_id, content FROM extracted WHERE kind = 'js' AND NOT external UNION ALL SELECT target_id, content FROM resource_js",
+    "SELECT target_id, url FROM resource_js",
+)
+CTE["audit_rows"] = (
+    "SELECT * FROM live UNION ALL SELECT target_id, 10000000 + seq, 1, 'js', url, content FROM resource_js"
+    " UNION ALL SELECT b.target_id, 20000000, CASE r.kind WHEN 'js' THEN 1 ELSE 2 END, r.kind, b.url, b.content FROM body_ok b JOIN audit_reached r USING (target_id, url)"
+    " UNION ALL SELECT target_id, 30000000 + ts::BIGINT, 1, 'js', url, content FROM archived"
+)
+
+
+def inventory(reached: str, known: str) -> str:
+    """Counts and sizes: inline parts, a body per link, discovered bodies, known scripts."""
+    return (
+        "SELECT p.page_id AS target_id, (SELECT count(*) FROM extracted e WHERE e.target_id = p.page_id AND external AND kind = 'js') AS n_scripts,"
+        " (SELECT count(*) FROM extracted e WHERE e.target_id = p.page_id AND external AND kind = 'css') AS n_stylesheets,"
+        " count(*) FILTER (WHERE kind = 'js') AS js_count, count(*) FILTER (WHERE kind = 'css') AS css_count,"
+        " (max(length(html)) + coalesce(sum(length(body) + 1), 0))::BIGINT AS total_source_size FROM planted_pages p LEFT JOIN ("
+        "SELECT target_id, kind, content AS body FROM extracted WHERE NOT external"
+        " UNION ALL SELECT e.target_id, e.kind, b.content FROM extracted e JOIN body_ok b USING (target_id, url) WHERE external"
+        f" UNION ALL SELECT r.target_id, r.kind, b.content FROM {reached} r JOIN body_ok b USING (target_id, url)"
+        " WHERE NOT EXISTS (SELECT 1 FROM extracted e WHERE external AND e.target_id = r.target_id AND e.url = r.url)"
+        f"{known}) r ON r.target_id = p.page_id GROUP BY p.page_id"
+    )
+
+
 CTE["refs"] = f"SELECT target_id, ref, {resolve('base_url', 'ref')} AS url FROM resource_ref"
 
 # --- fingerprints --------------------------------------------------------------------------------
@@ -248,6 +311,14 @@ CTE["builders_all"] = (
     + " AS evidence FROM all_hits QUALIFY row_number() OVER (PARTITION BY target_id, tool ORDER BY n, source, evidence) = 1"
 )
 
+CTE["audit_repos"] = f"SELECT DISTINCT target_id, unnest(regexp_extract_all(content, {s(tech.REPO_LINK)}, 0)) AS repo FROM audit_rows"
+CTE["audit_hits"] = CTE["all_hits"].replace("SELECT target_id, 3, content FROM resource_js", "SELECT target_id, 3, content FROM audit_rows WHERE kind <> 'html'")
+CTE["audit_builders"] = CTE["builders_all"].replace("FROM all_hits", "FROM audit_hits")
+CTE["wordpress"] = (
+    "SELECT page_id AS target_id, page_id IN (SELECT target_id FROM technologies WHERE technology = 'WordPress')"
+    " OR page_id IN (SELECT target_id FROM metas WHERE gen GROUP BY target_id HAVING contains(lower(arg_min(content, pos)), 'wordpress')) AS wordpress FROM pages"
+)
+
 CTE["linked_repos"] = (
     f"SELECT DISTINCT page_id AS target_id, unnest(regexp_extract_all(html, {s(tech.REPO_LINK)}, 0)) AS repo FROM linked_pages"
 )
@@ -393,6 +464,10 @@ CTE["config_findings"] = (
     " UNION ALL SELECT target_id, 'Framework Config Exposed — ' || label, 'Runtime config object injected in HTML exposes: '"
     " || string_agg(key || '=' || value, ' | ' ORDER BY o) FILTER (WHERE n <= 10), 'MEDIUM' FROM config_values GROUP BY target_id, label"
 )
+CTE["audit_leaks"] = (
+    "SELECT * FROM comments UNION ALL SELECT * FROM debug_texts UNION ALL SELECT * FROM config_findings"
+    f" UNION ALL SELECT target_id, 'Source Map Exposed', unnest(regexp_extract_all(content, {s(leaks.SOURCE_MAP)}, 1)), 'HIGH' FROM audit_rows"
+)
 CTE["leak_findings"] = (
     "SELECT * FROM comments UNION ALL SELECT * FROM source_maps UNION ALL SELECT * FROM debug_texts UNION ALL SELECT * FROM config_findings"
 )
@@ -402,10 +477,7 @@ CTE["leak_findings"] = (
 CTE["sink_rules"] = table(
     ["ord", "pattern", "description"], [(n, p, d) for n, (p, d) in enumerate(javascript.SINKS.items(), 1)]
 )
-CTE["audit_scripts"] = (
-    "SELECT target_id, 10000000 + seq AS seq, url, content FROM resource_js"
-    " UNION ALL SELECT target_id, seq, url, content FROM extracted WHERE kind = 'js' AND NOT external"
-)
+CTE["audit_scripts"] = "SELECT target_id, seq, url, content FROM audit_rows WHERE kind = 'js'"
 
 
 def script_chain(name: str, scripts: str) -> None:
@@ -415,7 +487,7 @@ def script_chain(name: str, scripts: str) -> None:
         + f" AS context, 'MEDIUM' AS severity FROM (SELECT *, instr(content, pattern) AS place FROM {scripts} JOIN sink_rules ON contains(content, pattern))"
     )
     CTE[f"{name}calls"] = (
-        "SELECT target_id, seq, 11 + row_number() OVER (PARTITION BY target_id, seq ORDER BY o, i) AS ord, 'API Endpoint' AS pattern,"
+        "SELECT target_id, seq, 11 + row_number() OVER (PARTITION BY target_id, seq, url ORDER BY o, i) AS ord, 'API Endpoint' AS pattern,"
         " 'External API call: ' || u AS description, url AS source, u AS context, 'INFO' AS severity FROM ("
         + " UNION ALL ".join(
             f"SELECT target_id, seq, url, {o} AS o, unnest(l) AS u, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(content, {s(p)}, 1) AS l FROM {scripts})"
@@ -424,9 +496,9 @@ def script_chain(name: str, scripts: str) -> None:
         + ") WHERE starts_with(u, 'http')"
     )
     CTE[f"{name}js_unique"] = (
-        "SELECT target_id, seq, ord, n, pattern, description, source, context, severity FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq, ord) AS n FROM ("
+        "SELECT target_id, seq, ord, n, pattern, description, source, context, severity FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq, source, ord) AS n FROM ("
         f"SELECT * FROM (SELECT * FROM {name}sinks UNION ALL SELECT * FROM {name}calls)"
-        " QUALIFY row_number() OVER (PARTITION BY target_id, pattern, source ORDER BY seq, ord) = 1))"
+        " QUALIFY row_number() OVER (PARTITION BY target_id, pattern, source ORDER BY seq, ord, context) = 1))"
     )
 
 
@@ -437,50 +509,67 @@ CTE["js_counts"] = "SELECT target_id, pattern, count(*) AS n FROM js_unique GROU
 # --- tool reports --------------------------------------------------------------------------------
 
 CTE["wp_docs"] = (
-    "SELECT target_id, try_cast(line AS JSON) AS doc FROM tool_report WHERE tool = 'wp' AND json_valid(line) AND json_exists(line, '$.target')"
+    "SELECT target_id, try_cast(line AS JSON) AS doc, url FROM tool_report JOIN targets USING (target_id) WHERE tool = 'wp' AND json_valid(line) AND json_exists(line, '$.target')"
 )
 CTE["wp_findings"] = (
     "SELECT target_id, coalesce(v->>'$.title', 'Unknown') AS name, 'HIGH' AS severity, coalesce(v->>'$.description', '') || ' | Ref: ' || coalesce(v->>'$.references.url[0]', 'N/A') AS description,"
-    " 'wordpress_vuln' AS type FROM (SELECT target_id, unnest(json_extract(doc, '$.vulnerabilities[*]')) AS v FROM wp_docs)"
-    " UNION ALL SELECT target_id, 'Plugin: ' || plugin || ' - ' || coalesce(v->>'$.title', 'vuln'), 'HIGH', coalesce(v->>'$.description', ''), 'plugin_vuln' FROM ("
-    "SELECT target_id, plugin, unnest((doc->'plugins'->plugin->'vulnerabilities')::JSON[]) AS v FROM ("
-    "SELECT target_id, doc, unnest(json_keys(doc, '$.plugins')) AS plugin FROM wp_docs))"
+    " 'wordpress_vuln' AS type, url FROM (SELECT target_id, url, unnest(json_extract(doc, '$.vulnerabilities[*]')) AS v FROM wp_docs)"
+    " UNION ALL SELECT target_id, 'Plugin: ' || plugin || ' - ' || coalesce(v->>'$.title', 'vuln'), 'HIGH', coalesce(v->>'$.description', ''), 'plugin_vuln', url FROM ("
+    "SELECT target_id, url, plugin, unnest((doc->'plugins'->plugin->'vulnerabilities')::JSON[]) AS v FROM ("
+    "SELECT target_id, url, doc, unnest(json_keys(doc, '$.plugins')) AS plugin FROM wp_docs))"
 )
 CTE["wp_clean"] = (
-    f"SELECT DISTINCT target_id, {s(report.WP_CLEAN_NAME)} AS name, 'INFO' AS severity, {s(report.WP_CLEAN_TEXT)} AS description, 'wordpress_clean' AS type"
-    " FROM tool_report WHERE tool = 'wp' AND target_id NOT IN (SELECT target_id FROM wp_findings)"
+    f"SELECT DISTINCT target_id, {s(report.WP_CLEAN_NAME)} AS name, 'INFO' AS severity, {s(report.WP_CLEAN_TEXT)} AS description, 'wordpress_clean' AS type, url"
+    " FROM tool_report JOIN targets USING (target_id) WHERE tool = 'wp' AND target_id NOT IN (SELECT target_id FROM wp_findings)"
 )
 CTE["git_findings"] = (
     "SELECT target_id, coalesce(l->>'$.RuleID', 'Secret Found') AS name, 'CRITICAL' AS severity,"
-    " 'File: ' || coalesce(l->>'$.File', 'unknown') || ', Line: ' || coalesce(l->>'$.StartLine', '?') AS description, 'exposed_secret' AS type FROM ("
-    "SELECT target_id, unnest(json_extract(try_cast(line AS JSON), '$[*]')) AS l FROM tool_report WHERE tool = 'git' AND json_valid(line))"
+    " 'File: ' || coalesce(l->>'$.File', 'unknown') || ', Line: ' || coalesce(l->>'$.StartLine', '?') AS description, 'exposed_secret' AS type, url FROM ("
+    "SELECT target_id, url, unnest(json_extract(try_cast(line AS JSON), '$[*]')) AS l FROM tool_report JOIN targets USING (target_id) WHERE tool = 'git' AND json_valid(line))"
 )
 CTE["git_seen"] = (
     f"SELECT target_id, {s(report.GIT_SEEN_NAME)} AS name, 'INFO' AS severity, 'GitHub repo detected: ' || max(repo) || '. Provide GitHub token for full scan.' AS description,"
-    " 'github_detected' AS type FROM linked_repos WHERE target_id NOT IN (SELECT target_id FROM git_findings) GROUP BY target_id"
+    " 'github_detected' AS type, 'https://' || max(repo) AS url FROM linked_repos WHERE target_id NOT IN (SELECT target_id FROM git_findings) GROUP BY target_id"
 )
 
-CTE["audit_git_seen"] = CTE["git_seen"].replace("linked_repos", "repos_all")
+# In the audit reports count where WordPress or a repository was seen.
+CTE["audit_wp"] = "SELECT * FROM (SELECT * FROM wp_findings UNION ALL SELECT * FROM wp_clean) WHERE target_id IN (SELECT target_id FROM wordpress WHERE wordpress)"
+CTE["audit_git"] = (
+    "SELECT target_id, name, severity, description, type, 'https://' || repo AS url FROM git_findings JOIN (SELECT target_id, max(repo) AS repo FROM audit_repos GROUP BY target_id) USING (target_id)"
+    " UNION ALL " + CTE["git_seen"].replace("linked_repos", "audit_repos")
+)
 
 # --- roll-up -------------------------------------------------------------------------------------
 
+def hidden(x: str, but: tuple[str, ...] = ()) -> str:
+    return f"regexp_replace({x}, {s(secrets.any_credential(but))}, '****', 'g')"
+
+
+def hidden_ends(x: str, start: str, end: str) -> str:
+    for when, pattern in ((start, r"^[A-Za-z0-9+/_=.-]{8,}"), (end, r"[A-Za-z0-9+/_=.-]{8,}$")):
+        x = f"CASE WHEN {when} THEN regexp_replace({x if x[:4] == 'CASE' else hidden(x)}, {s(pattern)}, '****', 'g') ELSE {x if x[:4] == 'CASE' else hidden(x)} END"
+    return x
+
+
+TITLED = hidden("name || ': ' || description")
 _SHAPES = [
     ("transport", "status", "severity", "url", "NULL", "unsafe"),
     ("headers", "'Missing header'", "severity", "header", "patch", "(SELECT * FROM audited WHERE status = 'MISSING')"),
-    ("header_leaks", "'Header disclosure'", "'LOW'", "header", "value", "told"),
-    ("builders", "tool", "'INFO'", "matched_pattern", "evidence", "builders_all"),
-    ("secrets", "type", "severity", "location", "value_masked", "inner_findings"),
-    ("paths", "'Exposed path'", "severity", "path", "snippet", "exposed"),
+    ("header_leaks", "'Header disclosure'", "'LOW'", "header", hidden("value"), "told"),
+    ("builders", "tool", "'INFO'", "matched_pattern", hidden_ends("evidence", "true", "true"), "audit_builders"),
+    ("secrets", "type", "severity", "location", "value_masked", "audit_findings"),
+    ("paths", "'Exposed path'", "severity", "path", hidden_ends("snippet", "false", "size > 200"), "exposed"),
     ("cookies", "'Cookie issue'", "'MEDIUM'", "name", "issue", "cookie_issues"),
     ("forms", "'Form issue'", "'MEDIUM'", "action", "issue", "form_issues"),
-    ("leaks", "type", "severity", "NULL", "content", "leak_findings"),
-    ("js", "pattern", "severity", "source", "context", "audit_js_unique"),
-    ("api", "type", "severity", "url", "description", "(SELECT target_id, type, severity, url, description FROM openapi UNION ALL SELECT target_id, type, severity, url, description FROM graphql)"),
-    ("wp", "type", "severity", "name", "description", "(SELECT * FROM wp_findings UNION ALL SELECT * FROM wp_clean)"),
-    ("git", "type", "severity", "name", "description", "(SELECT * FROM git_findings UNION ALL SELECT * FROM audit_git_seen)"),
+    ("leaks", "type", "severity", "NULL", hidden("content"), "audit_leaks"),
+    ("js", "pattern", "severity", "source", hidden_ends("context", "pattern <> 'API Endpoint'", "pattern <> 'API Endpoint'"), "audit_js_unique"),
+    ("api", "type", "severity", "url", hidden("description"), "(SELECT target_id, type, severity, url, description FROM openapi UNION ALL SELECT target_id, type, severity, url, description FROM graphql)"),
+    ("wp", "type", "severity", "url", TITLED, "audit_wp"),
+    ("git", "type", "severity", "url", TITLED, "audit_git"),
 ]
+PLACES = ("IP Address (Private)",)
 CTE["findings"] = " UNION ALL ".join(
-    f"SELECT target_id, '{m}' AS module, {t} AS type, {sev} AS severity, {loc}::VARCHAR AS location, {ev}::VARCHAR AS evidence, {0 if m == 'js' else 1}::BIGINT AS n_counted FROM {src}"
+    f"SELECT target_id, '{m}' AS module, {t} AS type, {sev} AS severity, {hidden(loc + '::VARCHAR', PLACES)} AS location, ({ev})::VARCHAR AS evidence, {0 if m == 'js' else 1}::BIGINT AS n_counted FROM {src}"
     for m, t, sev, loc, ev, src in _SHAPES
 )
 CTE["counts"] = (
@@ -509,7 +598,7 @@ def _section(label: str, source: str, text: str, order: str) -> str:
 DIGEST_PARTS = [
     f"{s(report.DIGEST_TARGET)} || url || chr(10)",
     f"(SELECT chr(10) || {s(report.DIGEST_TECH)} || string_agg(technology, ', ' ORDER BY technology) FROM technologies x WHERE x.target_id = t.target_id HAVING count(*) > 0)",
-    _section(report.DIGEST_SECRETS, "(SELECT f.*, k.ord FROM inner_findings f JOIN secret_rules k ON k.rule = f.type)",
+    _section(report.DIGEST_SECRETS, "(SELECT f.*, k.ord FROM audit_findings f JOIN secret_rules k ON k.rule = f.type)",
              "'  - ' || type || ': ' || value_masked || ' (Severity: ' || severity || ')'", "ord, value_masked"),
     _section(report.DIGEST_JS, "(SELECT * FROM audit_js_unique WHERE n <= 5)", "'  - ' || pattern || ': ' || description", "n"),
     _section(report.DIGEST_PATHS, "(SELECT * FROM exposed JOIN path_order USING (path))",
@@ -529,13 +618,8 @@ FINAL: dict[str, str] = {
     "redirect_flag": "SELECT target_id, url, final_url, final_url <> url AS redirected FROM page_meta",
     "resource_extract": "SELECT * FROM extracted",
     "resource_join": "SELECT target_id, url, length(content) AS size FROM refs JOIN resource_body USING (target_id, url) WHERE status = 200",
-    "resource_inventory": (
-        "SELECT p.page_id AS target_id, count(*) FILTER (WHERE external AND kind = 'js') AS n_scripts, count(*) FILTER (WHERE external AND kind = 'css') AS n_stylesheets,"
-        " count(*) FILTER (WHERE kind = 'js' AND body IS NOT NULL) AS js_count, count(*) FILTER (WHERE kind = 'css' AND body IS NOT NULL) AS css_count,"
-        " (max(length(html)) + coalesce(sum(length(body) + 1), 0))::BIGINT AS total_source_size FROM planted_pages p LEFT JOIN ("
-        "SELECT e.target_id, e.external, e.kind, coalesce(e.content, b.content) AS body FROM extracted e LEFT JOIN resource_body b"
-        " ON e.external AND b.target_id = e.target_id AND b.url = e.url AND b.status = 200) r ON r.target_id = p.page_id GROUP BY p.page_id"
-    ),
+    "resource_inventory": inventory("page_reached", ""),
+    "audit_resources": inventory("audit_reached", " UNION ALL SELECT target_id, 'js', content FROM resource_js"),
     "nextjs_build_id": f"SELECT target_id, arg_min(regexp_extract(content, {s(javascript.BUILD_ID)}, 1), seq) AS build_id FROM (SELECT target_id, seq, url, content FROM extracted WHERE kind = 'js' AND NOT external UNION ALL SELECT * FROM build_script) WHERE contains(content, '__NEXT_DATA__') AND {rx('content', javascript.BUILD_ID)} GROUP BY target_id",
     "chunk_manifest_refs": (
         "SELECT target_id, url, 'js' AS kind, length(content) AS size FROM (SELECT DISTINCT target_id, CASE WHEN starts_with(p, 'http') THEN p WHEN starts_with(p, '/') THEN base || p"
@@ -567,10 +651,7 @@ FINAL: dict[str, str] = {
     "secret_counts": "SELECT type, severity, count(*) AS n FROM page_findings GROUP BY ALL",
     "tech_detect": "SELECT * FROM technologies",
     "meta_extract": "SELECT target_id, name, content FROM meta_last",
-    "wordpress_flag": (
-        "SELECT page_id AS target_id, page_id IN (SELECT target_id FROM technologies WHERE technology = 'WordPress')"
-        " OR page_id IN (SELECT target_id FROM metas WHERE gen GROUP BY target_id HAVING contains(lower(arg_min(content, pos)), 'wordpress')) AS wordpress FROM pages"
-    ),
+    "wordpress_flag": "SELECT * FROM wordpress",
     "repo_links": "SELECT target_id, repo FROM repos",
     "repo_links_all": "SELECT target_id, repo FROM repos_all",
     "builder_detect_all": "SELECT * FROM builders_all",
@@ -668,7 +749,8 @@ def statement(final: str) -> str:
         add(name, ())
     if not ordered:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered) + "\n" + final
+    recursive = any(n.endswith("_walk") for n in ordered)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered) + "\n" + final
 
 
 ORACLE: dict[str, str] = {name: statement(final) for name, final in FINAL.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import planted_html, relation
 from sitewarden.operators import acquisition as acq
-from sitewarden.operators import cookies, fingerprint, forms, headers, javascript, leaks, responses, rollup
+from sitewarden.operators import cookies, fingerprint, forms, frontier, headers, javascript, leaks, responses, rollup
 from sitewarden.operators import secrets as sec
 from sitewarden.operators import tool_reports as tools
 from sitewarden.plans import audit
@@ -109,17 +109,21 @@ class Inputs:
     def make_exposures(self) -> DataFrame:
         return responses.path_exposure(self.http_response)
 
+    def make_reports_at_sites(self) -> DataFrame:
+        return tools.at_sites(self.tool_report, self.targets)
+
     def make_wp(self) -> DataFrame:
-        return tools.wp_report_findings(self.tool_report)
+        return tools.wp_report_findings(self.reports_at_sites)
 
     def make_git(self) -> DataFrame:
-        return tools.git_report_findings(self.tool_report)
+        return tools.git_report_findings(self.reports_at_sites)
 
     def make_captured(self) -> audit.Captured:
         return audit.Captured(
             pages=self.planted_pages, page_meta=self.page_meta, http_header=self.http_header,
             set_cookie=self.set_cookie, http_response=self.http_response, scripts=self.resource_js,
-            tool_report=self.tool_report,
+            resource_body=self.resource_body, archive_index=self.archive_index, tool_report=self.tool_report,
+            cert=self.cert, dns_record=self.dns_record, whois=self.whois,
         )
 
     def make_audit(self) -> audit.Audit:
@@ -175,9 +179,13 @@ def resource_join(i):
 
 @query
 def resource_inventory(i):
-    external = i.extracted.filter("external").select("target_id", "kind", "url")
-    fetched = acq.resource_join(external, i.resource_body).select("target_id", "kind", "content")
-    return acq.resource_inventory(i.planted_pages, i.extracted, fetched)
+    return frontier.inventory(i.planted_pages, i.extracted, i.resource_body, sinks.shared_folder(i.spark))
+
+
+@query
+def audit_resources(i):
+    """The same counts from the facts of the audit, known scripts included."""
+    return i.audit.tables["inventory"]
 
 
 @query
@@ -507,7 +515,7 @@ def wp_report_findings(i):
 
 @query
 def wp_report_clean(i):
-    return tools.wp_report_clean(i.tool_report, i.wp)
+    return tools.wp_report_clean(i.reports_at_sites, i.wp)
 
 
 @query

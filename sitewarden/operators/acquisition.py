@@ -101,24 +101,26 @@ def resource_join(refs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def resource_inventory(pages: DataFrame, extracted: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Counts and total size per target; ``fetched`` are bodies of external resources ``(target_id, kind, content)``."""
-    page_rows = pages.select(
-        F.col("page_id").alias("target_id"), F.lit("page").alias("part"), F.length("html").cast("bigint").alias("size")
-    )
-    refs = extracted.filter("external").select(
-        "target_id", F.concat(F.lit("ref_"), F.col("kind")).alias("part"), F.lit(0).cast("bigint").alias("size")
-    )
-    kept = inline_resources(extracted).select("target_id", "kind", "content").unionByName(
-        fetched.select("target_id", "kind", "content")
-    )
-    bodies = kept.select(
-        "target_id", F.col("kind").alias("part"), (F.length("content") + 1).cast("bigint").alias("size")
+    """Counts and total size per target; ``extracted (target_id, kind, external, size)`` are the parts of the pages,
+    ``fetched (target_id, kind, size)`` the bodies of linked and discovered resources."""
+    sizes = pages.select(F.col("page_id").alias("target_id"), F.length("html").cast("bigint").alias("size"))
+    return inventory_of(
+        sizes, extracted.filter("external").select("target_id", "kind"),
+        extracted.filter("NOT external").select("target_id", "kind", "size").unionByName(fetched.select("target_id", "kind", "size")),
     )
 
+
+def inventory_of(pages: DataFrame, links: DataFrame, bodies: DataFrame) -> DataFrame:
+    """One aggregate over ``pages (target_id, size)``, ``links (target_id, kind)`` and ``bodies (target_id, kind, size)``."""
+    none = F.lit(0).cast("bigint")
+    rows = pages.select("target_id", F.lit("page").alias("part"), "size")
+    rows = rows.unionByName(links.select("target_id", F.concat(F.lit("ref_"), F.col("kind")).alias("part"), none.alias("size")))
+    rows = rows.unionByName(bodies.select("target_id", F.col("kind").alias("part"), (F.col("size") + 1).alias("size")))
+
     def count(part: str) -> Column:
         return F.count_if(F.col("part") == part)
 
-    return page_rows.unionByName(refs).unionByName(bodies).groupBy("target_id").agg(
+    return rows.groupBy("target_id").agg(
         count("ref_js").alias("n_scripts"),
         count("ref_css").alias("n_stylesheets"),
         count("js").alias("js_count"),

@@ -84,14 +84,14 @@ def js_findings_of(parsed: DataFrame) -> DataFrame:
 
 def js_dedup(findings: DataFrame, limit: int | None = None) -> DataFrame:
     """First finding per (target, pattern, source); ``limit`` keeps the first ones of a target."""
-    first = first_k(findings, ["target_id", "pattern", "source"], ["seq", "ord"], 1)
-    kept = first if limit is None else first_k(first, ["target_id"], ["seq", "ord"], limit)
+    first = first_k(findings, ["target_id", "pattern", "source"], ["seq", "ord", "context"], 1)
+    kept = first if limit is None else first_k(first, ["target_id"], ["seq", "source", "ord"], limit)
     return kept.select(*COLUMNS)
 
 
 def first_of_target(deduped: DataFrame, k: int) -> DataFrame:
     """The first k findings of a target with their number ``n``."""
-    return first_k(deduped, ["target_id"], ["seq", "ord"], k, rank="n")
+    return first_k(deduped, ["target_id"], ["seq", "source", "ord"], k, rank="n")
 
 
 def js_pattern_counts(deduped: DataFrame) -> DataFrame:

@@ -14,47 +14,69 @@ from pyspark.sql import functions as F
 from sitewarden.functions import urls
 from sitewarden.functions.frames import first_k, ordered_text
 from sitewarden.functions.text import literals, lookup
-from sitewarden.operators.javascript import first_of_target
+from sitewarden.operators.javascript import CALL, first_of_target
+from sitewarden.operators.secrets import CUT_END, CUT_START, HIDDEN
 from sitewarden.rules import paths, remediation, report, secrets
 from sitewarden.rules.headers import EXPECTED
 
+#: Rules that do not apply to places.
+PLACES = ("IP Address (Private)",)
 FINDING = ["target_id", "module", "type", "severity", "location", "evidence", "n_counted"]
 
 
+def hidden(text: Column, but: tuple[str, ...] = ()) -> Column:
+    """A text without anything that a credential rule (except those of ``but``) matches."""
+    return F.regexp_replace(text, "(?d)" + secrets.any_credential(but), HIDDEN)
+
+
+def hidden_ends(text: Column, start: Column, end: Column) -> Column:
+    """A text that was cut out of a longer one, without what its cut ends may leave of a credential."""
+    shown = hidden(text)
+    shown = F.when(start, F.regexp_replace(shown, CUT_START, HIDDEN)).otherwise(shown)
+    return F.when(end, F.regexp_replace(shown, CUT_END, HIDDEN)).otherwise(shown)
+
+
 def as_findings(rows: DataFrame, module: str, type_: Column, severity: Column, location: Column, evidence: Column,
                 counted: int = 1) -> DataFrame:
+    """Rows of a module under the common schema. ``evidence`` holds no credential; in places they are hidden here, but
+    addresses of private networks stay."""
     return rows.select(
         "target_id",
         F.lit(module).alias("module"),
         type_.alias("type"),
         severity.alias("severity"),
-        location.cast("string").alias("location"),
+        hidden(location.cast("string"), PLACES).alias("location"),
         evidence.cast("string").alias("evidence"),
         F.lit(counted).cast("bigint").alias("n_counted"),
     )
 
 
+def _title_and_text() -> Column:
+    return F.concat("name", F.lit(": "), "description")
+
+
 def findings_union(modules: dict[str, DataFrame]) -> DataFrame:
     """Results of the modules under one schema. Keys: transport, headers, header_leaks, builders, secrets,
     paths, cookies, forms, leaks, js, api, wp, git; absent modules are left out."""
-    c, lit = F.col, F.lit
+    c, lit, text = F.col, F.lit, lambda name: hidden(F.col(name))
+    cut = (c("pattern") != CALL) if "js" in modules else None
     shape = {
-        "transport": (c("status"), c("severity"), c("url"), lit(None)),
-        "headers": (lit("Missing header"), c("severity"), c("header"), c("patch")),
-        "header_leaks": (lit("Header disclosure"), lit("LOW"), c("header"), c("value")),
-        "builders": (c("tool"), lit("INFO"), c("matched_pattern"), c("evidence")),
-        "secrets": (c("type"), c("severity"), c("location"), c("value_masked")),
-        "paths": (lit("Exposed path"), c("severity"), c("path"), c("snippet")),
-        "cookies": (lit("Cookie issue"), lit("MEDIUM"), c("name"), c("issue")),
-        "forms": (lit("Form issue"), lit("MEDIUM"), c("action"), c("issue")),
-        "leaks": (c("type"), c("severity"), lit(None), c("content")),
-        "js": (c("pattern"), c("severity"), c("source"), c("context")),
-        "api": (c("type"), c("severity"), c("url"), c("description")),
-        "wp": (c("type"), c("severity"), c("name"), c("description")),
-        "git": (c("type"), c("severity"), c("name"), c("description")),
+        "transport": lambda: (c("status"), c("severity"), c("url"), lit(None)),
+        "headers": lambda: (lit("Missing header"), c("severity"), c("header"), c("patch")),
+        "header_leaks": lambda: (lit("Header disclosure"), lit("LOW"), c("header"), text("value")),
+        "builders": lambda: (c("tool"), lit("INFO"), c("matched_pattern"), hidden_ends(c("evidence"), lit(True), lit(True))),
+        "secrets": lambda: (c("type"), c("severity"), c("location"), c("value_masked")),
+        "paths": lambda: (lit("Exposed path"), c("severity"), c("path"), hidden_ends(c("snippet"), lit(False), c("size") > paths.SNIPPET)),
+        "cookies": lambda: (lit("Cookie issue"), lit("MEDIUM"), c("name"), c("issue")),
+        "forms": lambda: (lit("Form issue"), lit("MEDIUM"), c("action"), c("issue")),
+        "leaks": lambda: (c("type"), c("severity"), lit(None), text("content")),
+        "js": lambda: (c("pattern"), c("severity"), c("source"), hidden_ends(c("context"), cut, cut)),
+        "api": lambda: (c("type"), c("severity"), c("url"), text("description")),
+        "wp": lambda: (c("type"), c("severity"), c("url"), hidden(_title_and_text())),
+        "git": lambda: (c("type"), c("severity"), c("url"), hidden(_title_and_text())),
     }
     frames = [
-        as_findings(rows, name, *shape[name], counted=0 if name == "js" else 1) for name, rows in modules.items()
+        as_findings(rows, name, *shape[name](), counted=0 if name == "js" else 1) for name, rows in modules.items()
     ]
     return reduce(DataFrame.unionByName, frames)
 

@@ -14,10 +14,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.functions import matching, urls
+from sitewarden.functions import matching
 from sitewarden.functions.words import MARK
 from sitewarden.operators import acquisition as acq
-from sitewarden.operators import cookies, fingerprint, forms, headers, javascript, leaks, responses, rollup
+from sitewarden.operators import cookies, fingerprint, forms, frontier, headers, javascript, leaks, responses, rollup
 from sitewarden.operators import secrets as sec
 from sitewarden.operators import tool_reports as tools
 from sitewarden.rules import javascript as js_rules
@@ -41,6 +41,9 @@ class Captured:
     resource_body: DataFrame | None = None
     archive_index: DataFrame | None = None
     tool_report: DataFrame | None = None
+    cert: DataFrame | None = None
+    dns_record: DataFrame | None = None
+    whois: DataFrame | None = None
 
 
 def page_resources(pages: DataFrame) -> DataFrame:
@@ -126,6 +129,8 @@ class Audit:
     folder: str
     modules: dict[str, DataFrame] = field(default_factory=dict)
     technologies: DataFrame | None = None
+    #: Results that are no findings: inventory, meta, wordpress, errors, and certificates, dns, whois where captured.
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -145,56 +150,44 @@ class Audit:
         return rollup.grade(self.counts)
 
 
-def _reachable(page_facts: DataFrame, body_facts: DataFrame, targets: DataFrame, folder: str) -> DataFrame:
-    """Facts of the captured bodies that a target refers to, at most two steps from the page.
+@dataclass
+class Scanned:
+    """Facts of the pages and known scripts, those of all resources of the targets, and the counts of resources."""
 
-    The bodies were scanned where they lie; only addresses and hits take part in these joins. The addresses of each
-    step are written, so that the next one does not derive them again.
-    """
-    on = ["target_id", "url"]
-    linked = page_facts.select("target_id", F.explode("links").alias("l")).select("target_id", "l.url", "l.kind")
-    sites = targets.select("target_id", urls.base(F.col("url")).alias("base"))
-    ids = acq.first_build_id(page_facts.filter(F.col("url") == "inline").select("target_id", "seq", "build_id"))
-    manifests = ids.join(sites, "target_id").select(
-        "target_id",
-        F.concat("base", F.lit("/_next/static/"), "build_id", F.lit("/_buildManifest.js")).alias("url"),
-        F.lit("js").alias("kind"),
-    )
+    own: DataFrame
+    found: DataFrame
+    inventory: DataFrame
 
-    def wanted(addresses: DataFrame, kind: Column) -> DataFrame:
-        return addresses.select("target_id", "url", kind.alias("kind"))
 
-    def kept(addresses: DataFrame) -> DataFrame:
-        best = addresses.groupBy(*on).agg(F.max("kind").alias("kind"))
-        rows = body_facts.drop("kind").join(best, on)
-        return rows.select(body_facts.columns)
+def _reached(own: DataFrame, linked: DataFrame, body_facts: DataFrame, targets: DataFrame, folder: str) -> DataFrame:
+    """Addresses of the captured bodies that a target refers to, at most two steps from the page.
 
-    first = sinks.materialize(wanted(linked.unionByName(manifests), F.col("kind")).distinct(), f"{folder}/linked")
-    read = kept(first)
-    chunks = acq.unseen(
-        acq.chunk_addresses(read.filter(F.col("paths").isNotNull()).select("target_id", "url", "paths")), read
-    )
-    second = sinks.materialize(first.unionByName(wanted(chunks, F.lit("js"))), f"{folder}/chunks")
-    columns = ["target_id", "url", "kind", "refs"]
-    known = page_facts.select(columns).unionByName(kept(second).select(columns))
-    named = known.filter(F.col("kind") == "js").join(sites, "target_id").select("target_id", "base", "refs")
-    frontier = acq.frontier_addresses(named, known)
-    return sinks.materialize(kept(second.unionByName(wanted(frontier, acq.kind_of(F.col("url"))))), f"{folder}/reached")
+    The bodies were scanned where they lie; only addresses and hits take part in these joins.
+    """
+    sites = frontier.sites_of(targets)
+    ids = acq.first_build_id(own.filter(F.col("url") == "inline").select("target_id", "seq", "build_id"))
+    linked = linked.unionByName(frontier.manifest_addresses(ids, sites))
+    named = own.filter((F.col("kind") == "js") & F.col("refs").isNotNull())
+    return frontier.discover(linked, named, body_facts, sites, f"{folder}/frontier", known=own)
 
 
-def scan(captured: Captured, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Write and return the facts of the pages and known scripts, and those of all resources of the captured targets."""
+def scan(captured: Captured, folder: str) -> Scanned:
+    """Write the facts of the pages, of the known scripts and of what the targets refer to."""
     resources = page_resources(captured.pages)
     if captured.scripts is not None:
         resources = resources.unionByName(_rows(captured.scripts, F.lit("js"), KNOWN_SCRIPTS, F.col("seq")))
     own = found = sinks.materialize(facts(resources), f"{folder}/facts")
     targets = captured.pages.select(F.col("page_id").alias("target_id"), "url")
+    linked = own.select("target_id", F.explode("links").alias("l")).select("target_id", "l.url", "l.kind")
+    parts = own.filter(F.col("kind") != "html").select("target_id", "kind", "size")
     if captured.resource_body is not None:
-        bodies = _rows(
-            acq.captured(captured.resource_body), acq.kind_of(F.col("url")), BODIES, F.pmod(F.xxhash64("url"), F.lit(SCRIPT_OFFSET))
-        )
+        bodies = _rows(acq.captured(captured.resource_body), acq.kind_of(F.col("url")), BODIES, F.lit(0))
         body_facts = sinks.materialize(facts(bodies), f"{folder}/body_facts")
-        found = found.unionByName(_reachable(own, body_facts, targets, folder))
+        addresses = _reached(own, linked, body_facts, targets, folder)
+        reached = body_facts.drop("kind").join(addresses.select(*frontier.ON, "kind"), frontier.ON)
+        found = found.unionByName(sinks.materialize(reached.select(body_facts.columns), f"{folder}/reached"))
+        parts = parts.unionByName(frontier.fetched(linked, addresses, body_facts))
+    inventory = acq.inventory_of(own.filter(F.col("kind") == "html").select("target_id", "size"), linked, parts)
     if captured.archive_index is not None:
         order = F.coalesce(F.col("ts").try_cast("bigint"), F.xxhash64("ts"))
         picked = acq.archive_select(captured.archive_index).select("target_id", "ts", "original")
@@ -204,14 +197,15 @@ def scan(captured: Captured, folder: str) -> tuple[DataFrame, DataFrame]:
         bodies = bodies.withColumn("url", acq.archive_label())
         archive = sinks.materialize(facts(_rows(bodies, F.lit("js"), ARCHIVES, order)), f"{folder}/archive_facts")
         found = found.unionByName(archive)
-    return own, found
+    return Scanned(own, found, inventory)
 
 
 def run(captured: Captured, folder: str) -> Audit:
     """Audit the captured targets; ``folder`` is a fresh path in shared storage."""
     targets = captured.pages.select(F.col("page_id").alias("target_id"), "url")
-    own, found = scan(captured, folder)
-    pages = own.filter(F.col("kind") == "html")  # pages are never reached as bodies
+    scanned = scan(captured, folder)
+    found = scanned.found
+    pages = scanned.own.filter(F.col("kind") == "html")  # pages are never reached as bodies
 
     technologies = pages.select("target_id", F.explode("technologies").alias("technology"))
     place = F.when(F.col("kind") == "html", F.lit(0)).otherwise(F.lit(3)).alias("source")
@@ -241,13 +235,25 @@ def run(captured: Captured, folder: str) -> Audit:
         modules["api"] = responses.openapi_audit(captured.http_response, targets).select(columns).unionByName(
             responses.graphql_audit(captured.http_response, targets).select(columns)
         )
+    metas = fingerprint.meta_rows_of(pages.select("target_id", "metas"))
+    wordpress = fingerprint.wordpress_flag(targets, metas, technologies.distinct())
+    tables = {"inventory": scanned.inventory, "meta": fingerprint.meta_extract(metas), "wordpress": wordpress}
     if captured.tool_report is not None:
-        wp = tools.wp_report_findings(captured.tool_report)
-        git = tools.git_report_findings(captured.tool_report)
+        # Reports count where their subject was seen: WordPress, or a repository link.
+        flagged = targets.join(wordpress.filter("wordpress"), "target_id")
         repos = fingerprint.repo_rows_of(found.select("target_id", "repos"))
-        modules["wp"] = wp.unionByName(tools.wp_report_clean(captured.tool_report, wp))
+        wp_lines = tools.at_sites(tools.wp_lines(captured.tool_report), flagged)
+        git_lines = tools.at_sites(tools.git_lines(captured.tool_report), tools.last_repository(repos))
+        wp, git = tools.wp_report_findings(wp_lines), tools.git_report_findings(git_lines)
+        modules["wp"] = wp.unionByName(tools.wp_report_clean(wp_lines, wp))
         modules["git"] = git.unionByName(tools.git_report_fallback(repos, git))
-    return Audit(targets, found, folder, modules, technologies.distinct())
+    if captured.cert is not None:
+        tables["certificates"] = headers.cert_inventory(captured.cert)
+    if captured.dns_record is not None:
+        tables["dns"] = headers.dns_rollup(captured.dns_record)
+    if captured.whois is not None:
+        tables["whois"] = headers.whois_rows(captured.whois)
+    return Audit(targets, found, folder, modules, technologies.distinct(), tables)
 
 
 def digest(audit: Audit, captured: Captured) -> DataFrame:

@@ -128,7 +128,8 @@ def severity(rule: str) -> str:
     return "HIGH" if rule in HIGH else "MEDIUM"
 
 
-def any_credential() -> str:
-    """One pattern that matches whatever one of the rules matches; the first rule in order wins."""
-    folded = {p: f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in PATTERNS.values()}
+def any_credential(but: tuple[str, ...] = ()) -> str:
+    """One pattern that matches whatever one of the rules, without those of ``but``, matches; the first in order wins."""
+    patterns = [p for rule, p in PATTERNS.items() if rule not in but]
+    folded = {p: f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns}
     return "|".join(folded.values())
