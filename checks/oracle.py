@@ -723,8 +723,9 @@ FINAL: dict[str, str] = {
         "SELECT target_id, 'tool_report:' || tool AS module, line AS input FROM tool_report WHERE CASE WHEN json_valid(line) THEN json_type(line) <> CASE tool WHEN 'wp' THEN 'OBJECT' ELSE 'ARRAY' END ELSE true END"
         " UNION ALL SELECT target_id, 'target', url FROM targets WHERE regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) = ''"
     ),
-    "severity_windows": "SELECT (1700000000 + target_id) // 3600 * 3600 AS start, severity, count(*) AS n FROM page_each GROUP BY ALL",
-    "scan_stream": "SELECT * FROM page_each",
+    "severity_windows": "SELECT (1700000000 + target_id) // 3600 * 3600 AS start, severity, count(*) AS n FROM page_findings GROUP BY ALL",
+    "scan_stream": "SELECT * FROM page_findings",
+    "findings_stream_sink": "SELECT * FROM page_each",
 }
 
 

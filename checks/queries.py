@@ -615,13 +615,13 @@ def drained(i: Inputs) -> DataFrame:
     )
     rows = page_resources(planted, "captured_at")
     folder = sinks.shared_folder(i.spark)
-    stream.drain(stream.scan_stream(rows, "1 day"), f"{folder}/findings", f"{folder}/progress")
-    return i.spark.read.parquet(f"{folder}/findings")
+    stream.drain(stream.scan_stream(rows, "1 day"), f"{folder}/sink", f"{folder}/progress")
+    return stream.present(i.spark, f"{folder}/sink")
 
 
 @query
 def scan_stream(i):
-    return drained(i).select("target_id", "type", "value_masked", "location", "context", "severity")
+    return drained(i).select("target_id", "type", "value_masked", "location", "context", "severity", "n_values")
 
 
 @query
@@ -630,4 +630,14 @@ def severity_windows(i):
     return rows.select(F.unix_timestamp("start").alias("start"), "severity", "n")
 
 
+@query
+def findings_stream_sink(i):
+    """Rows per severity of the streaming sink: all versions of all findings."""
+    folder = sinks.shared_folder(i.spark)
+    files = i.spark.readStream.schema(i.pages.schema).option("pathGlobFilter", "pages.parquet").parquet(i.sf_dir)
+    planted = planted_html(files).withColumn("captured_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
+    stream.drain(stream.value_stream(page_resources(planted, "captured_at"), "1 day"), folder, f"{folder}/progress")
+    return sinks.read_batches(i.spark, folder).select("target_id", "type", "value_masked", "location", "context", "severity")
+
+
 QUERIES["page_source"] = QUERIES.pop("page_source_")

@@ -23,7 +23,7 @@ CUT_START, CUT_END = r"^[A-Za-z0-9+/_=.-]{8,}", r"[A-Za-z0-9+/_=.-]{8,}$"
 KIND_ORDER = {"html": 0, "js": 1, "css": 2}
 
 
-def _kind_order() -> Column:
+def kind_order() -> Column:
     order = F.lit(len(KIND_ORDER))
     for kind, n in KIND_ORDER.items():
         order = F.when(F.col("kind") == kind, F.lit(n)).otherwise(order)
@@ -66,7 +66,7 @@ def match_rows_of(parsed: DataFrame) -> DataFrame:
 def apply_cap(matches: DataFrame, cap: int = secrets.MATCH_CAP) -> DataFrame:
     """Drop a rule in a target where it has more than ``cap`` matches."""
     return drop_large_groups(
-        matches.withColumn("kind_ord", _kind_order()), ["target_id", "ord"], SCAN_ORDER, cap
+        matches.withColumn("kind_ord", kind_order()), ["target_id", "ord"], SCAN_ORDER, cap
     ).drop("kind_ord")
 
 
@@ -130,7 +130,7 @@ def secret_values(matches: DataFrame, strict: bool = False) -> DataFrame:
     context rule looked away as well. One partial aggregate; a group of any size is reduced before the shuffle.
     """
     place = F.when(F.col("kind") == "css", F.lit(0)).when(F.col("kind") == "js", F.lit(1)).otherwise(F.lit(2))
-    rows = judge(matches, strict=True).withColumn("kind_ord", _kind_order())
+    rows = judge(matches, strict=True).withColumn("kind_ord", kind_order())
     free = F.lit(True) if strict else F.col("suppressed_by").isNull()
     row = F.struct(*SCAN_ORDER, "context", "value", "suppressed_by")
     values = rows.groupBy("target_id", "ord", "rule", F.sha2("value", 256).alias("value_hash")).agg(
@@ -145,7 +145,7 @@ def secret_locations(matches: DataFrame) -> DataFrame:
 
 def dedup(findings: DataFrame) -> DataFrame:
     """First finding per (target, type, masked value) in scan order."""
-    ordered = findings.withColumn("kind_ord", _kind_order())
+    ordered = findings.withColumn("kind_ord", kind_order())
     return first_k(ordered, ["target_id", "ord", "type", "value_masked"], SCAN_ORDER, 1).drop("kind_ord")
 
 

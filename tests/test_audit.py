@@ -1,6 +1,7 @@
 """The whole audit, its frontier, roll-up and the stream."""
 
 import tempfile
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -187,29 +188,106 @@ def stream_rows(spark, path):
     return page_resources(planted, "captured_at")
 
 
-def test_stream_equals_batch_and_continues(spark):
+COLUMNS = ["target_id", "type", "value_masked", "location", "context", "severity", "n_values"]
+
+
+def test_stream_equals_batch_and_continues(spark, few_partitions):
     pages = read_table(spark, SMALL, "pages")
     source, out, progress = folder(), folder(), folder()
     pages.filter("page_id < 25").write.parquet(source)
     scan.drain(scan.scan_stream(stream_rows(spark, source), "1 day"), out, progress)
     pages.filter("page_id >= 20").write.mode("append").parquet(source)  # pages 20..24 arrive again
     scan.drain(scan.scan_stream(stream_rows(spark, source), "1 day"), out, progress)
-    columns = ["target_id", "type", "value_masked", "location", "context", "severity"]
-    batch = sec.secret_findings(page_resources(relation(spark, SMALL, "planted_pages"))).select(columns)
-    got = spark.read.parquet(out).select(columns)
+    batch = sec.secret_findings(page_resources(relation(spark, SMALL, "planted_pages"))).select(COLUMNS)
+    got = scan.present(spark, out).select(COLUMNS)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
+@pytest.fixture
+def few_partitions(spark):
+    """One Python worker per state partition: two are enough here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def drained(spark, rows, *delays):
+    """The rows as one file and one micro-batch each, through the scan."""
+    source, out = folder(), folder()
+    for row in rows:
+        spark.createDataFrame([row], SHAPE).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(source)
+    scan.drain(scan.scan_stream(stream, *delays), out, folder())
+    return out
+
+
+SHAPE = "target_id bigint, seq bigint, kind string, url string, content string, captured_at timestamp"
+
+
+def arrivals():
+    """Two values with one mask, one of them in a script and a style sheet too, and a suppressed place; one file each."""
+    at = lambda n: datetime(2024, 1, 1, 0, 0, n, tzinfo=timezone.utc)
+    return [
+        (1, 0, "html", "HTML page", "a redis://pass1@h/1 b", at(5)),
+        (1, 1, "js", "x.js", f"q {TOKEN['a']} redis://pass2@h/1 redis://pass1@h/1", at(1)),
+        (1, 2, "css", "s.css", "csrf redis://pass2@h/1", at(3)),
+        (2, 0, "html", "HTML page", "c redis://pass1@h/1 redis://pass1@h/1", at(2)),
+        (1, 3, "js", "y.js", f"redis://pass3@h/1 {TOKEN['a']}", at(4)),
+    ]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4), (4, 3, 2, 1, 0)])
+def test_stream_in_any_order_equals_batch(spark, few_partitions, order):
+    rows = arrivals()
+    out = drained(spark, [rows[n] for n in order], "1 day")
+    batch = sec.secret_findings(spark.createDataFrame(rows, SHAPE).drop("captured_at")).select(COLUMNS).collect()
+    got = scan.present(spark, out).select(COLUMNS).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+    assert {r.n_values for r in got} == {1, 3} and scan.late(spark, out).count() == 0
+
+
+def test_late_rows_are_counted_and_old_state_goes(spark, few_partitions):
+    at = lambda minute: datetime(2024, 1, 1, 0, minute, tzinfo=timezone.utc)
+    rows = [(1, 0, "html", "HTML page", f"q {TOKEN['a']}", at(1)), (2, 0, "html", "HTML page", "nothing", at(50)), (3, 0, "html", "HTML page", "nothing", at(51)),
+            (1, 1, "js", "late.js", f"q {TOKEN['b']} {TOKEN['a']}", at(2)), (1, 2, "js", "new.js", f"q {TOKEN['a']}", at(55))]
+    out = drained(spark, rows, "10 minutes", "5 minutes")
+    late = [(r.target_id, r.value_masked[6:9], r.location) for r in scan.late(spark, out).collect()]
+    assert sorted(late) == [(1, "aaa", "late.js"), (1, "bbb", "late.js")]
+    # The first finding was forgotten after five minutes, so the script that came in time begins a new one.
+    got = scan.present(spark, out).collect()
+    assert [(r.target_id, r.location, r.version) for r in got] == [(1, "new.js", 1)]
+
+
+def test_replayed_batch_leaves_the_same_files(spark):
+    out, write = folder(), None
+    rows = spark.createDataFrame([(n, "T", f"m{n}", "HIGH" if n % 2 else "MEDIUM") for n in range(40)], "target_id long, type string, value_masked string, severity string")
+    files = lambda: {str(p.relative_to(out)) for p in Path(out).rglob("*.parquet")}
+    write = sinks.batch_writer(out)
+    write(rows, 0)
+    write(rows.filter("target_id < 10"), 1)
+    assert {p.name for p in Path(f"{out}/findings").iterdir() if p.is_dir()} == {"severity=HIGH", "severity=MEDIUM"}
+    before = files()
+    write(rows, 0)  # the ledger knows it
+    assert files() == before and sinks.read_batches(spark, out).count() == 50
+    sinks.delete(spark, f"{out}/ledger/batch=1")  # as if the writer had died before its last step
+    assert sinks.read_batches(spark, out).count() == 40
+    write(rows.filter("target_id < 10"), 1)
+    assert sinks.read_batches(spark, out).count() == 50 and len(files()) == len(before)
+    write(rows.limit(0), 2)
+    assert sinks.read_batches(spark, out).count() == 50
+
+
 def test_stream_windows(spark):
     source = folder()
     read_table(spark, SMALL, "pages").write.parquet(source)
-    found = scan.scan_stream(stream_rows(spark, source), "2 seconds")
+    found = scan.value_stream(stream_rows(spark, source), "2 seconds")
     query = (scan.severity_windows(found, "10 seconds").writeStream.format("memory").queryName("severity_windows")
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
     written = folder()
     scan.drain(found, written, folder())
-    findings = spark.read.parquet(written)
+    findings = sinks.read_batches(spark, written)
     expected = scan.severity_windows(findings, "10 seconds")
     # Windows that the watermark has passed are final; the last one is still open.
     passed = findings.agg(F.expr("max(captured_at) - INTERVAL 2 SECONDS")).first()[0]
