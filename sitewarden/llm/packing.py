@@ -34,7 +34,7 @@ CAPACITY, STEP = 1024, 4
 GAP = 0.001
 CLOSING_ID = 0
 #: Characters of the texts that are encoded together; a longer text is encoded alone.
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 21
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, class int, place bigint"
 
@@ -90,6 +90,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, step: int
             if rows:
                 kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
+        pa.default_memory_pool().release_unused()  # the worker stays, its next task may be of another kind
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
 
