@@ -100,18 +100,24 @@ RELATIONS = {
     "planted_pages": f"SELECT page_id, url, {PLANTED_HTML} AS html FROM (SELECT *, {MD5} AS h FROM pages) t",
     "page_meta": "SELECT page_id AS target_id, url, CASE WHEN page_id % 9 = 0 THEN url || '/home' ELSE url END AS final_url, cast(200 as int) AS status FROM pages",
     "http_header": (
-        "SELECT page_id AS target_id, 'Strict-Transport-Security' AS name, 'max-age=31536000' AS value FROM pages WHERE page_id % 2 = 0"
-        " UNION ALL SELECT page_id, 'content-security-policy', 'default-src ''self''' FROM pages WHERE page_id % 3 = 0"
-        " UNION ALL SELECT page_id, 'X-Frame-Options', 'DENY' FROM pages WHERE page_id % 4 = 0"
-        " UNION ALL SELECT page_id, 'Referrer-Policy', 'no-referrer' FROM pages WHERE page_id % 5 = 0"
-        " UNION ALL SELECT page_id, 'Server', 'nginx/1.' || cast(page_id % 20 as string) FROM pages WHERE page_id % 5 = 1"
-        " UNION ALL SELECT page_id, 'x-powered-by', 'PHP/8.1' FROM pages WHERE page_id % 7 = 0"
+        "SELECT page_id AS target_id, 'Strict-Transport-Security' AS name, 'max-age=31536000' AS value, cast(0 AS bigint) AS seq FROM pages WHERE page_id % 2 = 0"
+        " UNION ALL SELECT page_id, 'content-security-policy', 'default-src ''self''', cast(1 AS bigint) FROM pages WHERE page_id % 3 = 0"
+        " UNION ALL SELECT page_id, 'content-security-policy', 'base-uri ''none''', cast(2 AS bigint) FROM pages WHERE page_id % 6 = 0"
+        " UNION ALL SELECT page_id, 'X-Frame-Options', 'DENY', cast(3 AS bigint) FROM pages WHERE page_id % 4 = 0"
+        " UNION ALL SELECT page_id, 'Referrer-Policy', 'no-referrer', cast(4 AS bigint) FROM pages WHERE page_id % 5 = 0"
+        " UNION ALL SELECT page_id, 'Server', 'nginx/1.' || cast(page_id % 20 as string), cast(5 AS bigint) FROM pages WHERE page_id % 5 = 1"
+        " UNION ALL SELECT page_id, 'x-powered-by', 'PHP/8.1', cast(6 AS bigint) FROM pages WHERE page_id % 7 = 0"
+        " UNION ALL SELECT page_id, 'x-powered-by', 'ASP.NET', cast(7 AS bigint) FROM pages WHERE page_id % 14 = 0"
     ),
     "set_cookie": (
         f"SELECT page_id AS target_id, cast(0 AS bigint) AS seq, url, 'sid=' || substr({MD5}, 1, 8) || '; Path=/' || CASE WHEN page_id % 2 = 0 THEN '; Secure' ELSE '' END"
         " || CASE WHEN page_id % 3 = 0 THEN '; HttpOnly' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '; SameSite=Lax' ELSE '' END AS set_cookie FROM pages"
         " UNION ALL SELECT page_id, cast(1 AS bigint), url, 'sid=again; Path=/; Secure; HttpOnly; SameSite=Strict' FROM pages WHERE page_id % 7 = 1"
         " UNION ALL SELECT page_id, cast(2 AS bigint), url, 'sid=other; Path=/other' FROM pages WHERE page_id % 7 = 2"
+        " UNION ALL SELECT page_id, cast(3 AS bigint), url, 'sid=; Path=/; Max-Age=0' FROM pages WHERE page_id % 7 = 3"
+        " UNION ALL SELECT page_id, cast(4 AS bigint), url, 'sid=back; Path=/; Max-Age=60' FROM pages WHERE page_id % 14 = 3"
+        " UNION ALL SELECT page_id, cast(5 AS bigint), url, 'sid=; Path=/; Expires=Thu, 01 Jan 1970 00:00:00 GMT' FROM pages WHERE page_id % 7 = 4"
+        " UNION ALL SELECT page_id, cast(6 AS bigint), url, 'track=1; Path=/; Domain=elsewhere.invalid' FROM pages WHERE page_id % 7 = 5"
     ),
     "http_response": (
         "SELECT page_id AS target_id, '/.env' AS path, CASE WHEN page_id % 2 = 0 THEN 200 ELSE 403 END AS status, 'text/plain' AS content_type, 'APP_MODE=prod' || chr(10) || 'REGION=eu' || CASE WHEN page_id % 4 = 2 THEN chr(10) || 'T=glpat-' || substr(md5('env' || cast(page_id as string)), 1, 20) ELSE '' END AS body FROM pages"
@@ -129,10 +135,14 @@ RELATIONS = {
     "cert": (
         "SELECT page_id AS target_id, CASE WHEN page_id % 8 = 0 THEN 'ERROR' ELSE 'VALID' END AS status, CASE WHEN page_id % 8 = 0 THEN 'timed out' END AS error, 'CN=site' || cast(page_id as string) AS subject, 'TLSv1.3' AS version, 'A0' || cast(page_id as string) AS serial, 'CN=Test CA' AS issuer, 'Jan  1 00:00:00 2024 GMT' AS not_before,"
         " 'Jan  1 00:00:00 2025 GMT' AS not_after, 'alt' || cast(n as string) || '.example.com' AS alt_name, cast(n as bigint) AS pos FROM numbered WHERE n < 12"
+        # A second certificate of some targets, captured twice.
+        " UNION ALL SELECT page_id, 'VALID', cast(NULL as string), 'CN=new', 'TLSv1.3', 'B1', 'CN=Another CA', 'Jan  1 00:00:00 2025 GMT', 'Jan  1 00:00:00 2026 GMT', 'new.example.com', cast(n as bigint) FROM numbered WHERE n < 2 AND page_id % 9 = 1"
     ),
     "dns_record": (
         "SELECT page_id AS target_id, CASE n % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'AAAA' WHEN 2 THEN 'MX' WHEN 3 THEN 'NS' ELSE 'TXT' END AS rtype, cast(n as bigint) AS pos,"
         f" 'v' || {ID} || '-' || cast(n as string) AS value FROM numbered WHERE n % 5 <> 0 OR page_id % 2 = 0"
+        # Another answer, with two of the values again and a sixth.
+        f" UNION ALL SELECT page_id, 'TXT', cast(100 + n as bigint), 'v' || {ID} || '-' || cast(n as string) FROM numbered WHERE n IN (4, 9, 12) AND page_id % 3 = 0"
     ),
     "whois": (
         "SELECT page_id AS target_id, 'Reg' || cast(page_id % 3 as string) AS registrar, '2020-01-01' AS creation, 'None' AS expiration, 'ns1,ns2' AS name_servers,"

@@ -328,15 +328,21 @@ CTE["linked_repos"] = (
 CTE["expected"] = table(
     ["header", "severity", "description", "patch"], [(h, *v) for h, v in headers.EXPECTED.items()]
 )
+CTE["joined_header"] = "SELECT target_id, name, string_agg(value, ', ' ORDER BY seq) AS value FROM http_header GROUP BY target_id, name"
 CTE["audited"] = (
     "SELECT t.target_id, e.header, CASE WHEN h.target_id IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS status,"
     " CASE WHEN h.target_id IS NULL THEN e.severity ELSE 'OK' END AS severity, h.value,"
     " CASE WHEN h.target_id IS NULL THEN e.description END AS description, CASE WHEN h.target_id IS NULL THEN e.patch END AS patch"
-    " FROM targets t CROSS JOIN expected e LEFT JOIN http_header h ON h.target_id = t.target_id AND lower(h.name) = lower(e.header)"
+    " FROM targets t CROSS JOIN expected e LEFT JOIN joined_header h ON h.target_id = t.target_id AND lower(h.name) = lower(e.header)"
 )
+CTE["cert_names"] = (
+    "SELECT target_id, status, min(pos) AS pos, " + ", ".join(f"CASE status WHEN 'VALID' THEN {c} END AS {c}" for c in ["subject", "issuer", "not_before", "not_after", "version", "serial", "alt_name"])
+    + ", CASE status WHEN 'VALID' THEN NULL ELSE error END AS error FROM cert GROUP BY ALL"
+)
+CTE["dns_values"] = "SELECT target_id, rtype, value, min(pos) AS pos FROM dns_record GROUP BY ALL"
 CTE["telling"] = table(["header", "risk"], list(headers.TELLING.items()))
 CTE["told"] = (
-    "SELECT target_id, header, value, risk FROM http_header JOIN telling ON name = header OR name = lower(header) WHERE value <> ''"
+    "SELECT target_id, header, value, risk FROM joined_header JOIN telling ON name = header OR name = lower(header) WHERE value <> ''"
 )
 CTE["unsafe"] = (
     "SELECT target_id, url, 'NOT_HTTPS' AS status, 'CRITICAL' AS severity FROM targets WHERE lower(split_part(url, ':', 1)) <> 'https'"
@@ -385,13 +391,14 @@ CTE["graphql"] = (
 # --- cookies and forms ---------------------------------------------------------------------------
 
 CTE["jar"] = (
-    r"SELECT target_id, seq, url, regexp_extract(set_cookie, '^([^=;]*)', 1) AS name,"
+    r"SELECT * EXCLUDE removed FROM (SELECT target_id, seq, url, (regexp_matches(set_cookie, '(?i);\s*max-age=(-|0+(;|$))') OR contains(set_cookie, 'Expires=Thu, 01 Jan 1970')) AS removed, regexp_extract(set_cookie, '^([^=;]*)', 1) AS name,"
     r" CASE WHEN regexp_extract(set_cookie, '(?i);\s*domain=([^;]*)', 1) <> '' THEN '.' || lower(ltrim(regexp_extract(set_cookie, '(?i);\s*domain=([^;]*)', 1), '.'))"
     r" ELSE lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) END AS domain,"
     r" coalesce(nullif(regexp_extract(set_cookie, '(?i);\s*path=([^;]*)', 1), ''), '/') AS path,"
     r" regexp_matches(set_cookie, '(?i);\s*secure(;|$)') AS secure, regexp_matches(set_cookie, '(?i);\s*httponly(;|$)') AS httponly,"
     r" coalesce(nullif(regexp_extract(set_cookie, '(?i);\s*samesite=([^;]*)', 1), ''), 'Not Set') AS samesite FROM set_cookie"
-    " QUALIFY row_number() OVER (PARTITION BY target_id, domain, path, name ORDER BY seq DESC) = 1"
+    " WHERE NOT contains(set_cookie, 'Domain=elsewhere.invalid')"
+    " QUALIFY row_number() OVER (PARTITION BY target_id, domain, path, name ORDER BY seq DESC) = 1) j WHERE NOT removed"
 )
 CTE["cookie_issues"] = (
     "SELECT target_id, domain, path, name, row_number() OVER (PARTITION BY target_id, domain, path, name ORDER BY o) AS n, issue FROM ("
@@ -667,12 +674,17 @@ FINAL: dict[str, str] = {
     "header_info_leak": "SELECT * FROM told",
     "transport_audit": "SELECT * FROM unsafe",
     "cert_inventory": (
-        "SELECT target_id, status, max(CASE status WHEN 'VALID' THEN subject END) AS subject, max(CASE status WHEN 'VALID' THEN version END) AS version, max(CASE status WHEN 'VALID' THEN serial END) AS serial,"
-        " max(CASE status WHEN 'VALID' THEN NULL ELSE error END) AS error, max(CASE status WHEN 'VALID' THEN issuer END) AS issuer, max(CASE status WHEN 'VALID' THEN not_before END) AS not_before,"
-        " max(CASE status WHEN 'VALID' THEN not_after END) AS not_after, string_agg(CASE status WHEN 'VALID' THEN alt_name END, ', ' ORDER BY pos) AS alt_names"
-        " FROM cert GROUP BY target_id, status"
+        "SELECT target_id, status, subject, version, serial, error, issuer, not_before, not_after, string_agg(alt_name, ', ' ORDER BY pos) AS alt_names FROM cert_names GROUP BY ALL"
+    ),
+    "report_topn_cert": (
+        "SELECT target_id, subject, serial, string_agg(alt_name, ', ' ORDER BY pos) AS alt_names FROM"
+        " (SELECT * FROM cert_names WHERE status = 'VALID' QUALIFY row_number() OVER (PARTITION BY target_id, serial ORDER BY pos) <= 10) t GROUP BY ALL"
+    ),
+    "dns_rollup": "SELECT target_id, rtype, count(*) AS n_values, array_to_string(list(value ORDER BY pos), ', ') AS shown FROM dns_values GROUP BY ALL",
+    "report_topn_dns": (
+        "SELECT target_id, rtype, string_agg(value, ', ' ORDER BY pos) AS shown FROM"
+        " (SELECT * FROM dns_values QUALIFY row_number() OVER (PARTITION BY target_id, rtype ORDER BY pos) <= 5) t GROUP BY ALL"
     ),
-    "dns_rollup": "SELECT target_id, rtype, count(*) AS n_values, array_to_string(list(value ORDER BY pos), ', ') AS shown FROM dns_record GROUP BY ALL",
     "whois_rows": " UNION ALL ".join(
         f"SELECT target_id, '{label}' AS field, {c} AS value FROM whois WHERE {c} <> '' AND {c} <> 'None'"
         for c, label in [("registrar", "Registrar"), ("creation", "Creation"), ("expiration", "Expiration"),
@@ -709,6 +721,10 @@ FINAL: dict[str, str] = {
     "findings_union": "SELECT * FROM findings",
     "severity_counts": "SELECT * FROM counts",
     "severity_bars": "SELECT target_id, severity, n, (n * 25 // top)::BIGINT AS bar_len, repeat('█', n * 25 // top) AS bar FROM bar_rows",
+    "severity_rollup": (
+        "SELECT host, severity, cast(grouping(host, severity) AS bigint) AS level, cast(sum(n) AS bigint) AS n FROM (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) AS host, upper(s) AS severity, n FROM"
+        " (UNPIVOT (SELECT target_id, critical, high, medium, low, info FROM counts) ON critical, high, medium, low, info INTO NAME s VALUE n) c JOIN targets USING (target_id)) t GROUP BY ROLLUP (host, severity)"
+    ),
     "grade": "SELECT target_id, total, CASE WHEN total = 0 THEN 'A+' WHEN critical > 0 THEN 'F' WHEN high > 2 THEN 'D' WHEN high > 0 THEN 'C' WHEN medium > 3 THEN 'B-' ELSE 'B+' END AS grade FROM counts",
     "remediation_join": f"SELECT target_id, type, value_masked, coalesce(advice, {s(remediation.SECRET_DEFAULT)}) AS advice FROM page_findings LEFT JOIN secret_advice USING (type)",
     "path_remediation": f"SELECT target_id, path, coalesce(advice, {s(remediation.PATH_DEFAULT)}) AS advice FROM exposed LEFT JOIN path_advice USING (path)",

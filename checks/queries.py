@@ -383,6 +383,16 @@ def dns_rollup(i):
     return headers.dns_rollup(i.dns_record)
 
 
+@query
+def report_topn_cert(i):
+    return headers.cert_report_rows(i.cert)
+
+
+@query
+def report_topn_dns(i):
+    return headers.dns_report_rows(i.dns_record)
+
+
 @query
 def whois_rows(i):
     return headers.whois_rows(i.whois)
@@ -546,6 +556,11 @@ def severity_bars(i):
     return rollup.severity_bars(i.counts)
 
 
+@query
+def severity_rollup(i):
+    return rollup.severity_rollup(i.counts, i.targets)
+
+
 @query
 def grade(i):
     return rollup.grade(i.counts)

@@ -94,6 +94,18 @@ def severity_counts(findings: DataFrame, targets: DataFrame) -> DataFrame:
     return counted.withColumn("total", reduce(Column.__add__, [F.col(s.lower()) for s in report.SEVERITIES]))
 
 
+def severity_rollup(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Counted findings by host and severity, by host, and in all (`host`, `severity` null); `level` says which.
+
+    The counts of a target become rows behind the join, and these are added up in the map tasks.
+    """
+    rows = F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s.lower()).alias("n")) for s in report.SEVERITIES])
+    hosts = targets.select("target_id", urls.hostname(urls.normalize(F.col("url"))).alias("host"))
+    each = counts.join(hosts, "target_id").select("host", F.inline(rows))
+    summed = each.rollup("host", "severity").agg(F.sum("n").alias("n"), F.grouping_id().cast("bigint").alias("level"))
+    return summed.select("host", "severity", "level", "n")
+
+
 def severity_bars(counts: DataFrame) -> DataFrame:
     """One row per target and severity with the length of its bar relative to the largest count."""
     names = [s.lower() for s in report.SEVERITIES]

@@ -116,6 +116,40 @@ def test_header_spelling(spark):
     assert [r.value for r in headers.header_info_leak(rows).collect()] == ["y"]
 
 
+def test_repeated_headers_keep_their_order(spark):
+    targets = spark.createDataFrame([(1,)], "target_id bigint")
+    rows = spark.createDataFrame(
+        [(1, "X-Powered-By", "PHP", 2), (1, "X-Powered-By", "Zend", 1), (1, "X-Powered-By", None, 0), (1, "Referrer-Policy", "b", 1), (1, "Referrer-Policy", "a", 2)],
+        "target_id bigint, name string, value string, seq bigint")
+    assert [r.value for r in headers.header_info_leak(rows).collect()] == ["Zend, PHP"]
+    assert [r.value for r in headers.header_audit(targets, rows).collect() if r.header == "Referrer-Policy"] == ["b, a"]
+
+
+def test_certificates_of_one_target_stay_apart(spark):
+    kinds = "target_id bigint, status string, error string, subject string, version string, serial string, issuer string, not_before string, not_after string, alt_name string, pos bigint"
+    one = [(1, "VALID", None, "CN=a", "3", "9", "Z", "x", "y", f"n{n:02}", n) for n in range(12)]
+    rows = spark.createDataFrame([*one, *one, (1, "VALID", None, "CN=b", "3", "1", "A", "x", "y", None, None), (2, "ERROR", "late", "?", None, None, None, None, None, None, None)], kinds)
+    got = {(r.target_id, r.subject): (r.issuer, r.serial, r.error, r.alt_names) for r in headers.cert_inventory(rows).collect()}
+    names = [f"n{n:02}" for n in range(12)]
+    assert got == {(1, "CN=a"): ("Z", "9", None, ", ".join(names)), (1, "CN=b"): ("A", "1", None, ""), (2, None): (None, None, "late", None)}
+    assert [(r.subject, r.alt_names) for r in headers.cert_report_rows(rows).collect()] == [("CN=a", ", ".join(names[:10]))]
+    assert headers.cert_inventory(rows.limit(0)).count() == 0
+
+
+def test_captured_answers_do_not_pile_up(spark):
+    rows = spark.createDataFrame([(1, "A", p + 10 * again, f"v{p}") for p in range(7) for again in range(50)], "target_id bigint, rtype string, pos bigint, value string")
+    assert headers.dns_rollup(rows).collect() == [(1, "A", 7, "v0, v1, v2, v3, v4, v5, v6")]
+    assert headers.dns_report_rows(rows).collect() == [(1, "A", "v0, v1, v2, v3, v4")]
+
+
+def test_rolled_up_by_host(spark):
+    targets = spark.createDataFrame([(1, "https://A.b/x"), (2, "http://a.b"), (3, "https://c.d")], "target_id bigint, url string")
+    counts = spark.createDataFrame([(1, 1, 0, 0, 0, 2, 3), (2, 1, 0, 0, 0, 0, 1), (3, 0, 0, 0, 4, 0, 4)], "target_id bigint, critical bigint, high bigint, medium bigint, low bigint, info bigint, total bigint")
+    got = {(r.host, r.severity, r.level): r.n for r in rollup.severity_rollup(counts, targets).collect()}
+    assert (got["a.b", "CRITICAL", 0], got["a.b", None, 1], got["c.d", "LOW", 0], got[None, None, 3]) == (2, 4, 4, 8)
+    assert len(got) == 10 + 2 + 1
+
+
 @pytest.mark.parametrize("path, severity", [
     ("/tsconfig.json", "CRITICAL"), ("/.gitignore", "CRITICAL"), ("/Dockerfile", "MEDIUM"), ("/docker-compose.yml", "HIGH"),
     ("/package-lock.json", "MEDIUM"), ("/package.json", "HIGH"), ("/.well-known/security.txt", "INFO"), ("/admin", "MEDIUM")])
@@ -135,6 +169,38 @@ def test_cookie_attributes(spark):
     assert cookies.insecure_cookie_count(cookies.cookie_parse(rows)).orderBy("target_id").collect()[0].n_insecure == 0
 
 
+def test_jar_like_a_client(spark):
+    """Set, deleted, set again, expired and foreign cookies, as the standard library keeps them."""
+    from datetime import datetime, timezone
+    from email.message import Message
+    from http.cookiejar import CookieJar
+    from urllib.request import Request
+
+    url = "https://shop.example.com/a/b"
+    lines = [
+        "k1=a; Path=/", "k2=a; Path=/; Max-Age=0", "k3=a; Path=/", "k3=; Path=/; Max-Age=-5", "k4=a; Path=/", "k4=; Path=/; Max-Age=0", "k4=b; Path=/; Secure",
+        "k5=a; Path=/; Expires=Wed, 21 Oct 2015 07:28:00 GMT", "k6=a; Path=/; Expires=Wed, 21-Oct-2099 07:28:00 GMT", "k7=a; Path=/; Domain=example.com",
+        "k8=a; Path=/; Domain=other.com", "k9=a; Path=/; Domain=ample.com", "k10=a; Path=/; Expires=Wed, 21 Oct 2015 07:28:00 GMT; Max-Age=60", "k11=a; Path=/; Expires=soon",
+    ]
+
+    class Answer:
+        def __init__(self, line):
+            self.message = Message()
+            self.message["Set-Cookie"] = line
+
+        def info(self):
+            return self.message
+
+    jar = CookieJar()
+    for line in lines:  # an answer each, as the library deletes before it sets those of one answer
+        jar.extract_cookies(Answer(line), Request(url))
+    now = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = spark.createDataFrame([(1, n, url, line, now) for n, line in enumerate(lines)], "target_id bigint, seq bigint, url string, set_cookie string, captured_at timestamp")
+    got = {r.name: (r.path, r.secure) for r in cookies.cookie_parse(rows).collect()}
+    assert got == {c.name: (c.path, c.secure) for c in jar}
+    assert {r.name for r in cookies.cookie_parse(rows.drop("captured_at")).collect()} == set(got) | {"k5"}
+
+
 def test_script_findings_first_wins_and_cap(spark):
     text = "".join(f"fetch('https://h/{n}');" for n in range(3)) + "eval(1);eval(2)"
     rows = [(1, n, f"u{n}", text) for n in range(40)] + [(2, 0, "inline", text), (2, 1, "inline", text)]

@@ -22,7 +22,7 @@ def whole_plans(spark):
     spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
 
 
-EAGER = {"findings_sink", "scan_stream", "severity_windows", "findings_union", "severity_counts", "severity_bars", "grade", "target_digest"}
+EAGER = {"findings_sink", "scan_stream", "severity_windows", "findings_union", "severity_counts", "severity_bars", "severity_rollup", "grade", "target_digest"}
 
 
 def physical(df) -> str:
