@@ -30,7 +30,7 @@ def op1_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark)
     warc.write(read(spark, sf_dir, "pages"), f"{folder}/warc")
-    narrow = warc.read_archives(spark, f"{folder}/warc").where("intact").drop("payload", "uri", "digest", "intact")
+    narrow = warc.read_archives(spark, f"{folder}/warc").drop("payload", "uri", "digest", "intact")
     return warc.with_revisits(saved(narrow, f"{folder}/found")).withColumnRenamed("key", "page_id")
 
 

@@ -10,12 +10,17 @@ orders them by number, checks that they are complete and as long as the last one
 
 Null payload counts as empty. Rows without a key are responses of their own. Repeated rows are separate records; when
 they hold the largest key of their payload, all of them are responses. Records that are broken (a missing segment, a
-wrong total length, bad framing) come back with `intact` false and no payload. Empty tables give no records.
+wrong total length, bad framing) come back with `intact` false and no payload. Where a file cannot be read on (a header
+without end or length, a block that is cut off, a damaged or unfinished gzip member), its records before that place are
+kept, and the rest is one broken record, with the header fields that could be read. A broken segment is such a record
+besides the one it belongs to; segments without their first record are a broken record under the identifier of that
+record. Empty tables and empty files give no records.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +31,14 @@ from pyspark.sql import functions as F
 LEAST_BYTES = 1000
 SEGMENT_CHARS, CHUNK_CHARS = 32_768, 8_192
 RECORDS_PER_FILE = 1_000
-CRLF = "\r\n"
+CRLF, GZIP = "\r\n", b"\x1f\x8b"
+#: Bytes that are given to the decompressor at a time.
+SLICE = 1 << 16
 #: The capture time is not in the table; the format asks for one.
 DATE = "1970-01-01T00:00:00Z"
 
-RECORD = "kind string, record_id string, key bigint, uri string, refers_to string, digest string, segment int, origin string, total bigint, block binary"
+RECORD = "kind string, record_id string, key bigint, uri string, refers_to string, digest string, segment int, origin string, total bigint, block binary, sound boolean"
+HEAD = ["kind", "record_id", "key", "uri", "refers_to", "digest"]
 WHOLE = "kind string, record_id string, key bigint, uri string, refers_to string, digest string, intact boolean, payload binary, payload_bytes bigint, payload_digest string"
 
 
@@ -103,34 +111,59 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url",
     out.option("compression", "gzip").option("lineSep", CRLF + CRLF).text(folder)
 
 
-def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; compressed files may have any number of members."""
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+def inflated(data: bytes) -> tuple[bytes, bool]:
+    """The content of a file of any number of gzip members, and whether all of it could be read."""
+    if data[:2] != GZIP:
+        return data, True
+    parts, at = [], 0
+    while data[at : at + 2] == GZIP:
         member = zlib.decompressobj(31)
-        parts.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    data, at = b"".join(parts) if parts else data, 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
+        while not member.eof:
+            if at >= len(data):
+                return b"".join(parts), False
+            piece = data[at : at + SLICE]
+            try:
+                parts.append(member.decompress(piece))
+            except zlib.error:
+                return b"".join(parts), False
+            at += len(piece) - len(member.unused_data)
+    return b"".join(parts), not data[at:].strip(b"\0")
+
+
+def number(value: str | None, digits: int = 18) -> int | None:
+    """A header field as a number, None where it is not one."""
+    return int(value) if value and re.fullmatch(rf"-?[0-9]{{1,{digits}}}", value) else None
+
+
+def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Headers (names in lower case) and block of each record, and whether it is whole; one that is not is the last."""
+    (data, sound), at = inflated(data), 0
+    while (start := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", start)
+        lines = data[start : end if end >= 0 else len(data)].decode("utf-8", "replace").split(CRLF)[1:]
         headers = {n.strip().lower(): v.strip() for n, _, v in (line.partition(":") for line in lines)}
-        at = end + 4 + int(headers["content-length"])
-        yield headers, data[end + 4 : at]
+        length = number(headers.get("content-length")) if end >= 0 else None
+        if length is None or length < 0 or end + 4 + length > len(data):
+            yield headers, data[start:], False
+            return
+        at = end + 4 + length
+        yield headers, data[end + 4 : at], True
+    if not sound or data[at:].strip():
+        yield {}, data[at:], False
 
 
 def parse(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in RECORD.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
-    number = lambda v: None if v is None else int(v)
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
     for batch in files:
         for content in batch.column(0):
             rows = []
-            for h, block in walk(content.as_py()):
+            for h, block, sound in walk(content.as_py()):
                 digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 rows.append((
                     h.get("warc-type"), h.get("warc-record-id"), number(h.get("source-key")), h.get("warc-target-uri"), h.get("warc-refers-to"), digest,
-                    number(h.get("warc-segment-number")), h.get("warc-segment-origin-id"), number(h.get("warc-segment-total-length")), block,
+                    number(h.get("warc-segment-number"), 9), h.get("warc-segment-origin-id"), number(h.get("warc-segment-total-length")),
+                    block if sound else None, sound and ("warc-segment-number" not in h or "warc-segment-origin-id" in h or "warc-record-id" in h),
                 ))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
@@ -176,9 +209,11 @@ def _decode(column: str, message):
         for batch in batches:
             kept = [batch.column(n) for n in names[:6]]
             kinds = batch.column("kind").to_pylist()
-            made = [None if k == "revisit" else payload_of(message(v.as_py())) for k, v in zip(kinds, batch.column(column), strict=True)]
+            messages = [message(v.as_py()) for v in batch.column(column)]
+            made = [None if k == "revisit" else payload_of(m) for k, m in zip(kinds, messages, strict=True)]
             digests = [None if p is None else hashlib.sha1(p).hexdigest() for p in made]
-            intact = [k == "revisit" or (d is not None and d == (w or d)) for k, d, w in zip(kinds, digests, batch.column("digest").to_pylist(), strict=True)]
+            announced = batch.column("digest").to_pylist()
+            intact = [m is not None and (k == "revisit" or (d is not None and d == (w or d))) for k, m, d, w in zip(kinds, messages, digests, announced, strict=True)]
             sizes = [None if p is None else len(p) for p in made]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(intact, pa.bool_()), pa.array(made, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names)
 
@@ -189,13 +224,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: whole payloads of responses, and revisits without one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     rows = files.mapInArrow(parse, RECORD)
-    whole = rows.where("segment IS NULL").drop("segment", "origin", "total").mapInArrow(_decode("block", lambda b: b), WHOLE)
-    head = F.struct("kind", "record_id", "key", "uri", "refers_to", "digest")
+    whole = rows.where("segment IS NULL OR NOT sound").select(*HEAD, F.when(F.col("sound"), F.col("block")).alias("block"))
+    whole = whole.mapInArrow(_decode("block", lambda b: b), WHOLE)
+    head = F.struct(*HEAD)
+    orphan = F.struct(*[(F.col("origin") if c == "record_id" else F.lit(None).cast("bigint" if c == "key" else "string")).alias(c) for c in HEAD])
     # A group is one payload, which was one row before it was cut.
-    cut = rows.where("segment IS NOT NULL").groupBy(F.coalesce("origin", "record_id").alias("origin")).agg(
+    cut = rows.where("segment IS NOT NULL AND sound").groupBy(F.coalesce("origin", "record_id").alias("origin")).agg(
         F.max(F.when(F.col("segment") == 1, head)).alias("head"), F.collect_list(F.struct("segment", "total", "block")).alias("segments")
     )
-    joined = cut.where("head IS NOT NULL").select("head.*", "segments").mapInArrow(_decode("segments", message_of), WHOLE)
+    joined = cut.withColumn("head", F.coalesce("head", orphan)).select("head.*", "segments").mapInArrow(_decode("segments", message_of), WHOLE)
     return whole.unionByName(joined)
 
 

@@ -78,6 +78,60 @@ def test_broken_segments(spark, tmp_path, dropped, total, intact):
         assert bytes(row.payload) == b"ab\r\n\xff\x00c"
 
 
+#: A gzip member whose data ends in the middle and is followed by other bytes.
+GZ_BAD = gzip.compress(bytes(range(256)) * 4)[:30] + b"\xff" * 40
+
+
+def single(n, extra=b""):
+    body = f"HTTP/1.1 200 OK\r\n\r\nbody {n}".encode()
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{n}>\r\nSource-Key: {n}\r\n".encode() + extra + f"Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+GOOD = single(1) + single(2)
+BROKEN = {
+    "header without end": gzip.compress(GOOD + b"WARC/1.1\r\nWARC-Type: response\r\nSource-K"),
+    "no length": gzip.compress(GOOD + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx\r\n\r\n"),
+    "bad length": gzip.compress(GOOD + b"WARC/1.1\r\nContent-Length: -5\r\n\r\nx\r\n\r\n"),
+    "block cut off": gzip.compress(GOOD + single(3)[:-12]),
+    "member cut off": gzip.compress(GOOD) + gzip.compress(single(3))[:-20],
+    "bad member": gzip.compress(GOOD) + GZ_BAD,
+    "junk behind": gzip.compress(GOOD) + b"junk",
+    "text behind": gzip.compress(GOOD + b"junk"),
+}
+
+
+@pytest.mark.parametrize("case", BROKEN)
+def test_broken_files(spark, tmp_path, case):
+    """What precedes the broken place is kept, the rest is one broken record, and other files are read."""
+    (tmp_path / "b.warc.gz").write_bytes(BROKEN[case])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(single(9, b"WARC-Segment-Total-Length: many\r\n")))
+    (tmp_path / "d.warc.gz").write_bytes(b"")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(b""))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.key, bytes(r.payload)) for r in rows if r.intact) == [(n, f"body {n}".encode()) for n in (1, 2, 9)]
+    assert [r.payload for r in rows if not r.intact] == [None]
+
+
+def test_segments_without_their_first(spark, tmp_path):
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(2, b"xyz", 3, "urn:1")))
+    [row] = warc.read_archives(spark, str(tmp_path)).collect()
+    assert (row.record_id, row.key, row.intact, row.payload) == ("<urn:1>", None, False, None)
+
+
+def test_query_of_archives(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html").collect()
+    last = {}
+    for p in sorted(pages):
+        if len((p.html or "").encode()) >= 1000:
+            last[p.html] = p.page_id
+    want = {}
+    for p in pages:
+        b, keeper = (p.html or "").encode(), last.get(p.html, p.page_id)
+        want[p.page_id] = (len(b), hashlib.sha1(b).hexdigest(), "response" if keeper == p.page_id else "revisit", None if keeper == p.page_id else keeper)
+    got = queries.QUERIES["op2_warc_reassembly"](spark, SMALL).collect()
+    assert {r.page_id: tuple(r)[1:] for r in got} == want and len(got) == len(pages)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=20), max_size=6))
 def test_dechunk(parts):
