@@ -9,7 +9,7 @@ precision. `count` is the largest for which a pair right at the threshold is los
 Equal vectors are one class, so copies cost nothing. A pair of blocks returns sums and a spanning forest instead of its
 links: a class with thousands of near copies yields as many rows as it has vectors per block, not their square.
 
-Vectors that are null, empty or zero, or hold null or non-finite components, or whose label is null, link with nothing.
+Vectors that are null, empty or zero, or hold null or non-finite components, or whose label is null, link with nothing. Labels of any type are compared by their text.
 Vectors of different lengths link with nothing. Ids may be tied: rows with one id are one vector each.
 """
 
@@ -30,7 +30,7 @@ THRESHOLD, LINES, MISS, BLOCK = 0.98, 32, 1e-7, 1024
 #: Half the width of a window, in standard deviations of a pair at the threshold.
 WIDTH = 2.0
 
-BLOCKS = "label int, dims int, block string, low double, high double, ids binary, copies binary, vectors binary"
+BLOCKS = "label string, dims int, block string, low double, high double, ids binary, copies binary, vectors binary"
 LINKS = "a bigint, b bigint, n bigint"
 
 
@@ -70,7 +70,7 @@ def blocks_of(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             [np.array([h[3] for h in held], "<i8").tobytes()], [np.array([h[4] for h in held], "<i8").tobytes()],
             [np.array([h[5] for h in held], "<f8").tobytes()],
         ]
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     for batch in rows:
@@ -157,17 +157,17 @@ def near_duplicates(
     """key, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     folder = run_folder(spark)
-    rows = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("class", F.when(F.coalesce(usable, F.lit(False)), F.sha2(F.concat_ws(",", "label", F.transform("vector", lambda x: F.hex((x + 0.0).cast("string")))), 256)))
+    rows = rows.withColumn("class", F.when(F.coalesce(usable, F.lit(False)), F.sha2(F.concat_ws(",", F.hex("label"), F.transform("vector", lambda x: F.hex((x + 0.0).cast("string")))), 256)))
     usable = rows.where("class IS NOT NULL")
     classes = usable.groupBy("class").agg(F.min(F.struct("key", "label", "vector")).alias("one"), F.count("*").alias("copies"))
     classes = classes.select("class", F.col("one.label").alias("label"), F.col("one.key").alias("first"), F.col("one.vector").alias("vector"), "copies")
     # A number per class: the vectors of a class have the smallest key, but keys may be tied between classes.
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
     ready = classes.select("label", F.size("vector").alias("dims"), "id", "copies", "vector")
-    ready = ready.mapInArrow(projected, "label int, dims int, low double, id bigint, copies bigint, vector array<double>")
+    ready = ready.mapInArrow(projected, "label string, dims int, low double, id bigint, copies bigint, vector array<double>")
     ready = ready.repartitionByRange("label", "dims", "low").sortWithinPartitions("label", "dims", "low")
     cut = saved(ready.mapInArrow(lambda it: blocks_of(it, block), BLOCKS), f"{folder}/blocks")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9

@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitewarden.llm import components, group_matrix, projections, queries, simhash
@@ -72,6 +73,14 @@ def test_vectors(spark):
     assert projections.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("labels, kind", [(("a, b", "ab", ""), "string"), ((0.5, 0.25, -1.0), "double"), ((True, False, None), "boolean")])
+def test_labels_of_any_type(spark, labels, kind):
+    near, far = [1.0, 2.0, 3.0], [3.0, -1.0, 0.0]
+    rows = [(n, v, y) for n, (v, y) in enumerate((v, y) for y in labels for v in (near, [2.0, 4.0, 6.0], near, far))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projections.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    assert got == {n: (2, n - n % 4) if y is not None and n % 4 < 3 else (0, n) for n, _, y in rows}
+
+
 def test_count_is_calibrated():
     half, hit = projections.window(64, 0.98)
     need = projections.least_count(32, hit, 1e-7)
