@@ -154,6 +154,16 @@ RELATIONS = {
         " CASE WHEN n % 6 = 5 THEN 404 ELSE 200 END AS status, '/* padding padding padding padding padding padding */ <i>' ||"
         f" CASE WHEN n = 1 THEN 'glpat-' || substr({MD5}, 1, 20) WHEN n = 2 THEN 'AKIA' || upper(substr({MD5}, 1, 16)) ELSE '' END || '</i>' AS content FROM numbered"
     ),
+    # Copies of two files at several times: one value in copies 1, 2 and 4, one from the third on that some pages still show,
+    # one in the last copy of the other file. Some copies were not answered with 200.
+    "archive_history": (
+        "SELECT page_id AS target_id, '2020' || cast(1000000000 + n as string) AS ts, 'http://old.example.com/config.js' AS original, 'application/javascript' AS mimetype, 'com,example,old)/config.js' AS urlkey,"
+        " CASE WHEN n = 5 AND page_id % 3 = 0 THEN 503 ELSE 200 END AS status, '/* padding padding padding padding padding padding */ <i>' ||"
+        f" CASE WHEN n IN (1, 2, 4) THEN 'glpat-' || substr(md5('gone' || {ID}), 1, 20) ELSE '' END || '</i>' || repeat('-', 100) || '<i>' ||"
+        f" CASE WHEN n >= 3 THEN 'glpat-' || substr({MD5}, 1, 20) ELSE '' END || '</i>' AS content FROM numbered WHERE n BETWEEN 1 AND 6"
+        " UNION ALL SELECT page_id, '2021' || cast(1000000000 + n as string), 'http://old.example.com/b.js', CASE WHEN n = 4 THEN 'text/html' ELSE 'application/javascript' END, 'com,example,old)/b.js', 200,"
+        f" '/* padding padding padding padding padding padding */ <i>' || CASE WHEN n >= 3 THEN 'AKIA' || upper(substr({MD5}, 1, 16)) ELSE '' END || '</i>' FROM numbered WHERE n BETWEEN 1 AND 4"
+    ),
     "resource_ref": (
         "SELECT page_id AS target_id, url AS base_url, CASE page_id % 4 WHEN 0 THEN 'https://cdn.example.com/a.js' WHEN 1 THEN '//cdn.example.com/b.js' WHEN 2 THEN '/js/c.js' ELSE 'd.js' END AS ref FROM pages"
     ),

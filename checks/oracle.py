@@ -126,6 +126,29 @@ scan_chain("page", "page_rows")
 scan_chain("whole", "live_and_documents")
 scan_chain("inner", "live")
 scan_chain("old", "archive_rows")
+CTE["history_copies"] = (
+    "SELECT target_id, urlkey, ts, '[ARCHIVE] ' || original AS url, content FROM archive_history WHERE status = 200 AND mimetype = 'application/javascript' AND ts <> 'timestamp'"
+)
+CTE["history_rows"] = "SELECT target_id, ts::BIGINT AS seq, 1 AS kind_ord, 'js' AS kind, url, content FROM history_copies"
+scan_chain("history", "history_rows")
+CTE["history_values"] = (
+    "SELECT DISTINCT p.target_id, c.urlkey, c.ts, p.type, p.value, p.value_hash, p.value_masked, p.severity"
+    " FROM history_placed p JOIN history_copies c ON c.target_id = p.target_id AND c.url = p.url AND c.ts::BIGINT = p.seq"
+)
+# A run is told by what ends it: the next copy of the file without the value.
+CTE["history_gaps"] = (
+    "SELECT v.target_id, v.urlkey, v.type, v.value, c.ts FROM (SELECT DISTINCT target_id, urlkey, type, value FROM history_values) v"
+    " JOIN history_copies c USING (target_id, urlkey) ANTI JOIN history_values h USING (target_id, urlkey, type, value, ts)"
+)
+CTE["history_runs"] = (
+    "SELECT target_id, urlkey, type, value, value_hash, value_masked, severity, end_ts, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_copies FROM ("
+    "SELECT v.*, g.ts AS end_ts FROM history_values v ASOF LEFT JOIN history_gaps g"
+    " ON g.target_id = v.target_id AND g.urlkey = v.urlkey AND g.type = v.type AND g.value = v.value AND g.ts > v.ts) GROUP BY ALL"
+)
+CTE["history_live"] = (
+    "SELECT *, EXISTS (SELECT 1 FROM page_placed p WHERE p.target_id = r.target_id AND p.type = r.type AND p.value = r.value) AS live,"
+    " max(last_seen) OVER (PARTITION BY target_id, type, value) AS last_of_all FROM history_runs r"
+)
 scan_chain("audit", "audit_rows")
 
 # --- page structure ------------------------------------------------------------------------------
@@ -644,6 +667,10 @@ FINAL: dict[str, str] = {
     "archive_select": "SELECT target_id, ts, original, urlkey FROM archive_picked",
     "archive_resources": "SELECT target_id, ts, url, length(content) AS size FROM archived",
     "historical_only_secrets": "SELECT DISTINCT target_id, type, value_masked, value_hash, location, severity FROM old_placed o WHERE NOT EXISTS (SELECT 1 FROM page_placed p WHERE p.target_id = o.target_id AND p.type = o.type AND p.value = o.value)",
+    "secret_lifetimes": (
+        "SELECT target_id, urlkey, type, value_masked, value_hash, first_seen, last_seen, n_copies,"
+        " CASE WHEN live AND last_seen = last_of_all THEN NULL ELSE end_ts END AS gone_since, live, severity FROM history_live"
+    ),
     "findings_sink": "SELECT target_id, type, value_masked, severity FROM page_findings",
     "secret_matches": "SELECT target_id, rule, count(*) AS n FROM page_matches GROUP BY ALL",
     "secret_match_cap": "SELECT target_id, rule, count(*) AS n FROM page_capped GROUP BY ALL",

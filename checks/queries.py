@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import planted_html, relation
 from sitewarden.operators import acquisition as acq
-from sitewarden.operators import cookies, fingerprint, forms, frontier, headers, javascript, leaks, responses, rollup
+from sitewarden.operators import cookies, fingerprint, forms, frontier, headers, history, javascript, leaks, responses, rollup
 from sitewarden.operators import secrets as sec
 from sitewarden.operators import tool_reports as tools
 from sitewarden.plans import audit
@@ -226,6 +226,12 @@ def historical_only_secrets(i):
     return sec.historical_only(i.page_matches, sec.secret_matches(archived))
 
 
+@query
+def secret_lifetimes(i):
+    copies = history.readable_copies(i.archive_history)
+    return history.secret_lifetimes(copies, sec.secret_matches(copies), i.page_matches)
+
+
 @query
 def findings_sink(i):
     folder = sinks.shared_folder(i.spark)
