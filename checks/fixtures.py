@@ -132,6 +132,12 @@ RELATIONS = {
         " WHEN 1 THEN '{\"openapi\":\"3.0.0\",\"paths\":{\"/a\":{}},\"components\":{\"securitySchemes\":{}}}' ELSE '{\"openapi\":\"3.0.0\",\"paths\":{}}' END FROM pages"
         " UNION ALL SELECT page_id, '/graphql', 200, 'application/json', CASE WHEN page_id % 2 = 0 THEN '{\"data\":{\"__schema\":{\"queryType\":{\"name\":\"Query\"}}}}' ELSE '{\"errors\":[]}' END FROM pages"
     ),
+    # Interface answers that are no JSON, or are not read as such.
+    "api_broken": (
+        "SELECT page_id AS target_id, '/openapi.json' AS path, 200 AS status, 'application/json' AS content_type, CASE page_id % 3 WHEN 0 THEN '{\"openapi\": ' WHEN 1 THEN '' ELSE '[1, 2]' END AS body FROM pages"
+        " UNION ALL SELECT page_id, '/api/graphql', CASE WHEN page_id % 2 = 0 THEN 200 ELSE 500 END, 'text/html', '<p>login</p>' FROM pages"
+        " UNION ALL SELECT page_id, '/swagger.json', 200, 'text/plain', 'no description' FROM pages"
+    ),
     "cert": (
         "SELECT page_id AS target_id, CASE WHEN page_id % 8 = 0 THEN 'ERROR' ELSE 'VALID' END AS status, CASE WHEN page_id % 8 = 0 THEN 'timed out' END AS error, 'CN=site' || cast(page_id as string) AS subject, 'TLSv1.3' AS version, 'A0' || cast(page_id as string) AS serial, 'CN=Test CA' AS issuer, 'Jan  1 00:00:00 2024 GMT' AS not_before,"
         " 'Jan  1 00:00:00 2025 GMT' AS not_after, 'alt' || cast(n as string) || '.example.com' AS alt_name, cast(n as bigint) AS pos FROM numbered WHERE n < 12"

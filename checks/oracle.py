@@ -764,6 +764,10 @@ FINAL: dict[str, str] = {
     "report_topn_paths": "SELECT target_id, path, left(snippet, 100) AS preview FROM exposed",
     "module_error_rows": (
         "SELECT target_id, 'tool_report:' || tool AS module, line AS input FROM tool_report WHERE CASE WHEN json_valid(line) THEN json_type(line) <> CASE tool WHEN 'wp' THEN 'OBJECT' ELSE 'ARRAY' END ELSE true END"
+        " UNION ALL SELECT target_id, 'openapi', path FROM (SELECT * FROM http_response UNION ALL SELECT * FROM api_broken) JOIN api_paths USING (path)"
+        " WHERE status = 200 AND contains(content_type, 'application/json') AND NOT json_valid(body)"
+        " UNION ALL SELECT target_id, 'graphql', path FROM (SELECT * FROM http_response UNION ALL SELECT * FROM api_broken) JOIN graphql_paths USING (path)"
+        " WHERE status = 200 AND NOT json_valid(body)"
         " UNION ALL SELECT target_id, 'target', url FROM targets WHERE regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) = ''"
     ),
     "severity_windows": "SELECT (1700000000 + target_id) // 3600 * 3600 AS start, severity, count(*) AS n FROM page_findings GROUP BY ALL",

@@ -620,7 +620,8 @@ def report_topn_paths(i):
 
 @query
 def module_error_rows(i):
-    return rollup.module_error_rows(i.targets, tools.unreadable_lines(i.tool_report))
+    bodies = responses.unreadable_bodies(responses.api_documents(i.http_response.unionByName(i.api_broken)))
+    return rollup.module_error_rows(i.targets, tools.unreadable_lines(i.tool_report).unionByName(bodies))
 
 
 # --- streaming -----------------------------------------------------------------------------------

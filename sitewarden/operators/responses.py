@@ -65,6 +65,23 @@ def path_exposure(responses: DataFrame) -> DataFrame:
     )
 
 
+def api_documents(responses: DataFrame) -> DataFrame:
+    """Bodies that the two interface modules read, ``(target_id, module, path, document)``, each parsed once.
+
+    ``document`` is null where the body is not JSON (an empty one neither); rows without a body are left out.
+    """
+    path, body = F.col("path"), F.col("body")
+    described = path.isin(paths.OPENAPI) & F.contains("content_type", F.lit("application/json"))
+    module = F.when(described, F.lit("openapi")).when(path.isin(paths.GRAPHQL), F.lit("graphql"))
+    read = responses.filter((F.col("status") == 200) & body.isNotNull()).withColumn("module", module)
+    return read.filter(F.col("module").isNotNull()).select("target_id", "module", "path", F.try_parse_json(body).alias("document"))
+
+
+def unreadable_bodies(documents: DataFrame) -> DataFrame:
+    """Rows of :func:`api_documents` that are not JSON. They name the path; a body may hold anything and is not shown."""
+    return documents.filter(F.col("document").isNull()).select("target_id", "module", F.col("path").alias("input"))
+
+
 def _key(document: Column, name: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(document), name), F.lit(False))
 
