@@ -57,6 +57,10 @@ def _contains_pass(words: list[str], column: str) -> Column:
     return F.expr(f"array({', '.join(sets)})")
 
 
+#: Session setting: may executors import the library of the automaton?
+AUTOMATON = "spark.sitewarden.automaton"
+
+
 class WordIndex:
     """A fixed word list (lower case) with a bit per word."""
 
@@ -64,8 +68,13 @@ class WordIndex:
         self.words = sorted(set(words))
         self._bit = {w: n for n, w in enumerate(self.words)}
 
-    def mark(self, rows: DataFrame, text: str, automaton: bool = True) -> DataFrame:
-        """Add the bit sets of a text column, by an automaton or, without its library on the executors, by ``contains``."""
+    def mark(self, rows: DataFrame, text: str, automaton: bool | None = None) -> DataFrame:
+        """Add the bit sets of a text column, by an automaton or, without its library on the executors, by ``contains``.
+
+        Left open, the session setting ``spark.sitewarden.automaton`` (default true) decides, for all scans alike.
+        """
+        if automaton is None:
+            automaton = rows.sparkSession.conf.get(AUTOMATON, "true").lower() == "true"
         if automaton:
             return rows.withColumn(MARK, _automaton_pass(self.words)(F.col(text)))
         lowered = rows.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
