@@ -15,7 +15,7 @@ from sitewarden.operators import tool_reports as tools
 from sitewarden.plans import audit
 from sitewarden.rules import report
 from sitewarden.sources import sinks
-from sitewarden.sources.captured import page_resources, page_source, read_table
+from sitewarden.sources.captured import page_resources, page_source, read_table, stream_table
 from sitewarden.streaming import scan as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -656,10 +656,10 @@ def severity_windows(i):
 def findings_stream_sink(i):
     """Rows per severity of the streaming sink: all versions of all findings."""
     folder = sinks.shared_folder(i.spark)
-    files = i.spark.readStream.schema(i.pages.schema).option("pathGlobFilter", "pages.parquet").parquet(i.sf_dir)
+    files = stream_table(i.spark, i.sf_dir, "pages")
     planted = planted_html(files).withColumn("captured_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
     stream.drain(stream.value_stream(page_resources(planted, "captured_at"), "1 day"), folder, f"{folder}/progress")
-    return sinks.read_batches(i.spark, folder).select("target_id", "type", "value_masked", "location", "context", "severity")
+    return sinks.read_batches(i.spark, folder, f"{stream.VALUE}, batch int").select("target_id", "type", "value_masked", "location", "context", "severity")
 
 
 QUERIES["page_source"] = QUERIES.pop("page_source_")

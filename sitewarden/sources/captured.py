@@ -11,6 +11,18 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A captured table as a stream of its files, whether it is one file or a folder of them.
+
+    A single file is named by a pattern: as a plain path, a stream would take it for a folder of partitions.
+    """
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    files = spark.readStream.schema(spark.read.parquet(path).schema)
+    return files.parquet(path if folder else path[:-1] + f"[{path[-1]}]")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     """Captured JSON lines with a fixed schema; no inference pass, bad lines give null fields."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

@@ -82,7 +82,10 @@ def _batches(spark: SparkSession, folder: str, schema: str | None) -> DataFrame:
 
 
 def read_batches(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
-    """All rows of whole batches, with ``severity`` and ``batch``. Without a schema there has to be a row."""
+    """All rows of whole batches, with ``severity`` and ``batch``; none if there was no batch. Without a schema there has to
+    be a row."""
+    if schema is not None and not exists(spark, f"{folder}/ledger"):
+        return spark.createDataFrame([], schema)
     whole = spark.read.schema("n_rows bigint, batch int").parquet(f"{folder}/ledger").select("batch").distinct()
     return _batches(spark, folder, schema).join(whole, "batch", "left_semi")
 

@@ -20,6 +20,8 @@ FOUND = (
     "target_id bigint, type string, value_masked string, location string, context string, severity string, n_values bigint,"
     " captured_at timestamp, version bigint, late boolean"
 )
+#: Rows of :func:`value_stream`.
+VALUE = "target_id bigint, type string, value_masked string, value_hash string, location string, context string, severity string, captured_at timestamp"
 
 
 def matches_of(resources: DataFrame) -> DataFrame:
