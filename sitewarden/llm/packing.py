@@ -53,8 +53,11 @@ class Tokens:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian ids of each text."""
+    def encode(self, texts: str | list[str]) -> bytes | Iterator[bytes]:
+        """Little-endian ids of a text, or of each of a list."""
+        return next(self._each([texts])) if isinstance(texts, str) else self._each(texts)
+
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
             end, room = at + 1, BATCH_CHARS - len(texts[at])
