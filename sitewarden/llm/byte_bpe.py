@@ -1,8 +1,10 @@
 """Byte-level BPE by a rank file: encoding of whole texts and decoding of ids.
 
-Each match of the pattern is merged on its own. A segment tree over the byte positions of a match holds, for every live
-neighbour pair, its rank and position; the root is the leftmost pair of lowest rank. A merge writes three leaves (the
-pair that began, the one before, the one that vanished), each with a logarithmic number of parents.
+Each match of the pattern is merged on its own. The distinct short matches of many texts take their next merge together: they
+lie one after the other in one array, a round finds the leftmost pair of lowest rank of each and looks up the pairs that
+changed. For a long match a segment tree over the byte positions holds, for every live neighbour pair, its rank and
+position; the root is the leftmost pair of lowest rank. A merge writes three leaves (the pair that began, the one before,
+the one that vanished), each with a logarithmic number of parents.
 
 Input: a table with a text column. Null text counts as empty and gives no ids; other columns are passed on untouched,
 except that an input column named like the output is replaced. Repeated rows are encoded each on their own.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from sitewarden.llm.pieces import PartCoder
 
 NONE = 1 << 62
+#: Matches of at most so many bytes are merged together, if they are so many at least; the others one by one.
+SHORT, MANY = 48, 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,6 +84,55 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Pairs:
+    """For each pair of ids the id of their joined bytes, which is its rank; any split of a token counts."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        splits = ((ranks.get(token[:n]), ranks.get(token[n:]), i) for token, i in ranks.items() for n in range(1, len(token)))
+        rows = np.array([s for s in splits if s[0] is not None and s[1] is not None], dtype=np.int64).reshape(-1, 3)
+        keys = rows[:, 0] << 32 | rows[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.ids = np.append(keys[order], NONE), np.append(rows[order, 2], NONE)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.ids[at], NONE)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each of these matches; as :func:`merged`, one merge of every match in a round."""
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        piece = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        rank = np.full(len(ids), NONE)  # of the pair that begins here
+        inner = np.flatnonzero(piece[:-1] == piece[1:])
+        rank[inner] = self.rank_of(ids[inner], ids[inner + 1])
+        done_ids, done_pieces = [], []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            ended = least == NONE
+            done_ids.append(ids[ended])
+            done_pieces.append(piece[ended])
+            ids, piece, rank, least = ids[~ended], piece[~ended], rank[~ended], least[~ended]
+            at = np.flatnonzero(rank == least)
+            at = at[np.concatenate([[True], piece[at[1:]] != piece[at[:-1]]])] if len(at) else at
+            ids[at] = rank[at]
+            stays = np.ones(len(ids), dtype=bool)
+            stays[at + 1] = False
+            ids, piece, rank = ids[stays], piece[stays], rank[stays]
+            new = at - np.arange(len(at))
+            changed = np.concatenate([new, new[new > 0] - 1])
+            rank[changed] = NONE
+            inside = changed[changed < len(ids) - 1]
+            inside = inside[piece[inside] == piece[inside + 1]]
+            rank[inside] = self.rank_of(ids[inside], ids[inside + 1])
+        ids, piece = np.concatenate(done_ids), np.concatenate(done_pieces)
+        blob = ids[np.argsort(piece, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(piece, minlength=len(pieces)))).tolist()
+        return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Codec:
     """Encoder and decoder of one rank file; workers keep theirs between tasks."""
 
@@ -90,6 +144,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.pairs = Pairs(self.ranks) if all(bytes([b]) in self.ranks for b in range(256)) else None
         self.coder = PartCoder(self._parts)
 
     @classmethod
@@ -99,9 +154,16 @@ class Codec:
         return cls._kept[path, pattern]
 
     def _parts(self, parts: Iterable[str]) -> Iterator[bytes]:
-        for part in parts:
-            ids = [i for piece in self.split(part) for i in merged(piece.encode(), self.ranks)]
-            yield b"".join([i.to_bytes(4, "little") for i in ids])
+        cut = [[piece.encode() for piece in self.split(part)] for part in parts]
+        distinct = {piece for pieces in cut for piece in pieces}
+        short = [p for p in distinct if len(p) <= SHORT and p not in self.ranks]
+        together = short if self.pairs and len(short) >= MANY else []
+        ids = dict(zip(together, self.pairs.merged(together), strict=True)) if together else {}
+        for piece in distinct:
+            if piece not in ids:
+                ids[piece] = b"".join([i.to_bytes(4, "little") for i in merged(piece, self.ranks)])
+        for pieces in cut:
+            yield b"".join([ids[piece] for piece in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.coder(texts)

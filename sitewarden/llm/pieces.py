@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 KNOWN_PARTS = 600_000
 #: Longer parts are encoded each time and not kept.
 KEPT_CHARS = 64
+#: Characters of the texts whose new words are learned together.
+TOGETHER_CHARS = 1 << 20
 MARKS = (",", ".")
 
 
@@ -59,7 +61,17 @@ class PartCoder:
         return self.marks[mark]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(self._text(text)) for text in texts]
+        out: list[bytes] = []
+        words, size = set(), 0
+        begin = 0
+        for n, text in enumerate(texts, 1):
+            words.update(text.split(" ")[1:])
+            size += len(text)
+            if size >= TOGETHER_CHARS or n == len(texts):
+                self._learn({w for w in words if len(w) <= KEPT_CHARS})
+                out += [b"".join(self._text(t)) for t in texts[begin:n]]
+                words, size, begin = set(), 0, n
+        return out
 
     def _text(self, text: str) -> Iterable[bytes]:
         first, *rest = text.split(" ")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sitewarden.llm import byte_bpe, packing
-from sitewarden.llm.pieces import parts_of
+from sitewarden.llm.pieces import PartCoder, parts_of
 
 RANKS, VOCABULARY = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a", " a", "a  b", "a   b\n  c", "x\n \ny", "é ü  z", "don't  we'll", "<|endoftext|>", "a <|endoftext|>  b",
@@ -74,6 +74,32 @@ def test_small_table_of_parts(monkeypatch, reference):
         assert ids_of(codec.encode([text])[0]) == reference.encode_ordinary(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=byte_bpe.SHORT) | st.text(alphabet="abetsh ", min_size=1, max_size=20).map(str.encode), min_size=1, max_size=30))
+def test_matches_merged_together(pieces):
+    codec = byte_bpe.Codec.of(RANKS, P.PATTERN)
+    assert [ids_of(b) for b in codec.pairs.merged(pieces)] == [byte_bpe.merged(p, codec.ranks) for p in pieces]
+
+
+def test_leftmost_lowest_pair_of_any_ranks():
+    # "abcd" comes before "abc", so it is made from a fresh "abc" before the next "abc" is; "aa" overlaps with itself.
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"aa": 257, b"cd": 258, b"abcd": 259, b"abc": 260, b"da": 261, b"aaaa": 262}
+    pieces = [b"abcabcd", b"abcdabc", b"aaaaa", b"aaabcda", b"dadab", b"x", b"aaaaaaabab"]
+    assert [ids_of(b) for b in byte_bpe.Pairs(ranks).merged(pieces)] == [byte_bpe.merged(p, ranks) for p in pieces]
+
+
+def test_words_of_many_texts_are_encoded_together():
+    calls = []
+    coder = PartCoder(lambda parts: (calls.append(len(parts)), [p.encode() for p in parts])[1])
+    texts = [f"a w{n} v{n}  x{n % 7}" for n in range(50)]
+    assert coder(texts) == [t.encode() for t in texts] and max(calls) > 100
+
+
+def test_a_text_and_a_list_of_texts():
+    tokens = packing.Tokens.of(VOCABULARY)
+    assert tokens.encode("two words") == next(tokens.encode(["two words"])) and tokens.encode("") == b""
+
+
 def test_encode_table(spark, reference):
     rows = [(1, None, "x"), (1, None, "x"), (None, "two words", "y"), (4, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
