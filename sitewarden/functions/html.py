@@ -21,10 +21,15 @@ FLAGS = "(?is)"
 ATTRIBUTE = r"[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]+))?"
 
 
+def one_of(patterns: list[str]) -> str:
+    """Any of some patterns that begin with ``<``; the other characters of a text are passed over by one test each."""
+    return "(?=<)(?:" + "|".join(patterns) + ")"
+
+
 def elements(html: Column, *names: str) -> Column:
     """Tokens of script, style and the named void elements; comments are consumed and left out."""
     plain = [rf"<{n}(?=[\s/>])" + OPEN_REST for n in names if n not in ("script", "style")]
-    pattern = FLAGS + "|".join([COMMENT, SCRIPT, STYLE, *plain])
+    pattern = FLAGS + one_of([COMMENT, SCRIPT, STYLE, *plain])
     wanted = FLAGS + r"^<(?:" + "|".join(names) + r")(?=[\s/>])"
     return F.filter(
         F.regexp_extract_all(html, F.lit(pattern), F.lit(0)),
@@ -34,7 +39,7 @@ def elements(html: Column, *names: str) -> Column:
 
 def without_code(html: Column) -> Column:
     """Page text without comments, scripts and styles."""
-    return F.regexp_replace(html, FLAGS + "|".join([COMMENT, SCRIPT, STYLE]), " ")
+    return F.regexp_replace(html, FLAGS + one_of([COMMENT, SCRIPT, STYLE]), " ")
 
 
 def blocks(html: Column, name: str) -> Column:

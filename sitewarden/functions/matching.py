@@ -66,7 +66,7 @@ def credential_matches(text: str, gated: bool = True) -> Column:
     """
     arrays = []
     for rule, pattern in secrets.PATTERNS.items():
-        matches = f"regexp_extract_all({text}, {regex(pattern)}, 0)"
+        matches = f"regexp_extract_all({text}, {regex(secrets.searched(rule))}, 0)"
         gates = []
         if gated and rule in secrets.ANCHORS:
             anchors = secrets.ANCHORS[rule]
@@ -89,7 +89,7 @@ def credential_hits(text: Column, matches: Column, keep: int | None = None) -> C
     with the text, not with its square.
     """
     radius, near = secrets.CONTEXT_RADIUS, secrets.CONTEXT_RADIUS // secrets.SHORTEST_MATCH + 1
-    patterns = F.expr(f"array({', '.join(map(regex, secrets.PATTERNS.values()))})")
+    patterns = F.expr(f"array({', '.join(regex(secrets.searched(rule)) for rule in RULES)})")
 
     def ends(parts: Column, cut) -> Column:
         return F.transform(parts, lambda p: cut(p, radius))

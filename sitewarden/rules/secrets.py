@@ -121,6 +121,24 @@ NECESSARY = {
     "PayPal Client ID": r"(?i)client.?id\s*[=:]\s*['\"][A-Za-z0-9\-_]{20,}['\"]",
 }
 
+# What the first three characters of a match can be, for rules that begin with a choice of words: that test is cheaper at
+# every character than all of the words. It takes no match away.
+FIRST = {
+    "Generic Secret": "[sapc][earpucl][csit]",
+    "Database URL": "[mpra][yoem][sndq]",
+    "IP Address (Private)": "1[079][.29]",
+    "Base64 Encoded Secret": "[sapc][eapucl][csit]",
+}
+
+
+def searched(rule: str) -> str:
+    """The pattern of a rule as the scan looks for it."""
+    pattern = PATTERNS[rule]
+    if rule not in FIRST:
+        return pattern
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    return f"{flag}(?={FIRST[rule]}){pattern[len(flag):]}"
+
 
 def severity(rule: str) -> str:
     if rule in CRITICAL:

@@ -228,3 +228,29 @@ def test_rule_tables_are_as_reviewed():
     tables = (rules.PATTERNS, tech.SIGNATURES, builders.SIGNATURES)
     assert [len(t) for t in tables] == [42, len(tech.SIGNATURES), len(builders.SIGNATURES)]
     assert hashlib.sha256(repr([list(t.items()) for t in tables]).encode()).hexdigest()[:16] == "6ee1eb41bf8214d9"
+
+
+def test_first_characters_take_no_match_away():
+    """Every alternative that a rule begins with passes the test of its first three characters."""
+    starts = {
+        "Generic Secret": ["secret_key", "password", "passwd", "api_key", "apikey", "api-key", "auth_token", "access_token", "private_key", "client_secret"],
+        "Database URL": ["mysql", "postgres", "postgresql", "mongodb", "redis", "amqp"],
+        "IP Address (Private)": ["10.0.0.1", "172.16.0.1", "172.29.0.1", "172.31.0.1", "192.168.0.1"],
+        "Base64 Encoded Secret": ["secret", "password", "api_key", "apikey", "auth_token", "access_token", "client_secret"],
+    }
+    assert set(starts) == set(rules.FIRST)
+    ends = {"Generic Secret": " = 'abcd1234'", "Database URL": "://u:p@h/x", "IP Address (Private)": "", "Base64 Encoded Secret": ": " + "Ab" * 30 + "=="}
+    for rule, words in starts.items():
+        for word in words:
+            for shown in (word, word.upper(), word.title()) if rules.PATTERNS[rule].startswith("(?i)") else (word,):
+                text = f"a {shown}{ends[rule]} {shown} b{shown}{ends[rule]}"
+                plain = [m.group() for m in re.finditer(rules.PATTERNS[rule], text, re.ASCII)]
+                assert plain and [m.group() for m in re.finditer(rules.searched(rule), text, re.ASCII)] == plain
+
+
+def test_scan_looks_for_few_first_characters(resources):
+    text = "x password = 'abcd1234' PASSWD=\"efgh5678\" redis://u:p@h/1 10.1.2.3 172.20.1.1 api_key=" + "Ab" * 30
+    found = sec.secret_matches(resources([text])).select("rule", "value").collect()
+    assert {(r.rule, r.value[:6]) for r in found} == {
+        ("Generic Secret", "passwo"), ("Generic Secret", "PASSWD"), ("Database URL", "redis:"), ("IP Address (Private)", "10.1.2"),
+        ("IP Address (Private)", "172.20"), ("Base64 Encoded Secret", "api_ke")}
