@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewarden.llm.tables import parts, tidy, whole_numbers
+
 ROWS_PER_CLASS, LONGEST = 1500, 20_000
 #: A cue stands in at least this many contexts of toxic documents, and is this much more frequent there (log odds).
 CUE_CONTEXTS, CUE_ODDS = 8, 2.5
@@ -182,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     usable = marks.join(docs.where(F.length("text") <= longest).select("doc_id"), "doc_id", "left_semi")
     chosen = [r for y in (0, 1) for r in usable.where(F.col("toxic") == y).orderBy(*order).limit(rows_per_class).collect()]
     # Bounded: at most 2 * rows_per_class ids.
-    sample = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int"))
+    sample = F.broadcast(whole_numbers(spark, [tuple(r) for r in chosen], "doc_id long, toxic int"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").where(F.length("text") <= longest)
     rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect()
     rows = sorted({r["text"]: r for r in sorted(rows, key=lambda r: r["doc_id"])}.values(), key=lambda r: r["doc_id"])
@@ -230,14 +232,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", scored: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                scores, found = scorer([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], [*part.schema.names, scored, spans])
+        for part in parts(batches):
+            scores, found = scorer([t or "" for t in part.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], [*part.schema.names, scored, spans])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{scored}` double, `{spans}` array<struct<start: bigint, end: bigint, probability: double>>")
+    return docs.mapInArrow(tidy(run), f"{schema}, `{scored}` double, `{spans}` array<struct<start: bigint, end: bigint, probability: double>>")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

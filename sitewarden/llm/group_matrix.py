@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewarden.llm.components import components, forest
-from sitewarden.llm.tables import dropped, run_folder, saved
+from sitewarden.llm.tables import dropped, parts, run_folder, saved, tidy
 
 WORDS, PERCENT = 5, 80
 #: Share of the hash space whose shingles are counted; more prunes more and shuffles more. At least 0.2 is of use.
@@ -112,7 +112,7 @@ def _first_tokens(docs: DataFrame, text: str, words: int, percent: int, counted:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
-        for batch in batches:
+        for batch in parts(batches):
             rows, lists = [], []
             for value in batch.column(at).to_pylist():
                 tokens = shingler(value or "")
@@ -138,7 +138,7 @@ def _first_tokens(docs: DataFrame, text: str, words: int, percent: int, counted:
                 yield pa.RecordBatch.from_arrays([*others, *made, pa.array(lists, pa.list_(pa.int64()))], names)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + SETS
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _prefixes(sets: DataFrame, classes: DataFrame, percent: int, counted: float) -> DataFrame:
@@ -186,7 +186,7 @@ def _whole_sets(docs: DataFrame, text: str, words: int, bits: int, bitmap: bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, words_of = Shingler(words), set(), np.frombuffer(held.value, dtype=np.uint32)
         has = lambda p: int(words_of[p >> 5]) >> (p & 31) & 1
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for value in batch.column(0).to_pylist():
                 tokens = shingler(value or "")
@@ -202,7 +202,7 @@ def _whole_sets(docs: DataFrame, text: str, words: int, bits: int, bitmap: bytes
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["a", "b", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "a bigint, b bigint, tokens array<bigint>")
+    return docs.select(text).mapInArrow(tidy(run), "a bigint, b bigint, tokens array<bigint>")
 
 
 class Group:
@@ -272,7 +272,8 @@ def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges = []
-            for row in batch.to_pylist():
+            for pair in parts([batch], 1):  # a row holds two whole groups
+                row = pair.to_pylist()[0]
                 x, y = (Group(row["ids" + k], row["sizes" + k], row["tokens" + k]) for k in ("", "2"))
                 links = x.links(y, percent)
                 if len(links):
@@ -285,7 +286,7 @@ def _compared(percent: int):
 def _links_between(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     load = groups.select("g", "ids", "sizes", "tokens")
     rows = pairs.join(load, "g").join(load.select(*[F.col(c).alias(c + "2") for c in load.columns]), "g2")
-    return rows.mapInArrow(_compared(percent), "a bigint, b bigint")
+    return rows.mapInArrow(tidy(_compared(percent)), "a bigint, b bigint")
 
 
 def similar_components(docs: DataFrame, keys: list[str], text: str = "text", words: int = WORDS, percent: int = PERCENT, counted: float = COUNTED) -> DataFrame:
@@ -315,7 +316,7 @@ def similar_components(docs: DataFrame, keys: list[str], text: str = "text", wor
     members = saved(members, f"{folder}/members")
     # About MEMBERS rows a group.
     groups = whole.select("id", "tokens").join(members, "id").groupBy("g").agg(F.collect_list(F.struct("id", "tokens")).alias("members"))
-    groups = saved(groups.mapInArrow(_built(percent), "g bigint, ids binary, sizes binary, tokens binary, edges array<struct<a: bigint, b: bigint>>"), f"{folder}/groups")
+    groups = saved(groups.mapInArrow(tidy(_built(percent)), "g bigint, ids binary, sizes binary, tokens binary, edges array<struct<a: bigint, b: bigint>>"), f"{folder}/groups")
     inner = groups.select(F.explode("edges").alias("e")).select("e.a", "e.b")
 
     held = saved(prefixes.join(members, "id").select("token", "g").distinct(), f"{folder}/held")

@@ -21,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewarden.llm.merges import BatchEncoder
-from sitewarden.llm.tables import run_folder, saved
+from sitewarden.llm.tables import run_folder, saved, tidy, whole_numbers
 
 #: Tokens of a sequence, and the width of a length class.
 CAPACITY, STEP = 1024, 4
@@ -39,6 +40,18 @@ BATCH_CHARS = 1 << 21
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, class int, place bigint"
 
 
+def stretches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """First place, and the one behind the last, of neighbours whose sizes sum to at most `most`; a larger one stands alone."""
+    at = 0
+    while at < len(sizes):
+        end, room = at + 1, most - sizes[at]
+        while end < len(sizes) and room >= sizes[end]:
+            room -= sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
 class Tokens:
     """A tokenizer file; workers keep theirs between tasks."""
 
@@ -58,14 +71,8 @@ class Tokens:
         return next(self._each([texts])) if isinstance(texts, str) else self._each(texts)
 
     def _each(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            end, room = at + 1, BATCH_CHARS - len(texts[at])
-            while end < len(texts) and room >= len(texts[end]):
-                room -= len(texts[end])
-                end += 1
+        for at, end in stretches([len(t) for t in texts], BATCH_CHARS):
             yield from (ids.astype("<u4").tobytes() for ids in self.encoder(texts[at:end]))
-            at = end
 
 
 def length_class(length: int, step: int = STEP) -> int:
@@ -76,10 +83,13 @@ def length_class(length: int, step: int = STEP) -> int:
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, step: int = STEP) -> DataFrame:
     """The pieces of each document with their place among those of one class in one task; no shuffle."""
 
+    def sizes_of(batch: pa.RecordBatch) -> list[int]:
+        return pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, places = Tokens.of(path), TaskContext.get().partitionId(), Counter()
         names = [f.split()[0] for f in PIECES.split(", ")]
-        for batch in batches:
+        for batch in (b.slice(at, end - at) for b in batches for at, end in stretches(sizes_of(b), BATCH_CHARS)):
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts), strict=True):
@@ -93,9 +103,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, step: int
             if rows:
                 kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
-        pa.default_memory_pool().release_unused()  # the worker stays, its next task may be of another kind
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), PIECES)
 
 
 @dataclass
@@ -195,7 +204,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, step: int = STEP,
     histogram = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     rows = pattern_rows(solve(histogram, capacity, step, gap))
     # Bounded: a row for each class of a pattern, and there are about as many patterns as classes.
-    patterns = spark.createDataFrame(rows, "class int, low long, high long, first long, each long, slot int")
+    patterns = whole_numbers(spark, rows, "class int, low long, high long, first long, each long, slot int")
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("class", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
     ranked = pieces.join(offsets, ["class", "part"]).withColumn("rank", F.col("ahead") + F.col("place"))
