@@ -7,7 +7,8 @@ position; the root is the leftmost pair of lowest rank. A merge writes three lea
 the one that vanished), each with a logarithmic number of parents.
 
 Input: a table with a text column. Null text counts as empty and gives no ids; other columns are passed on untouched,
-except that an input column named like the output is replaced. Repeated rows are encoded each on their own.
+except that an input column named like the output is replaced. Repeated rows are encoded each on their own. A batch is
+worked off in parts, and what a task learned about words goes when it ends, so a waiting worker holds little.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sitewarden.llm.pieces import PartCoder
+from sitewarden.llm.tables import stretches, tidy
 
 NONE = 1 << 62
 #: Matches of at most so many bytes are merged together, if they are so many at least; the others one by one.
 SHORT, MANY = 48, 16
+#: Bytes of texts or ids of a batch that become Python objects at a time; a longer row is taken alone.
+BATCH_BYTES = 1 << 21
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,30 +177,31 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
 
 
-def _appended(df: DataFrame, name: str, source: str, function) -> DataFrame:
-    """`df` with a binary column made from another one, batch by batch; no shuffle."""
-    kept = [c for c in df.columns if c != name]
-    df = df.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(source)
+def _appended(df: DataFrame, name: str, source: str, path: str, pattern: str, made, keep: list[str] | None) -> DataFrame:
+    """The columns `keep` of `df` (none given: all) and a binary column made from another one, batch by batch; no shuffle."""
+    kept = [c for c in (df.columns if keep is None else keep) if c != name]
+    needed = kept if source in kept else [*kept, source]
+    df = df.select(*[F.col(f"`{c}`") for c in needed])
+    at, n = needed.index(source), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(path, pattern)
         for batch in batches:
-            made = pa.array(function(batch.column(at).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            for begin, end in stretches(sizes, BATCH_BYTES):
+                part = batch.slice(begin, end - begin)
+                column = pa.array(made(codec, part.column(at).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], column], [*kept, name])
+        codec.coder.forget()
 
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields[:n], StructField(name, BinaryType())]))
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with the ids of each text as little-endian unsigned 32-bit integers."""
-    return _appended(docs, ids, text, lambda texts: Codec.of(path, pattern).encode([t or "" for t in texts]))
 
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """`docs`, or the columns `keep` of it, with the ids of each text as little-endian unsigned 32-bit integers."""
+    return _appended(docs, ids, text, path, pattern, lambda codec, texts: codec.encode([t or "" for t in texts]), keep)
 
-def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`coded` with the bytes that its ids stand for; null ids give no bytes."""
-
-    def run(values: list[bytes | None]) -> list[bytes]:
-        codec = Codec.of(path, pattern)
-        return [codec.decode(v or b"") for v in values]
 
-    return _appended(coded, decoded, ids, run)
+def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """`coded`, or the columns `keep` of it, with the bytes that its ids stand for; null ids give no bytes."""
+    return _appended(coded, decoded, ids, path, pattern, lambda codec, values: [codec.decode(v or b"") for v in values], keep)

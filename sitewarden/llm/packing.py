@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewarden.llm.merges import BatchEncoder
-from sitewarden.llm.tables import run_folder, saved, tidy, whole_numbers
+from sitewarden.llm.tables import run_folder, saved, stretches, tidy, whole_numbers
 
 #: Tokens of a sequence, and the width of a length class.
 CAPACITY, STEP = 1024, 4
@@ -40,18 +40,6 @@ BATCH_CHARS = 1 << 21
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, class int, place bigint"
 
 
-def stretches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """First place, and the one behind the last, of neighbours whose sizes sum to at most `most`; a larger one stands alone."""
-    at = 0
-    while at < len(sizes):
-        end, room = at + 1, most - sizes[at]
-        while end < len(sizes) and room >= sizes[end]:
-            room -= sizes[end]
-            end += 1
-        yield at, end
-        at = end
-
-
 class Tokens:
     """A tokenizer file; workers keep theirs between tasks."""
 

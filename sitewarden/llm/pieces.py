@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-#: Entries of a worker's table of known parts; beyond it the table is emptied. Bounds memory, never changes results.
+#: Entries of a task's table of known parts; beyond it the table is emptied. Bounds memory, never changes results.
 KNOWN_PARTS = 600_000
 #: Longer parts are encoded each time and not kept.
 KEPT_CHARS = 64
@@ -31,7 +31,7 @@ def parts_of(text: str) -> list[str]:
 
 
 class PartCoder:
-    """Little-endian 32-bit ids of whole texts from ids of parts, each distinct part encoded about once per worker."""
+    """Little-endian 32-bit ids of whole texts from ids of parts, each distinct part encoded about once until the parts are forgotten."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int | None = None):
         self.encode, self.most = encode, most or KNOWN_PARTS
@@ -39,12 +39,15 @@ class PartCoder:
         self.marks: dict[str, bytes] = {}
         self.odd: set[str] = set()  # words that may have to be joined to the part before them
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.odd.clear()
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Makes the usual words known; returns the ids of the long ones."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.odd.clear()
+            self.forget()
             new = list(words)
         self.odd.update(w for w in new if not w or w[0].isspace())
         # A comma or full stop behind a letter is a match of its own, so such words follow from their stems.

@@ -113,7 +113,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), *ranks).drop("text")
+    coded = byte_bpe.encode(read(spark, sf_dir, "documents"), *ranks, keep=["doc_id"])
     return byte_bpe.decode(coded, *ranks).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),

@@ -55,6 +55,18 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[
             yield batch.slice(k, rows)
 
 
+def stretches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """First place, and the one behind the last, of neighbours whose sizes sum to at most `most`; a larger one stands alone."""
+    at = 0
+    while at < len(sizes):
+        end, room = at + 1, most - sizes[at]
+        while end < len(sizes) and room >= sizes[end]:
+            room -= sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
 def released() -> None:
     """Memory that nothing holds goes back to the system, where the libraries can do that."""
     pa.default_memory_pool().release_unused()

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sitewarden.llm import crf, group_matrix, packing
+from sitewarden.llm import byte_bpe, crf, group_matrix, packing, queries
 from sitewarden.llm.tables import parts, tidy, whole_numbers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,30 @@ def test_steps_of_the_pipeline_unpack_parts_of_a_batch(spark, steps):
     assert len(steps) == 3 and all(s.__qualname__.startswith("tidy") for s in steps)
 
 
+def test_steps_of_byte_bpe_unpack_parts_of_a_batch_and_forget_its_words(spark, steps, monkeypatch, tmp_path):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(i, t, "x") for i, t in enumerate(["one two three"] * 40 + [None, "", "long words " * 500] + [f"word{n} and word{n}" for n in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    coded = byte_bpe.encode(docs, *ranks, keep=["doc_id"])
+    back = byte_bpe.decode(coded, *ranks, keep=["doc_id"])
+    assert coded.columns == ["doc_id", "ids"] and back.columns == ["doc_id", "decoded"]
+    assert {r.doc_id: bytes(r.decoded).decode() for r in back.collect()} == {i: t or "" for i, t, _ in rows}
+    assert byte_bpe.encode(docs, *ranks).columns == ["doc_id", "text", "other", "ids"]
+    monkeypatch.setattr(byte_bpe, "BATCH_BYTES", 300)
+    batch = pa.record_batch([pa.array([i for i, _, _ in rows]), pa.array([t for _, t, _ in rows])], ["doc_id", "text"])
+    for step in steps[:2]:
+        assert step.__qualname__.startswith("tidy")
+        out = list(step(iter([batch])))
+        assert len(out) > 3 and max(b.num_rows for b in out) < 40 and [b.schema.names[0] for b in out] == ["doc_id"] * len(out)
+        assert pa.Table.from_batches(out).column("doc_id").to_pylist() == list(range(len(rows)))
+        assert not byte_bpe.Codec.of(*ranks).coder.known
+        batch = pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    assert batch.column(1).to_pylist() == [(t or "").encode() for _, t, _ in rows]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.op10_byte_bpe(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 2 and not re.search(r"MapInArrow.*\[.*\btext#", plan)
+
+
 def test_parts_and_stretches():
     batches = [pa.record_batch([pa.array(range(n))], ["x"]) for n in (0, 5, 3)]
     assert [p.column(0).to_pylist() for p in parts(batches, 3)] == [[0, 1, 2], [3, 4], [0, 1, 2]]
