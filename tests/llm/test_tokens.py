@@ -4,6 +4,7 @@ import base64
 import struct
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import public_tokenizers as P
 import pytest
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sitewarden.llm import byte_bpe, packing
+from sitewarden.llm import byte_bpe, merges, packing
 from sitewarden.llm.pieces import PartCoder, parts_of
 
 RANKS, VOCABULARY = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -60,6 +61,17 @@ def test_batches_of_words(texts):
     assert [i.tolist() for i in tokens.encoder(texts)] == want
 
 
+def test_only_odd_words_are_looked_at_one_by_one(monkeypatch):
+    texts = ["some words, naïve Straße!!\nnext Line.", "some two  blanks", "tab\there", " at first", "Слова здесь", "at last\t", "", "<|endoftext|> x", "\u2028", "words\n\nwords"]
+    encoder, seen, search = packing.Tokens(VOCABULARY).encoder, [], merges.APART.search
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(merges, "APART", SimpleNamespace(search=lambda t: (seen.append(t), search(t))[1]))
+    assert [i.tolist() for i in encoder(texts)] == want
+    assert sorted(seen) == ["<|endoftext|>", "last\t", "tab\there", "\u2028"]
+    seen.clear()
+    assert len(encoder(texts[:1] * 50)) == 50 and not seen  # before: every text was searched
+
+
 def test_merges_of_given_texts(spark):
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     tokens = packing.Tokens.of(VOCABULARY)
